@@ -7,6 +7,8 @@ import importlib
 #: Query name and the module that has its ``query`` and, where SQL can express it, its ``ORACLE_SQL``.
 MODULES = {
     "op1_pieces": "pieces",
+    "op4_repeats": "repeats",
+    "op7_leaks": "leaks",
 }
 
 
