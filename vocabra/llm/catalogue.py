@@ -9,6 +9,7 @@ MODULES = {
     "op1_pieces": "pieces",
     "op4_repeats": "repeats",
     "op7_leaks": "leaks",
+    "op8_lines": "lines",
 }
 
 
