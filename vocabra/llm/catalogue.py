@@ -10,6 +10,8 @@ MODULES = {
     "op4_repeats": "repeats",
     "op7_leaks": "leaks",
     "op8_lines": "lines",
+    "op9_urls": "urls",
+    "op10_secrets": "secrets",
 }
 
 
