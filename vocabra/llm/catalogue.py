@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_pieces": "pieces",
     "op4_repeats": "repeats",
+    "op5_near": "near",
     "op7_leaks": "leaks",
     "op8_lines": "lines",
     "op9_urls": "urls",
