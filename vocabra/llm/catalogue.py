@@ -10,6 +10,7 @@ MODULES = {
     "op3_lm": "lm",
     "op4_repeats": "repeats",
     "op5_near": "near",
+    "op6_toxicity": "toxicity",
     "op7_leaks": "leaks",
     "op8_lines": "lines",
     "op9_urls": "urls",

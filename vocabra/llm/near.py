@@ -94,9 +94,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, digest of the set (null if empty), and the pairs of both collections as arrays."""
+    """id, text_hash, n_shingles, digest of the set (null if empty), and the pairs of both collections as arrays."""
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("first", longs), T.StructField("second", longs)])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("first", longs), T.StructField("second", longs)])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts_of(batch, "text")]
@@ -108,11 +108,11 @@ def _signed(docs: DataFrame) -> DataFrame:
             first, second = keys[:, :SIDE], keys[:, SIDE:]
         put = iter(zip(first.tolist(), second.tolist(), strict=True))
         pairs = [next(put) if len(s) else (None, None) for s in sets]
-        columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())]
+        columns = [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())]
         columns += [pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "digest", "first", "second"])
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return per_slice(docs, "text", work, schema)
+    return per_slice(docs.withColumn("text_hash", F.xxhash64("text")), "text", work, schema)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -177,7 +177,8 @@ def _across(tables: DataFrame, comps: DataFrame, classes: DataFrame, texts: Data
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``id``, ``n_shingles``, ``component_id`` (the smallest id of its group)."""
+    """A row for each row of ``docs``: ``id``, ``text_hash``, ``n_shingles``, ``component_id`` (the smallest id of its
+    group)."""
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(_signed(own))
     sets = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
@@ -193,8 +194,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     across = cut(_confirmed(_across(tables, components(stars), classes, texts), texts))
     comps = components(stars.union(across))
     found = least.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n_shingles", "digest").join(found, "digest", "left")
-    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    out = signed.select("id", "text_hash", "n_shingles", "digest").join(found, "digest", "left")
+    return out.select("id", "text_hash", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of ``docs``, unchanged: that of its smallest id. Rows without words or without an id stay."""
+    found = groups(docs, doc_id, text).where(F.col("id") != F.col("component_id"))
+    gone = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    left = docs.join(gone, (F.col(doc_id) == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    repeated = left.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1))
+    return left if repeated.isEmpty() else left.dropDuplicates([doc_id, text])
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
