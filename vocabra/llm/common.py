@@ -9,8 +9,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one call of a per-batch function gets at most (a single longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+#: Bytes that go to a Python worker at a time, and text that one call of a per-batch function gets, at most (a single longer
+#: text is a batch of its own).
+SLICE_BYTES = 4 << 20
 
 #: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -70,6 +71,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, where the session does not have smaller ones: rows may be long."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not conf.get(key).rstrip("b").isdigit() or int(conf.get(key).rstrip("b")) > SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def per_slice(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Run ``work`` over bounded Arrow slices of ``df``; a map without any shuffle."""
 
@@ -77,4 +86,4 @@ def per_slice(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Reco
         for batch in sliced(batches, text):
             yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

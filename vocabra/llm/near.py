@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, per_slice, table, texts_of
+from .common import LOWER, cut, map_batches, per_slice, table, texts_of
 from .components import components
 
 SHINGLE, SIMILAR = 5, 75
@@ -52,7 +52,7 @@ def shingles(text: bytes) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = _words
-    if len(known) > 400_000:
+    if len(known) > 100_000:
         known.clear()
     codes = []
     for w in words:
@@ -135,7 +135,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             mask = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def _tables(classes: DataFrame) -> DataFrame:

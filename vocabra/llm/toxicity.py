@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WORDS_ONLY, cut, held_out, per_slice, sliced, table, texts_of
+from .common import LOWER, WORDS_ONLY, cut, held_out, map_batches, per_slice, sliced, table, texts_of
 
 #: Labelled rows to fit on, and terms of a lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
@@ -188,7 +188,7 @@ def _candidates(sample: DataFrame) -> DataFrame:
         if counts:
             yield rows()
 
-    parts = sample.mapInArrow(run, "term binary, begins boolean, toxic long, clean long")
+    parts = map_batches(sample, run, "term binary, begins boolean, toxic long, clean long")
     return parts.groupBy("term", "begins").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
