@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that go to a Python worker at a time, and text that one call of a per-batch function gets, at most (a single longer
 #: text is a batch of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"

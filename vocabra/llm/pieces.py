@@ -28,7 +28,7 @@ from .common import per_slice, table
 
 SPACE = "▁"
 #: Entries that a memo holds before it is emptied.
-MEMO = 300_000
+MEMO = 150_000
 
 
 class PieceModel:
@@ -96,7 +96,7 @@ class PieceModel:
 
     def _fits(self, left: int, right: int) -> bool:
         a, b = self.piece[left], self.piece[right]
-        if len(self.pairs) >= 4 * MEMO:
+        if len(self.pairs) >= 3 * MEMO:
             self.pairs.clear()
         known = self.pairs[left * self.size + right] = self._merged(a + b) == [a, b]
         return known
