@@ -7,6 +7,7 @@ import importlib
 #: Query name and the module that has its ``query`` and, where SQL can express it, its ``ORACLE_SQL``.
 MODULES = {
     "op1_pieces": "pieces",
+    "op2_counts": "counts",
     "op3_lm": "lm",
     "op4_repeats": "repeats",
     "op5_near": "near",
