@@ -45,7 +45,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     )
     ranged = lines.repartitionByRange("hash", *doc).sortWithinPartitions("hash", *doc, "pos")
     by_doc = cut(ranged.groupBy("hash", *doc).agg(F.min("pos").alias("first"), F.collect_set("pos").alias("at")))
-    frequent = by_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*doc, "first")).alias("origin")).where(F.col("docs") >= min_docs)
+    counts = by_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*doc, "first")).alias("origin")).where(F.col("docs") >= min_docs)
+    frequent = cut(counts)  # written, so that both sides of the join are plain shuffles, which Spark splits where a line is frequent
     dropped = by_doc.join(frequent, "hash").select(*doc, "origin", F.explode("at").alias("pos"))
     if keep_first:
         dropped = dropped.where(~F.struct(*doc, F.col("pos").alias("first")).eqNullSafe(F.col("origin")))
