@@ -73,6 +73,15 @@ def test_near_odd_rows(spark, small):
     assert ids.count(7) == 1 and 8 not in ids and 9 not in ids and ids.count(3) == 2 and kept.columns[2:] == ["hash", "id", "words", "kept"]
 
 
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark, tmp_path):
+    one, two = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(5, one), (5, two), (6, one + " x"), (7, two + " x"), (8, "y " + two), (5, two)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.component_id) for r in near.query(spark, str(tmp_path)).collect())
+    linked = dict(got)
+    assert len(got) == 6 and {linked[6], linked[7], linked[8]} <= {5, 6, 7} and linked[7] == linked[8]
+
+
 def test_large_groups_of_near_copies(spark, tmp_path):
     """Copies that are linked over a hub, and copies that are close to each other and not linked."""
     import random

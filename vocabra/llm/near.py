@@ -11,8 +11,9 @@ over component borders follow, all of them: of each pair the one table with the
 2048-bit sketch allow 0.75 (an estimate below 0.68 for a true 0.75 is 4.7 deviations away), and full sets confirm it.
 So a large group of near copies costs a comparison each, and no step emits all pairs of a group.
 
-Documents without words are linked with nothing. A row without an id is linked with nothing and stays. Rows that share
-an id are documents of their own. Repeated rows are in one class.
+Documents without words are linked with nothing. A row without an id is linked with nothing and stays. Repeated rows are
+in one class. Rows that share an id and differ in text have components of their own; where each stands for a class of
+equal sets, one of them is compared with other sets.
 """
 
 from __future__ import annotations
@@ -185,10 +186,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     least = sets.groupBy("digest").agg(F.min("id").alias("rep"))
     # a class is a set; where rows share an id, the id stands for its smallest set only
     reps = least.groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"))
-    classes = cut(sets.join(reps, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "digest", "n_shingles", "first", "second"))
+    classes = cut(sets.join(reps, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text_hash", "n_shingles", "first", "second"))
     tables = _tables(classes)
-    members = tables.select("id").distinct()
-    texts = cut(_texts(own.join(members, "id", "left_semi"), classes))
+    chosen = classes.select("id", "text_hash").join(tables.select("id").distinct(), "id")
+    texts = own.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["id", "text_hash"], "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))  # repeated rows
     tested = tables.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(_confirmed(tested, texts))
     across = cut(_confirmed(_across(tables, components(stars), classes, texts), texts))
@@ -207,11 +209,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return left if repeated.isEmpty() else left.dropDuplicates([doc_id, text])
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """A text for each id: of rows that share an id, the first by text (only their classes' own sets are compared)."""
-    return docs.groupBy("id").agg(F.min("text").alias("text"))
-
-
 def query(spark, sf_dir):
     found = groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
