@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,9 +67,15 @@ def checked_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    checked_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from there. Spark deletes the files of shuffles that nothing
+    refers to when the driver's JVM collects garbage; long jobs with small drivers would keep them all until the end, so
+    that is asked for here."""
+    checked_dir(spark := df.sparkSession)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()  # query objects here keep their plans there
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
