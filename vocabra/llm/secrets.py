@@ -20,9 +20,12 @@ from .common import table
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind: pattern, the group that must have a least length, that length. Kinds are listed in the order of reports.
 STRONG = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
+#: A base64 key with its padding, or a key of the signs of URLs that has letters of both cases and a digit.
+BASE64 = r"(?<![A-Za-z0-9/+])(?=[0-9a-f]*[A-Zg-z/+])(?=[A-Za-z/+]*[0-9])[A-Za-z0-9/+]{32,}+={0,2}(?![A-Za-z0-9/+=])"
+URL_SAFE = r"(?<![A-Za-z0-9/+_-])(?=[A-Za-z0-9_-]{32})(?=[A-Z0-9_-]*[a-z])(?=[a-z0-9_-]*[A-Z])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{32,}+={0,2}(?![A-Za-z0-9/+=_-])"
 WEAK = {
-    "ident": (r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
-    "key": (r"(?<![A-Za-z0-9/+=_-])(?=[0-9a-f]*[A-Zg-z/+])(?=[A-Za-z/+]*[0-9])[A-Za-z0-9/+]{32,64}(?![A-Za-z0-9/+=_-])", 0, 32),
+    "ident": (r"""(?i:(?<![A-Za-z0-9])(user(?:_?name|_?id)?|login|account(?:_?name|_?id)?|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
+    "key": (f"{URL_SAFE}|{BASE64}", 0, 32),
     "endpoint": (r"(?i:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", 0, 10),
 }
 #: What a part stands for when parts are linked.
