@@ -1,14 +1,13 @@
 """Operator 3: language-model scores by a weighted backoff automaton.
 
-Counts of all training words are gathered from the whole corpus. Words with a share of ``WORD_SHARE`` of all tokens or
-more (1 / WORD_SHARE at most, whatever the corpus) are the automaton's symbols; all others are one symbol, rare, and a
-rare word's share of that symbol comes from its own count, by a join. Pairs of words whose shares are both
-``PAIR_SHARE`` or more are counted as well, and those with a share of ``ARC_SHARE`` or more become arcs. So the automaton has
-a proven size bound and is broadcast, while counts are distributed.
+Counts of all training words and of all pairs of words that follow each other are gathered from the whole corpus; pairs
+that occur ``LEAST`` times or more have a discounted probability of their own, whatever the size of the corpus. Both stay
+in distributed tables keyed by hash. Words with a share of ``WORD_SHARE`` of all tokens or more and pairs with
+``ARC_SHARE`` or more (1 / share at most, whatever the corpus) are broadcast as an automaton; all other words and pairs of
+a text get their log-probabilities by a join.
 
-States are contexts: the root and each word that starts an arc. An arc has the discounted probability of its word; a
-state's failure arc goes to the root with the weight that makes the state's probabilities sum to one. A text is one
-left-to-right traversal that adds log-probabilities.
+States are contexts: the root and each word that starts a pair. A pair has the discounted probability of its word; a
+state's failure arc goes to the root with the weight that makes the state's probabilities sum to one, over all its pairs.
 
 Null text counts as empty: one end token. A null id's text is empty for the split. Repeated rows are scored alike, each
 one counted. With no training text every token is rare and has the base's uniform share.
@@ -19,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,18 +26,34 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, held_out, map_batches, sliced, table, texts_of
 
-WORD_SHARE, PAIR_SHARE, ARC_SHARE, LEAST, DISCOUNT = 1e-6, 2e-5, 2e-6, 3, 0.5
+WORD_SHARE, ARC_SHARE, LEAST, DISCOUNT = 1e-6, 2e-6, 3, 0.5
 ADD = 0.1
 #: The end token; no word holds a line feed.
 END = b"\n"
 #: Entries of a task's counter before it is handed on.
 FLUSH = 400_000
+#: Tokens whose pairs are counted at a time, and words whose hashes a task remembers.
+PAIR_TOKENS, MEMO = 1_000_000, 200_000
 
 
 def _key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+#: Stands before a text's first token; no token has two line feeds.
+START = _key(b"\n\n")
+
+
+class _Keys(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        key = self[word] = _key(word)
+        return key
+
+
 def _word_counts(train: DataFrame) -> DataFrame:
     """hash, n, word (null where it can't have a share of WORD_SHARE) of all training tokens."""
 
@@ -64,35 +80,53 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return parts.groupBy("hash").agg(F.sum("n").alias("n"), F.max("word").alias("word"))
 
 
-def _pair_counts(train: DataFrame, symbols) -> DataFrame:
-    """left, right, n of pairs of training tokens that are both among ``symbols`` (word to number); 0 is a text's start."""
-    size = 1 << 20
+def _pair_counts(train: DataFrame) -> DataFrame:
+    """left, right, n of all pairs of training tokens, by hash."""
 
-    def run(batches):
-        number, counts = symbols.value, Counter()
-        end = number.get(END)
-
-        def rows():
-            pairs = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([p // size for p in pairs], pa.int32()), pa.array([p % size for p in pairs], pa.int32()), pa.array(counts.values(), pa.int64())], names=["left", "right", "n"])
+    def rows(codes: list[int]) -> pa.RecordBatch:
+        code = np.array(codes, np.int64)
+        left, right = code[:-1], code[1:]
+        left, right = left[right != START], right[right != START]
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        n = np.diff(np.r_[first, len(left)])
+        return pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(right[first]), pa.array(n, pa.int64())], names=["left", "right", "n"])
 
+    def run(batches):
+        keys, codes, end = _Keys(), [], _key(END)
         for batch in sliced(batches, "text"):
             for t in texts_of(batch, "text"):
-                codes = [0, *map(number.get, t.translate(LOWER).split()), end]
-                counts.update([a * size + b for a, b in zip(codes, codes[1:]) if a is not None and b is not None])
-            if len(counts) > FLUSH:
-                yield rows()
-                counts.clear()
-        if counts:
-            yield rows()
+                codes.append(START)
+                codes += map(keys.__getitem__, t.translate(LOWER).split())
+                codes.append(end)
+                if len(codes) > PAIR_TOKENS:
+                    yield rows(codes)
+                    codes = []
+        if codes:
+            yield rows(codes)
+
+    return map_batches(train.select("text"), run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
-    return map_batches(train.select("text"), run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+def _pair_model(counts: DataFrame, train: DataFrame, tokens: int, kinds: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of LEAST training occurrences or more (left, right, n, p: its log-probability, base: its word's alone), and the
+    words that start them (hash, fail: log-weight of the failure arc)."""
+    share = tokens + ADD * (kinds + 1)
+    end = F.col("hash") == _key(END)
+    lefts = counts.select(F.when(end, F.lit(START)).otherwise(F.col("hash")).alias("left"), F.col("n").alias("c"))  # the end token starts no pair
+    base = counts.select(F.col("hash").alias("right"), F.log10((F.col("n") + ADD) / share).alias("base"))
+    pairs = cut(_pair_counts(train).where(F.col("n") >= LEAST).join(base, "right").join(lefts, "left").withColumn("p", F.log10((F.col("n") - DISCOUNT) / F.col("c"))))
+    sums = pairs.groupBy("left").agg(F.sum(F.pow(F.lit(10.0), "p")).alias("seen"), F.sum(F.pow(F.lit(10.0), "base")).alias("below"))
+    fail = F.log10(F.greatest(1 - F.col("seen"), F.lit(1e-9)) / F.greatest(1 - F.col("below"), F.lit(1e-9)))
+    return pairs, cut(sums.select(F.col("left").alias("hash"), fail.alias("fail")))
 
 
 class BackoffAutomaton:
     """Arcs by state and word. State 0 is the root; the start of a text has a state of its own."""
 
-    def __init__(self, words: dict[bytes, int], tokens: int, kinds: int, texts: int, pairs: list[tuple[bytes | None, bytes, int]]):
+    def __init__(self, words: dict[bytes, int], tokens: int, kinds: int, texts: int, pairs: list[tuple[bytes | None, bytes, int]], fails: dict[bytes | None, float] | None = None):
+        """``fails``: failure weights over all pairs, of the words that start any, where ``pairs`` are not all there are."""
         share = tokens + ADD * (kinds + 1)
         self.base = {w: math.log10((n + ADD) / share) for w, n in words.items()}
         rare = 1 - sum((n + ADD) / share for n in words.values())
@@ -115,6 +149,35 @@ class BackoffAutomaton:
             if self.arcs[k]:
                 self.fail[k] = math.log10(max(1 - seen[k], 1e-9) / max(1 - below[k], 1e-9))
 
+        #: By word, None before a text's first: its arcs, and the weight of its failure arc.
+        self.after = {left: self.arcs[1 if left is None else state_of[left]] for left in starts}
+        self.fails = {left: self.fail[1 if left is None else state_of[left]] for left in starts} if fails is None else fails
+
+    def parts(self, tokens: list[bytes]) -> tuple[float, float, list[bytes], list[tuple[bytes | None, bytes]]]:
+        """Log-probability under the base of the tokens that are not rare, what the automaton's arcs change, the rare tokens,
+        and the pairs that are no arc of it and may have a probability in the table. Failure arcs of rare words are left out."""
+        base, after, fails = self.base, self.after, self.fails
+        plain, change, others, pairs, last = 0.0, 0.0, [], [], None
+        for w in tokens:
+            alone = base.get(w)
+            if alone is None:
+                others.append(w)
+            else:
+                plain += alone
+                arcs = after.get(last)
+                if arcs is not None and w in arcs:
+                    change += arcs[w][0] - alone
+                    last = w
+                    continue
+            fail = fails.get(last)
+            if fail is not None:
+                change += fail
+                pairs.append((last, w))
+            elif last is not None and last not in base:
+                pairs.append((last, w))
+            last = w
+        return plain, change, others, pairs
+
     def score(self, tokens: list[bytes]) -> tuple[float, float, int, list[bytes]]:
         """Log-probability of the tokens, that of the base for those that are not rare, their number, and the rare ones.
         A rare token counts as the symbol here; its share of it comes later."""
@@ -137,18 +200,27 @@ class BackoffAutomaton:
         return total, plain, len(tokens) - len(others), others
 
 
-def train_model(counts: DataFrame, train: DataFrame) -> tuple[BackoffAutomaton, int, int]:
-    """The automaton, the number of training tokens and of distinct ones. ``counts``: of _word_counts."""
-    context = train.sparkSession.sparkContext
+def train_model(counts: DataFrame, train: DataFrame) -> tuple[BackoffAutomaton, int, int, DataFrame]:
+    """The automaton, the number of training tokens and of distinct ones, and the table of all words and pairs: hash, c (a
+    word's count), change (a word's failure weight as a context; what a pair adds to that and its word's base).
+    ``counts``: of _word_counts."""
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = counts.where(F.col("n") >= max(LEAST, math.ceil(WORD_SHARE * tokens))).select("word", "n").collect()  # 1 / WORD_SHARE rows at most
-    words = {bytes(r.word): r.n for r in often}
-    least = max(LEAST, math.ceil(PAIR_SHARE * tokens))
-    symbols = [None, *sorted(w for w, n in words.items() if n >= least)]
-    number = context.broadcast({w: k for k, w in enumerate(symbols) if k})
-    texts = words.get(END, 0)
-    pairs = _pair_counts(train, number).where(F.col("n") >= max(LEAST, math.ceil(ARC_SHARE * tokens))).collect()  # 1 / ARC_SHARE rows at most
-    return BackoffAutomaton(words, tokens, kinds, texts, [(symbols[p.left], symbols[p.right], p.n) for p in pairs]), tokens, kinds
+    pairs, fails = _pair_model(counts, train, tokens, kinds)
+    often = counts.where(F.col("n") >= max(LEAST, math.ceil(WORD_SHARE * tokens)))
+    starts = fails.withColumnRenamed("fail", "change")
+    words, word, weights = {}, {START: None}, {}
+    for r in often.join(starts, "hash", "left").select("hash", "word", "n", "change").collect():  # 1 / WORD_SHARE rows at most
+        words[bytes(r.word)], word[r.hash] = r.n, bytes(r.word)
+        if r.change is not None:
+            weights[bytes(r.word)] = r.change
+    for r in starts.where(F.col("hash") == START).collect():
+        weights[None] = r.change
+    arcs = pairs.where(F.col("n") >= max(LEAST, math.ceil(ARC_SHARE * tokens))).select("left", "right", "n").collect()  # 1 / ARC_SHARE rows at most
+    known = pairs.join(fails, F.col("left") == F.col("hash")).select(F.xxhash64("left", "right").alias("hash"), F.lit(None).cast("long").alias("c"), (F.col("p") - F.col("base") - F.col("fail")).alias("change"))
+    known = known.unionByName(counts.select("hash", F.col("n").alias("c")).join(starts, "hash", "left"))
+    # a pair's count may reach the bound of arcs only if those of its words reach the one of words
+    own = [(word[p.left], word[p.right], p.n) for p in arcs]
+    return BackoffAutomaton(words, tokens, kinds, words.get(END, 0), own, weights), tokens, kinds, known
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10) -> DataFrame:
@@ -157,41 +229,50 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("held_out", held_out("id", mod))
     train = own.where(~F.col("held_out"))
     counts = cut(_word_counts(train))
-    automaton, tokens, kinds = train_model(counts, train)
+    automaton, tokens, kinds, known_ = train_model(counts, train)
     model = own.sparkSession.sparkContext.broadcast(automaton)
-    names = ["row", "id", "held_out", "n_tokens", "known", "plain", "total", "hash", "n"]
+    names = ["row", "id", "held_out", "n_tokens", "known", "plain", "change", "left", "hash", "n"]
 
     def run(batches):
-        m = model.value
+        m, keys = model.value, _Keys()
         for batch in sliced(batches, "text"):
             columns: list[list] = [[] for _ in names]
             row, ids, held = (batch.column(c).to_pylist() for c in ("row", "id", "held_out"))
             for k, t in enumerate(texts_of(batch, "text")):
                 tokens = t.translate(LOWER).split()
                 tokens.append(END)
-                total, plain, known, rare = m.score(tokens)
-                # a row for the text, with a key of its own in place of a word's, and one for each of its rare words
-                rows = [(row[k], ids[k], held[k], len(tokens), known, plain, total, row[k] * 0x9E3779B185EBCA87 % (1 << 64) - (1 << 63), None)]
-                rows += [(row[k], None, None, None, None, None, None, _key(w), n) for w, n in Counter(rare).items()]
+                plain, change, rare, pairs = m.parts(tokens)
+                # a row for the text, with a key of its own in place of a word's, and one for each of its rare words and its pairs
+                rows = [(row[k], ids[k], held[k], len(tokens), len(tokens) - len(rare), plain, change, None, row[k] * 0x9E3779B185EBCA87 % (1 << 64) - (1 << 63), None)]
+                rows += [(row[k], None, None, None, None, None, None, None, keys[w], n) for w, n in Counter(rare).items()]
+                rows += [(row[k], None, None, None, None, None, None, START if a is None else keys[a], keys[b], n) for (a, b), n in Counter(pairs).items()]
                 for column, values in zip(columns, zip(*rows), strict=True):
                     column += values
-            kinds_ = [pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], names=names)
+                if len(columns[0]) > FLUSH:
+                    yield made(columns, batch)
+                    columns = [[] for _ in names]
+            yield made(columns, batch)
+
+    def made(columns, batch) -> pa.RecordBatch:
+        kinds_ = [pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], names=names)
 
     kind = dict(own.dtypes)["id"]
-    rows = map_batches(own.withColumn("row", F.monotonically_increasing_id()), run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, plain double, total double, hash long, n long")
+    rows = map_batches(own.withColumn("row", F.monotonically_increasing_id()), run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, plain double, change double, left long, hash long, n long")
+    word = F.col("left").isNull() & F.col("n").isNotNull()
+    rows = rows.select(*(c for c in names if c not in ("left", "hash")), word.alias("word"), F.when(F.col("left").isNull(), F.col("hash")).otherwise(F.xxhash64("left", "hash")).alias("hash"))
     share = tokens + ADD * (kinds + 1)
-    joined = rows.join(counts.select("hash", F.col("n").alias("c")), "hash", "left")
-    base = F.when(F.col("n").isNotNull(), F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / share))
-    known = F.when(F.col("n").isNotNull() & F.col("c").isNotNull(), F.col("n"))
+    joined = rows.join(known_.withColumnRenamed("change", "more"), "hash", "left")
+    base = F.when(F.col("word"), F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / share))
+    known = F.when(F.col("word") & F.col("c").isNotNull(), F.col("n"))
     one = joined.groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "known", "plain", "total")),
-        F.coalesce(F.sum(base), F.lit(0.0)).alias("rare_base"), F.coalesce(F.sum(known), F.lit(0)).alias("rare_known"), F.coalesce(F.sum("n"), F.lit(0)).alias("rare"),
+        *(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "known", "plain", "change")),
+        F.coalesce(F.sum(base), F.lit(0.0)).alias("rare_base"), F.coalesce(F.sum(known), F.lit(0)).alias("rare_known"), F.coalesce(F.sum(F.col("n") * F.col("more")), F.lit(0.0)).alias("more"),
     )
     return one.select(
         "id", "held_out", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("plain") + F.col("rare_base")).alias("base_score"),
-        (F.col("total") + F.col("rare_base") - F.col("rare") * F.lit(automaton.rare)).alias("score"),
+        (F.col("plain") + F.col("rare_base") + F.col("change") + F.col("more")).alias("score"),
     )
 
 
