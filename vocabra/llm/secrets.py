@@ -1,7 +1,7 @@
 """Operator 10: secret scans with multipart credential linking, with DataFrame functions only.
 
-Patterns give parts with their spans: whole texts are split at the matches, and running sums over the lengths of gaps
-and matches give the places. Strong parts (assignments, access keys, long hex strings) are always reported. Weak ones
+Patterns give parts with their spans, all in one scan: whole texts are split at the matches of each kind, and running sums
+over the lengths of gaps and matches give the places. Strong parts (assignments, access keys, long hex strings) are always reported. Weak ones
 (names of accounts, strings that look like secret keys, endpoints) are reported only next to their complement: parts are
 put in bins as wide as the reach, and an interval join over a bin and its neighbours links an identifier with a secret;
 an endpoint is reported if both stand within its reach. A bin has room for a bounded number of parts, which bounds the
@@ -38,26 +38,28 @@ REACH = 200
 _LONG_RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 
 
-def _matches(docs: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
-    """A row for each match: id, text_hash, kind, start, end."""
-    text, pattern = F.col("text"), _LONG_RUNS.get(kind, pattern)
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.split(text, pattern, -1).alias("gap"))
-    rows = docs.where(text.rlike(pattern)).select("id", "text_hash", F.posexplode(found).alias("n", "x"))
-    rows = rows.select("id", "text_hash", "n", F.length("x.gap").alias("gap"), F.coalesce(F.length("x.m"), F.lit(0)).alias("m"), F.coalesce(F.length("x.g"), F.lit(0)).alias("g"))
-    rows = rows.dropDuplicates(["id", "text_hash", "n"])  # of repeated rows
-    upto = F.sum(F.col("gap") + F.col("m")).over(Window.partitionBy("id", "text_hash").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("id", "text_hash", F.lit(kind).alias("kind"), (upto - F.col("m")).alias("start"), upto.alias("end"), "g")
-    return rows.where(F.col("g") >= least).drop("g")
+def _matches(text: Column, rank: int, kind: str, pattern: str, group: int) -> Column:
+    """An array with a struct for each match: rank of the kind, number, lengths of the gap before it, of the match and of the
+    group. Texts without a match, nearly all, are gone through once."""
+    pattern = _LONG_RUNS.get(kind, pattern)
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    found = F.arrays_zip(whole.alias("m"), own.alias("g"), F.split(text, pattern, -1).alias("gap"))
+    made = F.transform(found, lambda x, n: F.struct(F.lit(rank).alias("rank"), n.alias("n"), size(x["gap"]).alias("gap"), size(x["m"]).alias("m"), size(x["g"]).alias("g")))
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast("array<struct<rank:int,n:int,gap:int,m:int,g:int>>"))
 
 
 def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All parts, strong and weak: id, text_hash, kind, start, end (code points, end exclusive). Repeated rows count once."""
-    own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    out = None
-    for kind, (pattern, group, least) in (STRONG | WEAK).items():
-        rows = _matches(own, kind, pattern, group, least)
-        out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates()
+    kinds = STRONG | WEAK
+    every = F.flatten(F.array(*(_matches(F.col(text), rank, kind, pattern, group) for rank, (kind, (pattern, group, _)) in enumerate(kinds.items()))))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(every).alias("x")).select("id", "text_hash", "x.*")
+    rows = rows.dropDuplicates(["id", "text_hash", "rank", "n"])
+    upto = F.sum(F.col("gap") + F.col("m")).over(Window.partitionBy("id", "text_hash", "rank").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    kind, least = (F.element_at(F.array(*map(F.lit, x)), F.col("rank") + 1) for x in (list(kinds), [n for _, _, n in kinds.values()]))
+    rows = rows.select("id", "text_hash", kind.alias("kind"), (upto - F.col("m")).alias("start"), upto.alias("end"), "m", "g", least.alias("least"))
+    return rows.where((F.col("m") > 0) & (F.col("g") >= F.col("least"))).drop("m", "g", "least")
 
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
