@@ -5,15 +5,16 @@ and the j-th pair of the other as its key, so 4 * SIDE minhashes give SIDE squar
 table only if they meet in its first pair, so keys are formed only where first pairs meet. A link of similarity 0.75
 shares no key with probability 2 * (1 - 0.75 ** 2) ** SIDE, 0.0005, and is still found where others join its ends.
 
-Documents of equal shingle sets are one class, for which its smallest id stands. In each table of two or more
-classes, all are confirmed against the smallest on full sets. Where a table still holds several components, the pairs
-over component borders follow, all of them: of each pair the one table with the least (i, j) gives it, if sizes and a
-1536-bit sketch allow 0.75 (an estimate below 0.67 for a true 0.75 is 4.7 deviations away), and full sets confirm it.
-So a large group of near copies costs a comparison each, and no step emits all pairs of a group.
+Documents of equal shingle sets are one class, whatever their ids. In each table of two or more classes, all are confirmed
+against its first on full sets. Where a table still holds several components, the pairs over component borders follow,
+all of them: of each pair the one table with the least (i, j) gives it, if sizes and a 1536-bit sketch allow 0.75 (an
+estimate below 0.67 for a true 0.75 is 4.7 deviations away), and full sets confirm it. Large tables are split for that,
+so that no task has all pairs of one. So a large group of near copies costs a comparison each; pairs that are close and
+not linked are compared one by one.
 
 Documents without words are linked with nothing. A row without an id is linked with nothing and stays. Repeated rows are
-in one class. Rows that share an id and differ in text have components of their own; where each stands for a class of
-equal sets, one of them is compared with other sets.
+in one class. Rows that share an id and differ in text are compared by their own texts; each has the smallest id of its
+own group.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from hashlib import md5
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,8 @@ from .components import components
 SHINGLE, SIMILAR = 5, 75
 SIDE, EACH = 10, 2
 SKETCH_BITS, SKETCH_DIFFER = 1536, 253
+#: Rows of a table that one task pairs with the others of that table.
+SPLIT = 1000
 
 _MIX, _END = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -95,9 +98,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, text_hash, n_shingles, digest of the set (null if empty), and the pairs of both collections as arrays."""
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("first", longs), T.StructField("second", longs)])
+    """row, id, text_hash, n_shingles, digest of the set (null if empty), and the pairs of both collections as arrays."""
+    schema = T._parse_datatype_string("row long, id long, text_hash long, n_shingles long, digest binary, first array<long>, second array<long>")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts_of(batch, "text")]
@@ -109,11 +111,13 @@ def _signed(docs: DataFrame) -> DataFrame:
             first, second = keys[:, :SIDE], keys[:, SIDE:]
         put = iter(zip(first.tolist(), second.tolist(), strict=True))
         pairs = [next(put) if len(s) else (None, None) for s in sets]
-        columns = [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())]
+        digests = [md5(s.tobytes()).digest() if len(s) else None for s in sets]
+        columns = [*(batch.column(c) for c in ("row", "id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
         columns += [pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return per_slice(docs.withColumn("text_hash", F.xxhash64("text")), "text", work, schema)
+    keyed = docs.withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")})
+    return per_slice(keyed, "text", work, schema)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,7 +157,8 @@ def _tables(classes: DataFrame) -> DataFrame:
 def _across(tables: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a table."""
     rows = tables.drop("least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("table")
+    mixed = rows.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("lo < hi").select("table", F.ceil(F.col("n") / SPLIT).cast("int").alias("splits"))
     open_ = cut(rows.join(mixed, "table"))
     members = open_.select("id").distinct()
     bits = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(SKETCH_BITS // 64))])
@@ -167,53 +172,67 @@ def _across(tables: DataFrame, comps: DataFrame, classes: DataFrame, texts: Data
     short = classes.select("id", *(F.transform(c, lambda x: F.hash(x)).alias(c) for c in ("first", "second")))
     own = cut(own.join(short, "id"))
     wide = open_.join(own, "id")
-    a, b = wide.alias("a"), wide.alias("b")
+    a = wide.withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits").cast("long")).cast("int")).alias("a")
+    b = wide.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).alias("b")
     col = lambda side, name: F.col(f"{side}.{name}")
     differ = sum((F.bit_count(col("a", f"s{k}").bitwiseXOR(col("b", f"s{k}"))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     small, large = (f(col("a", "n_shingles"), col("b", "n_shingles")) for f in (F.least, F.greatest))
     least = lambda side: F.array_position(F.zip_with(col("a", side), col("b", side), lambda x, y: x == y), True) - 1
     fits = (
-        (col("a", "table") == col("b", "table")) & (col("a", "id") < col("b", "id")) & (col("a", "component") != col("b", "component"))
+        (col("a", "table") == col("b", "table")) & (col("a", "split") == col("b", "split")) & (col("a", "id") < col("b", "id")) & (col("a", "component") != col("b", "component"))
         & (100 * small >= SIMILAR * large) & (differ <= SKETCH_DIFFER) & (least("first") == col("a", "i")) & (least("second") == col("a", "j"))
     )
     return a.join(b, fits).select(col("a", "id").alias("a"), col("b", "id").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``id``, ``text_hash``, ``n_shingles``, ``component_id`` (the smallest id of its
-    group)."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """A row for each row of ``docs``: ``row``, ``id``, ``text_hash``, ``n_shingles``, ``component`` (a number of its group; null where
+    nothing can be linked) and ``component_id`` (the smallest id of its group)."""
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(_signed(own))
     sets = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    least = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    # a class is a set; where rows share an id, the id stands for its smallest set only
-    reps = least.groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"))
-    classes = cut(sets.join(reps, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text_hash", "n_shingles", "first", "second"))
+    least = sets.groupBy("digest").agg(F.min("row").alias("class"), F.min("id").alias("least_id"))  # a class is a set
+    firsts = sets.join(least.select(F.col("class").alias("row")), "row")
+    classes = cut(firsts.select(F.col("row").alias("id"), F.col("id").alias("doc"), "text_hash", "n_shingles", "first", "second"))
     tables = _tables(classes)
-    chosen = classes.select("id", "text_hash").join(tables.select("id").distinct(), "id")
-    texts = own.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["id", "text_hash"], "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))  # repeated rows
+    chosen = classes.select(F.col("id").alias("class"), F.col("doc").alias("id"), "text_hash").join(tables.select(F.col("id").alias("class")).distinct(), "class")
+    texts = own.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["id", "text_hash"])
+    texts = cut(texts.groupBy(F.col("class").alias("id")).agg(F.min("text").alias("text")))  # repeated rows
     tested = tables.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(_confirmed(tested, texts))
     across = cut(_confirmed(_across(tables, components(stars), classes, texts), texts))
-    comps = components(stars.union(across))
-    found = least.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "text_hash", "n_shingles", "digest").join(found, "digest", "left")
-    return out.select("id", "text_hash", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    comps = components(stars.union(across)).join(least.select(F.col("class").alias("id"), "least_id"), "id")
+    smallest = comps.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = comps.join(smallest, "component").select(F.col("id").alias("class"), "component", "component_id")
+    found = least.join(linked, "class", "left").select("digest", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"))
+    out = signed.select("row", "id", "text_hash", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")
+    return out.select("row", "id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: ``id``, ``text_hash``, ``n_shingles``, ``component_id`` (the smallest id of its
+    group; null without an id)."""
+    return _grouped(docs, doc_id, text).select("id", "text_hash", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of ``docs``, unchanged: that of its smallest id. Rows without words or without an id stay."""
-    found = groups(docs, doc_id, text).where(F.col("id") != F.col("component_id"))
-    gone = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    left = docs.join(gone, (F.col(doc_id) == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
-    repeated = left.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1))
-    return left if repeated.isEmpty() else left.dropDuplicates([doc_id, text])
+    """One row of each group of ``docs``, unchanged: one of its smallest id. Rows without words or without an id stay, repeated
+    or not."""
+    found = cut(_grouped(docs, doc_id, text).where(F.col("component").isNotNull()).select("id", "text_hash", "component"))
+    kept = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("one"))
+    mine = found.select("id", "text_hash", "component").distinct().join(kept, "component")
+    mine = mine.select("id", "text_hash", (F.struct("id", "text_hash") == F.col("one")).alias("stays"))
+    rows = docs.select(F.struct("*").alias("doc"))
+    keyed = rows.withColumns({"id": F.col("doc").getField(doc_id).cast("long"), "text_hash": F.xxhash64(F.col("doc").getField(text))})
+    joined = keyed.join(mine, ["id", "text_hash"], "left")
+    nth = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("stays"))  # of rows that are the same document
+    return joined.withColumn("nth", nth).where(F.col("stays").isNull() | (F.col("stays") & (F.col("nth") == 1))).select("doc.*")
 
 
 def query(spark, sf_dir):
     found = groups(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
 ORACLE_SQL = r"""
