@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,14 +59,27 @@ def held_out(doc_id: str, mod: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod == 0
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from being a column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def checked_dir(spark: SparkSession) -> None:
-    """Checkpoints need the folder that spark.checkpoint.dir names; set one only where the session has none."""
+    """Checkpoints need the shared folder that spark.checkpoint.dir names. Only where all of Spark is one process, as in tests,
+    a folder of this machine stands in for one that is not named."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="vocabra-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
 
 

@@ -12,8 +12,8 @@ percent of its words. Null or empty texts have no words and fail. Repeated rows
 
 from __future__ import annotations
 
-from itertools import count
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, per_slice, table, texts_of
+from .common import SPACES, per_slice, table, texts_of, unused
 
-MIN_WORDS, MIN_REPEAT, MAX_COVERED, LONG_REPEAT, MAX_LONGEST = 10, 5, 20, 24, 10
+#: A repeat at two places apart covers twice its length, so the share of the longest one is well below half of the other.
+MIN_WORDS, MIN_REPEAT, MAX_COVERED, LONG_REPEAT, MAX_LONGEST = 10, 5, 20, 50, 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that begin no code point, and white space.
 NO_CHARACTER = bytes(range(0x80, 0xC0)) + SPACES
@@ -112,24 +114,32 @@ def measures(texts: list[bytes], least: int = MIN_REPEAT) -> dict[str, list[int]
     }
 
 
-def judge(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """Add the measures, ``base_failed`` and ``kept`` to the columns of ``docs``; a map without a shuffle."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in {*names, "base_failed", "kept"}))
+def _judged(docs: DataFrame, text: str, min_repeat: int, names: list[str]) -> DataFrame:
+    """``docs`` with the measures, ``base_failed`` and ``kept`` under these names."""
+    made = names[: len(MEASURES)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = measures(texts_of(batch, text), min_repeat)
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[n], pa.int64()) for n in names)], names=[*batch.schema.names, *names])
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[m], pa.int64()) for m in MEASURES)], names=[*batch.schema.names, *made])
 
-    out = per_slice(docs, text, work, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_COVERED * F.col("n_words"))
-    long = (F.col("longest_repeat") > LONG_REPEAT) & (100 * F.col("longest_repeat") > MAX_LONGEST * F.col("n_words"))
-    return out.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~long)
+    out = per_slice(docs, text, work, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in made)]))
+    col = {m: F.col(n) for m, n in zip(MEASURES, names)}
+    base_failed = (col["n_words"] < MIN_WORDS) | (100 * col["n_repeat_words"] > MAX_COVERED * col["n_words"])
+    long = (col["longest_repeat"] > LONG_REPEAT) & (100 * col["longest_repeat"] > MAX_LONGEST * col["n_words"])
+    return out.withColumns({names[-2]: base_failed, names[-1]: ~base_failed & ~long})
+
+
+def judge(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """Add the measures, ``base_failed`` and ``kept`` to the columns of ``docs``, in place of columns of these names; a map
+    without a shuffle."""
+    names = [*MEASURES, "base_failed", "kept"]
+    return _judged(docs.drop(*(c for c in docs.columns if c.lower() in names)), text, min_repeat, names)
 
 
 def good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged."""
-    return judge(docs, text).where("kept").select(docs.columns)
+    """The rows of ``docs`` that the rules keep, with their own columns, whatever those are called."""
+    names = unused(docs, *MEASURES, "base_failed", "kept")
+    return _judged(docs, text, MIN_REPEAT, names).where(F.col(names[-1])).select(docs.columns)
 
 
 def query(spark, sf_dir):
@@ -150,6 +160,6 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
                   coalesce(words.n, 0) AS n_repeat_words, coalesce(longest.n, 0) AS longest_repeat
            FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN longest USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (longest_repeat > 24 AND 100 * longest_repeat > 10 * n_words) AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (longest_repeat > 50 AND 100 * longest_repeat > 5 * n_words) AS kept
 FROM m
 """
