@@ -1,10 +1,11 @@
 """Operator 8: line dedup over range-partitioned hashes, with DataFrame functions only.
 
 A line's key is the line without white space at both ends, A-Z lower-cased. Its hash, the document and the position of
-every line are range-partitioned and sorted by all three, so that a line which stands in a third of all documents is
-dealt over many partitions. Each partition gives the first occurrence in each document and the positions there; counts
-per hash are summed from partial counts. What comes out is a keep bitmap per document, compressed as runs of
-dropped lines, and no text.
+every line are written once, range-partitioned by hash and document and sorted by position within those, so that a line
+which stands in a third of all documents is dealt over many partitions. A window streams over that order, without
+another shuffle or sort, and marks the first occurrence of each line in each document; documents per line are counts of
+first occurrences, summed from partial counts. What comes out is a keep bitmap per document, compressed as runs of dropped
+lines, and no text.
 
 Null or empty texts are one empty line. Rows that have id and text in common are one document and get one bitmap; rows
 that have only the id in common are two. With an empty table nothing is dropped.
@@ -20,8 +21,8 @@ from .common import cut, table
 UPPER, BLANK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\x0b\x0c\r"
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def line_key(line: Column) -> Column:
@@ -38,18 +39,19 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     documents or more; with ``keep_first`` the very first occurrence stays."""
     doc = ["id", "text_hash"]
     lines = (
-        docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(_lines(text)).alias("pos", "line"))
+        docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
         .select(*doc, "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
         .select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), *doc, "pos")
     )
+    lines = cut(lines)  # hashes and places only; the sampling of ranges and the join below read them again
     ranged = lines.repartitionByRange("hash", *doc).sortWithinPartitions("hash", *doc, "pos")
-    by_doc = cut(ranged.groupBy("hash", *doc).agg(F.min("pos").alias("first"), F.collect_set("pos").alias("at")))
-    counts = by_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*doc, "first")).alias("origin")).where(F.col("docs") >= min_docs)
-    frequent = cut(counts)  # written, so that both sides of the join are plain shuffles, which Spark splits where a line is frequent
-    dropped = by_doc.join(frequent, "hash").select(*doc, "origin", F.explode("at").alias("pos"))
+    firsts = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("hash", *doc).orderBy("pos"))).where("nth = 1")
+    counts = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*doc, "pos")).alias("origin"))
+    frequent = cut(counts.where(F.col("docs") >= min_docs))  # written, so that both sides of the join are plain shuffles, which Spark splits where a line is frequent
+    dropped = lines.join(frequent, "hash").select(*doc, "origin", "pos").distinct()  # repeated rows are one document
     if keep_first:
-        dropped = dropped.where(~F.struct(*doc, F.col("pos").alias("first")).eqNullSafe(F.col("origin")))
+        dropped = dropped.where(~F.struct(*doc, "pos").eqNullSafe(F.col("origin")))
     order = Window.partitionBy(*doc).orderBy("pos")
     runs = dropped.select(*doc, "pos", (F.col("pos") - F.row_number().over(order)).alias("run")).groupBy(*doc, "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("n"))
     return runs.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("runs"))
@@ -65,34 +67,32 @@ def _kept(lines: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs``, then ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text that stays; null texts stay)."""
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
-    own = bitmaps.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("runs").alias("_runs"))
-    joined = keyed.join(own, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left")
-    n_dropped = F.coalesce(F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0).cast("long"))
-    return joined.select(
-        *(F.col(c) for c in docs.columns), F.size(_lines(text)).cast("long").alias("_n_lines"), n_dropped.alias("_n_dropped"),
-        F.when(F.col("_runs").isNull(), F.col(text)).otherwise(_kept(_lines(text), F.col("_runs"))).alias("_kept"),
-    )
+    """``doc`` (a struct of the columns of ``docs``), ``n_lines``, ``n_dropped`` and ``kept`` (the text that stays; null texts stay)."""
+    own = docs.select(F.struct("*").alias("doc"))
+    whole = F.col("doc").getField(text)
+    keyed = own.select("doc", F.col("doc").getField(doc_id).alias("own_id"), F.xxhash64(whole).alias("own_hash"))
+    joined = keyed.join(bitmaps, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    zero = F.lit(0).cast("long")
+    n_dropped = F.coalesce(F.aggregate("runs", zero, lambda a, r: a + r["n"]), zero)
+    kept = F.when(F.col("runs").isNull(), whole).otherwise(_kept(_lines(whole), F.col("runs")))
+    return joined.select("doc", F.size(_lines(whole)).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs`` without their frequent lines; the same columns and rows. Where text changes, ``n_chars`` follows it."""
     out = apply_bitmaps(docs, keep_bitmaps(docs, doc_id=doc_id, text=text, **limits), doc_id, text)
-    lost = F.col("_n_dropped") > 0
-    new = {text: F.col("_kept")}
+    new = {text: F.col("kept")}
     for c, kind in docs.dtypes:
         if c.lower() == "n_chars":
-            new[c] = F.when(lost, F.length("_kept")).otherwise(F.col(c)).cast(kind)
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+            new[c] = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("doc").getField(c)).cast(kind)
+    return out.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_bitmaps(docs, keep_bitmaps(docs)).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-    )
+        "doc.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
 
 
 ORACLE_SQL = r"""
