@@ -83,15 +83,19 @@ def checked_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that nothing refers to when the driver's JVM collects garbage; long jobs with small
+    drivers would keep them all until the end, so that is asked for here."""
+    gc.collect()  # query objects here keep their plans there
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there. Spark deletes the files of shuffles that nothing
-    refers to when the driver's JVM collects garbage; long jobs with small drivers would keep them all until the end, so
-    that is asked for here."""
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
     checked_dir(spark := df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()  # query objects here keep their plans there
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, cut, held_out, map_batches, sliced, table, texts_of
+from .common import LOWER, cut, held_out, map_batches, sliced, table, texts_of, tidy
 from .packed import fields, joined, pack, runs, unpack
 
 WORD_SHARE, ARC_SHARE, LEAST = 1e-6, 2e-6, 3
@@ -37,7 +37,7 @@ ADD = 0.1
 #: The end token; no word holds a line feed.
 END = b"\n"
 #: Entries of a task's counter of words before it is handed on, and tokens whose pairs are packed at a time.
-FLUSH, TOKENS = 400_000, 2_000_000
+FLUSH, TOKENS = 400_000, 1_500_000
 #: Codes of the start, of the end token, and of the first rare word of a chunk. Frequent words lie between.
 START_CODE, END_CODE, RARE_CODE = 0, 1, 1 << 20
 #: Words whose codes a task remembers.
@@ -452,6 +452,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
     # four parts or more for each partition of a shuffle, so that they are dealt evenly, and two million tokens for each
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens) // 2_000_000)
     automaton = train_model(counts, train, parts)
+    tidy(spark)  # the shuffle of all pairs is as large as the next one
     model = spark.sparkContext.broadcast(automaton)
     kind = dict(own.dtypes)["id"]
     told = "first long, row long, id {}, held_out boolean, n_tokens long, known long, base double, score double".format(kind)
