@@ -3,18 +3,22 @@
 A lexicon of words and word beginnings is learned from labelled texts: those that stand in toxic texts far more often
 than chance allows for so many candidates. The lexicon is a trie; its intersection with the Levenshtein automata of
 the words of a text is made a deterministic automaton step by step, as words need it, so that most words leave it after
-a few letters. It takes one edit after the first letter, in terms of five letters or more. Each hit is weighed by its
-context: a window with quotation marks or words of reporting makes it count as quoted, which weighs less. A logistic
+a few letters. A letter too many, missing, other or swapped with the next is an edit, the first letter's included; terms
+of five letters or more may have one and those of ten or more two. Signs inside a word are letters of it here. Each hit
+is weighed by its context: a window with quotation marks, or with a mark and a cue, makes it count as quoted, which
+weighs less. Cues are words learned from the windows of hits in clean texts, and a few words of reporting. A logistic
 model over a few sums of hits gives the score.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids; rows held out of
-labels (crc32 of the id, modulo 5, is 0) never take part. Null or empty texts have no hits and get the score of no hits.
-Without labelled rows, or with one kind only, all scores are 0. Repeated rows are scored alike.
+The model is fitted on at most ``SAMPLE`` labelled ids, those with the smallest hashes; an id with both labels has none,
+and of the texts of one id the first in order counts. Ids held out (crc32, modulo 5, is 0) never take part. Null or empty
+texts have no hits and get the score of no hits. Without labelled rows, or with one kind only, all scores are 0. Repeated
+rows are scored alike. Words of over 40 bytes, as scripts without spaces have, are no candidates for the lexicon.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -28,61 +32,81 @@ from .common import LOWER, WORDS_ONLY, cut, held_out, map_batches, per_slice, sl
 #: Labelled rows to fit on, and terms of a lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
 BEGINNINGS = range(4, 10)
-FUZZY_FROM, WINDOW, QUOTED = 5, 8, 0.4
+WINDOW, QUOTED = 8, 0.4
+#: Letters of a term for one edit, and for two.
+EDITS = (5, 10)
+#: Cues of quotation at most, and windows that one must stand in.
+CUES, CUE_LEAST = 200, 8
+#: Words with signs inside, and those signs.
+_MIXED = re.compile(rb"[0-9a-z\x80-\xff]+(?:[!@$*#+.-][0-9a-z\x80-\xff]+)+")
+_SIGNS = re.compile(rb"[a-z\x80-\xff][!@$*#+][a-z\x80-\xff]")
 #: Words of reporting, in the languages of the corpus.
 REPORTING = frozenset(b"said says quote quoted quotes wrote called calls sagte zitat zitiert schrieb dijo cita escribi dit citation".split())
 FEATURES = ("weight", "hits", "kinds", "fuzzy")
 
 
+def _may(term: bytes) -> int:
+    """Edits that a term may have."""
+    return sum(len(term) >= n for n in EDITS)
+
+
 class TermAutomaton:
-    """Lazily determinised automaton of all terms and of what is one edit away from the longer ones."""
+    """Lazily determinised automaton of all terms and of what is a few edits away from the longer ones."""
 
-    def __init__(self, terms: dict[bytes, tuple[float, bool]]):
-        self.terms = list(terms.items())
+    def __init__(self, terms: dict[bytes, tuple[float, bool]], cues: frozenset[bytes] = REPORTING):
+        self.terms, self.cues = list(terms.items()), cues
         self.child: list[dict[int, int]] = [{}]
         self.end: list[int] = [-1]
-        self.long: list[bool] = [False]  # a term of FUZZY_FROM letters or more goes on from here
+        self.may: list[int] = [0]  # edits of the longest term that goes on from here
         for k, (term, _) in enumerate(self.terms):
             node = 0
             for c in term:
+                self.may[node] = max(self.may[node], _may(term))
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
                     self.end.append(-1)
-                    self.long.append(False)
+                    self.may.append(0)
                 node = self.child[node][c]
-                self.long[node] |= len(term) >= FUZZY_FROM
+            self.may[node] = max(self.may[node], _may(term))
             self.end[node] = k
         self._reset()
 
     def _reset(self) -> None:
-        first = frozenset({(0, 0)})
+        start: dict[tuple[int, int], int] = {}
+        self._add(start, 0, -1, 0)
+        first = frozenset(start.items())
         self.number, self.sets = {first: 0}, [first]
         self.arcs: list[dict[int, int]] = [{}]
         self.sticky: list[tuple[int, int]] = [(-1, 0)]  # the beginning that a state has passed, and its edits
         self.whole: list[tuple[int, int]] = [(-1, 0)]
         self.words: dict[bytes, tuple[int, int]] = {}
 
+    def _add(self, after: dict, node: int, want: int, edits: int) -> None:
+        """Put a place into a set: a node, the letter that must come next after a swap (or -1), and the edits so far."""
+        if edits > self.may[node] or after.get((node, want), 9) <= edits:
+            return
+        after[node, want] = edits
+        if want < 0:
+            for n in self.child[node].values():  # a letter of the term is missing
+                self._add(after, n, -1, edits + 1)
+
     def _step(self, state: int, c: int) -> int:
         """The next state, or -1 where no term is left."""
-        after: dict[int, int] = {}
-
-        def add(node: int, edits: int) -> None:
-            if after.get(node, 9) > edits:
-                after[node] = edits
-                if edits == 0 and self.long[node]:  # a letter of the term is missing
-                    for n in self.child[node].values():
-                        if self.long[n]:
-                            add(n, 1)
-
-        for node, edits in self.sets[state]:
+        after: dict[tuple[int, int], int] = {}
+        for (node, want), edits in self.sets[state]:
+            if want >= 0:
+                if c == want:
+                    self._add(after, node, -1, edits)
+                continue
             if c in self.child[node]:
-                add(self.child[node][c], edits)
-            if edits == 0 and node and self.long[node]:
-                add(node, 1)  # a letter too many
-                for n in self.child[node].values():  # another letter
-                    if self.long[n]:
-                        add(n, 1)
+                self._add(after, self.child[node][c], -1, edits)
+            if edits < self.may[node]:
+                self._add(after, node, -1, edits + 1)  # a letter too many
+                for letter, n in self.child[node].items():
+                    self._add(after, n, -1, edits + 1)  # another letter
+                    if c in self.child[n]:
+                        self._add(after, self.child[n][c], letter, edits + 1)  # two letters swapped
         if not after:
             return -1
         key = frozenset(after.items())
@@ -91,14 +115,14 @@ class TermAutomaton:
             new = self.number[key] = len(self.sets)
             self.sets.append(key)
             self.arcs.append({})
-            ends = sorted((e, self.end[n]) for n, e in key if self.end[n] >= 0 and (not e or len(self.terms[self.end[n]][0]) >= FUZZY_FROM))
+            ends = sorted((e, self.end[n]) for (n, want), e in key if want < 0 and self.end[n] >= 0 and e <= _may(self.terms[self.end[n]][0]))
             begins = [(k, e) for e, k in ends if self.terms[k][1][1]]
             self.sticky.append(begins[0] if begins else (-1, 0))
             self.whole.append((ends[0][1], ends[0][0]) if ends else (-1, 0))
         return new
 
     def find(self, word: bytes) -> tuple[int, int]:
-        """The term that a word is or begins with, or -1, and the edits between them (0 or 1)."""
+        """The term that a word is or begins with, or -1, and the edits between them."""
         known = self.words.get(word)
         if known is not None:
             return known
@@ -129,7 +153,7 @@ class TermAutomaton:
         """Sums over the hits of a text: weights by context, hits, kinds of terms, and logarithms keep long texts level."""
         words = text.translate(WORDS_ONLY).split()
         find = self.find
-        hits = [(k, x) for k, x in enumerate(map(find, words)) if x[0] >= 0]
+        hits = [(k, x) for k, x in enumerate(map(find, words)) if x[0] >= 0] + self._mixed(text)
         if not hits:
             return [0.0] * len(FEATURES)
         quoted = self._quoted(text, words, [k for k, _ in hits])
@@ -138,10 +162,29 @@ class TermAutomaton:
         fuzzy = sum(q for (_, x), q in zip(hits, (QUOTED if q else 1.0 for q in quoted), strict=True) if x[1])
         return [math.log1p(max(weight, 0.0)), math.log1p(sum(q for _, q in exact)), math.log1p(len({t for t, _ in exact})), math.log1p(fuzzy)]
 
-    @staticmethod
-    def _quoted(text: bytes, words: list[bytes], at: list[int]) -> list[bool]:
+    def _mixed(self, text: bytes) -> list[tuple[int, tuple[int, int]]]:
+        """Hits of words with signs inside that are none without: place of the first part, and what was found."""
+        lower = text.translate(LOWER)
+        if not _SIGNS.search(lower):
+            return []
+        out, place, done = [], 0, 0
+        for m in _MIXED.finditer(lower):
+            place += len(lower[done : m.start()].translate(WORDS_ONLY).split())
+            done = m.start()
+            found = self.find(m[0])
+            if found[1] and all(self.find(part)[0] < 0 for part in m[0].translate(WORDS_ONLY).split()):
+                out.append((place, found))
+        return out
+
+    def windows(self, text: bytes) -> list[set[bytes]]:
+        """The words around each exact hit of a text."""
+        words = text.translate(WORDS_ONLY).split()
+        at = [k for k, x in enumerate(map(self.find, words)) if x[0] >= 0 and not x[1]]
+        return [set(words[max(0, k - WINDOW) : k] + words[k + 1 : k + WINDOW + 1]) for k in at]
+
+    def _quoted(self, text: bytes, words: list[bytes], at: list[int]) -> list[bool]:
         """For each hit: is it reported speech? An odd number of quotation marks stands before it and one closes it near by, or
-        a word of reporting stands in its window together with a mark."""
+        a cue stands in its window together with a mark."""
         marks = [0]  # quotation marks before each word
         if not any(m in text for m in (b'"', b"\xe2\x80\x9c", b"\xe2\x80\x9e", b"\xc2\xab")):
             return [False] * len(at)
@@ -159,7 +202,7 @@ class TermAutomaton:
             here = marks[min(k, len(marks) - 1)]
             inside = here % 2 == 1 and marks[min(hi, len(marks)) - 1] > here
             near = marks[min(hi, len(marks)) - 1] > marks[min(lo, len(marks) - 1)]
-            out.append(inside or near and not REPORTING.isdisjoint(words[lo:hi]))
+            out.append(inside or near and not self.cues.isdisjoint(words[lo:hi]))
         return out
 
 
@@ -207,17 +250,40 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, tuple[float, bool]]:
     likely = counts.withColumn("gain", gain).where((p > rate) & (F.col("gain") >= least) & (p >= 0.6))
     found: dict[bytes, tuple[float, bool]] = {}
     beginnings: set[bytes] = set()
+    texts: dict[bytes, int] = {}
     for r in likely.orderBy(F.desc("gain"), F.desc(F.length("term")), "begins", "term").limit(TERMS).collect():
         term = bytes(r.term)
-        covered = any(term[:k] in beginnings for k in range(1, len(term) + 1)) or any(f.startswith(term) for f in found)
-        if not covered:
+        covered = any(term[:k] in beginnings for k in range(1, len(term) + 1))
+        # a beginning that hardly occurs but in a term found before
+        idle = r.begins and any(f.startswith(term) and r.toxic + r.clean <= 1.2 * n for f, n in texts.items())
+        if not covered and not idle:
+            texts[term] = r.toxic + r.clean
             found[term] = (math.log((r.toxic + 0.5) / (bad + 1)) - math.log((r.clean + 0.5) / (good + 1)), r.begins)
             if r.begins:
                 beginnings.add(term)
     return found
 
 
-def _features(docs: DataFrame, lexicon) -> DataFrame:
+def learn_cues(sample: DataFrame, lexicon) -> frozenset[bytes]:
+    """Words that stand around exact hits in clean texts far more often than in toxic ones, and REPORTING; CUES at most."""
+
+    def run(batches):
+        automaton, counts = TermAutomaton(lexicon.value), {}
+        for batch in sliced(batches, "text"):
+            for t, y in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
+                for window in automaton.windows(t):
+                    for w in window:
+                        counts.setdefault(w, [0, 0])[y] += 1
+        columns = [pa.array(counts, pa.binary()), *(pa.array([n[y] for n in counts.values()], pa.int64()) for y in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "clean", "toxic"])
+
+    counts = map_batches(sample, run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    likely = counts.where((F.col("clean") >= CUE_LEAST) & (F.col("clean") >= 9 * F.col("toxic")))
+    found = likely.orderBy(F.desc("clean"), "word").limit(CUES).collect()
+    return REPORTING | {bytes(r.word) for r in found}
+
+
+def _features(docs: DataFrame, lexicon, cues: frozenset[bytes]) -> DataFrame:
     """The columns of ``docs`` but its text, and the features."""
     names = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
@@ -225,7 +291,7 @@ def _features(docs: DataFrame, lexicon) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
-            made.append(TermAutomaton(lexicon.value))
+            made.append(TermAutomaton(lexicon.value, cues))
         rows = [made[0].features(t) for t in texts_of(batch, "text")]
         columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=schema.names)
@@ -249,17 +315,20 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """id, held_out, score and predicted of each row of ``docs``; a map over the texts once the model is fitted."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id", mod))
-    chosen = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = cut(own.join(F.broadcast(chosen), "id").select("text", "toxic"))
+    sure = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    chosen = sure.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = cut(rows.select("text", "toxic"))
     terms = learn_lexicon(sample)
     lexicon = docs.sparkSession.sparkContext.broadcast(terms)
     held = held_out("id", mod).alias("held_out")
     if not terms:
         return own.select("id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    rows = _features(sample, lexicon).collect()  # SAMPLE rows at most, unless ids repeat
+    cues = learn_cues(sample, lexicon)
+    rows = _features(sample, lexicon, cues).collect()  # SAMPLE rows at most
     w = fit(np.array([[r[f] for f in FEATURES] for r in rows]), np.array([r.toxic for r in rows], float))
     z = sum((F.lit(float(v)) * F.col(f) for f, v in zip(FEATURES, w[1:], strict=True)), F.lit(float(w[0])))
-    out = _features(own, lexicon).withColumn("score", 1 / (1 + F.exp(-z)))
+    out = _features(own, lexicon, cues).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
