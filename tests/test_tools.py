@@ -100,7 +100,7 @@ def value(spark, c):
         (lambda f: S.bump_padded(f("1"), f("minor")), "1.1.0"), (lambda f: S.bump_padded(f("1.2.3.4"), f("minor")), "1.3.0.4"),
         (lambda f: S.next_registry_version(f("0.0.0"), f("patch")), "1.0.0"), (lambda f: S.units(f("x (unit: mV)")), ""), (lambda f: S.any_units(f("x (unit: mV )")), "mV"),
         (lambda f: S.units(f("x (Units: mV)")), "mV"), (lambda f: S.resolve_prefix(f("schema:a:b")), "https://schema.org/a:b"), (lambda f: S.resolve_prefix(f("odd:a")), "odd:a"),
-        (lambda f: S.value_range(f("dateTime")), "https://registry.sensein.io/obj/dateTime"), (lambda f: S.camel(f("fooBAR-x_y")), "FoobarXY"), (lambda f: S.clean(f("_a b-")), "a_b"),
+        (lambda f: S.value_range(f("dateTime")), "https://example.org/obj/dateTime"), (lambda f: S.camel(f("fooBAR-x_y")), "FoobarXY"), (lambda f: S.clean(f("_a b-")), "a_b"),
         (lambda f: S.agent_text(f("bot"), f("7")), "bot (issue #7)"), (lambda f: S.skos_relation(f(0.4), f(True)), "narrowMatch"), (lambda f: S.skos_relation(f(0.71), f(True)), ""),
         (lambda f: S.suffixed_name(f("n"), f("sha256:abcdef")), "n_abcd"),
     ],

@@ -32,8 +32,8 @@ PRIMITIVES = {
     "curie": "xsd:anyURI",
 }
 
-#: Namespace of things that have no IRI of their own (a fixed value).
-OBJECTS = "https://registry.sensein.io/obj/"
+#: Namespaces of things, and of schemas, that have no IRI of their own.
+OBJECTS, SCHEMA_HOME = "https://example.org/obj/", "https://example.org/schema/"
 
 
 def lookup(values: dict[str, str]) -> Column:
@@ -44,8 +44,8 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def make_iri(c: Column) -> Column:
-    return F.concat(F.lit(OBJECTS), c)
+def make_iri(c: Column, namespace: str = OBJECTS) -> Column:
+    return F.concat(F.lit(namespace), c)
 
 
 def resolve_prefix(curie: Column, prefixes: Column | None = None) -> Column:
@@ -66,6 +66,7 @@ def value_range(raw: Column, prefixes: Column | None = None) -> Column:
     return F.coalesce(F.element_at(lookup(PRIMITIVES), raw), other)
 
 
+# Fixed value: how a text names its units.
 _UNITS = r"(?i)\(units?:\s*([^)]+)\)"
 
 

@@ -293,7 +293,7 @@ ORACLE = {
     "bulk_transform": "SELECT event_id, json_extract_string(props, '$.k') AS key_value, coalesce((SELECT string_agg(x, ',') FROM (SELECT unnest(json_keys(props)) AS x) WHERE lower(x) NOT IN ('k', 'other')), '') AS unmapped, CASE WHEN len(list_filter(json_keys(props), lambda x: lower(x) NOT IN ('k', 'other'))) > 0 THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM events",
     "units_regex": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE trim(regexp_extract('A value (Units: ' || p_brand || ' ) of ' || p_name, '\\(units?:\\s*([^)]+)\\)', 1, 'i')) END AS units FROM part",
     "curie": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://schema.org/' WHEN 1 THEN 'https://own.example/' WHEN 2 THEN 'none:' ELSE 'http://x/' END || c_name AS iri FROM customer",
-    "value_ranges": "SELECT p_partkey, ['xsd:integer', 'xsd:dateTime', 'https://schema.org/Person', 'https://registry.sensein.io/obj/Sensor', 'xsd:string'][(p_partkey % 5 + 1)::INT] AS value_range FROM part",
+    "value_ranges": "SELECT p_partkey, ['xsd:integer', 'xsd:dateTime', 'https://schema.org/Person', 'https://example.org/obj/Sensor', 'xsd:string'][(p_partkey % 5 + 1)::INT] AS value_range FROM part",
     "url_host": "SELECT page_id, split_part(split_part(url, '://', -1), '/', 1) AS host FROM pages",
     "bump": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id % 7 + 1) || '.0.0' WHEN 1 THEN event_id % 7 || '.' || (event_id % 11 + 1) || '.0' ELSE event_id % 7 || '.' || event_id % 11 || '.' || (event_id % 13 + 1) END AS version, CASE event_id % 3 WHEN 0 THEN (event_id % 7 + 1) || '.0.0' WHEN 1 THEN event_id % 7 || '.' || (event_id % 11 + 1) || '.0' ELSE event_id % 7 || '.' || event_id % 11 || '.1' END AS padded FROM events",
     "source_counts": "SELECT n_name, count(DISTINCT s_suppkey) AS class_count FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 0 GROUP BY n_name",
