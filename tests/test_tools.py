@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vocabra.functions import scalars as S
 from vocabra.operators import snapshot, tools
@@ -86,7 +87,8 @@ def test_changelogs(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"entries": e[:1]}))
     rows = snapshot.read_changelog(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
     assert sorted(r.registry_version for r in rows.collect()) == ["1.0.0", "1.0.0", "1.1.0"]
-    assert [r.before for r in snapshot.version_chain(rows.where("stats IS NULL OR timestamp = 'b'")).collect()] == [None]
+    log = rows.withColumn("previous_version", F.when(F.col("timestamp") == "b", "1.0.0"))
+    assert sorted((r.registry_version, r.before) for r in snapshot.version_chain(log).distinct().collect()) == [("1.0.0", None), ("1.1.0", "1.0.0")]
 
 
 def value(spark, c):

@@ -15,6 +15,14 @@ def exact_pairs(classes: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.concept_uri") == F.col("b.concept_uri")) & (F.col("a.hash_id") < F.col("b.hash_id"))).select(F.col("a.hash_id").alias("a"), F.col("b.hash_id").alias("b"), F.col("a.concept_uri").alias("concept_uri"))
 
 
+def concept_groups(classes: DataFrame) -> DataFrame:
+    """hash_id, concept_uri, ``representative`` (the least hash with that IRI) and ``links`` (exact pairs it is in) of each class with an
+    IRI: what exact_pairs() says, in a row per class, for IRIs that many classes share."""
+    known = classes.select("hash_id", S.or_empty(F.col("concept_uri")).alias("concept_uri")).where("concept_uri <> ''").distinct()
+    groups = known.groupBy("concept_uri").agg(F.min("hash_id").alias("representative"), (F.count(F.lit(1)) - 1).alias("links"))
+    return known.join(groups, "concept_uri").select("hash_id", "concept_uri", "representative", "links")
+
+
 def exact_edges(classes: DataFrame, registry_version: str = "") -> DataFrame:
     """The edges of exact pairs, both ways."""
     pairs = exact_pairs(classes)

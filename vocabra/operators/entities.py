@@ -28,10 +28,41 @@ def _null_if_empty(c):
     return F.when(S.or_empty(c) != "", c)
 
 
+def used(slots: DataFrame, uses: DataFrame, keys: list[str]) -> DataFrame:
+    """The slots that something uses."""
+    return slots.join(uses.select(*keys), keys, "left_semi")
+
+
+def members(rows: DataFrame, owner: list[str], member: str, name: str) -> DataFrame:
+    """For each owner the sorted array ``name`` of its distinct members."""
+    return rows.groupBy(*owner).agg(F.sort_array(F.collect_set(member)).alias(name))
+
+
+def unique_edges(rows: DataFrame) -> DataFrame:
+    return rows.select("src", "dst").distinct()
+
+
+def flattened(df: DataFrame, column: str) -> DataFrame:
+    """The fields of a struct column in its place; nulls where it is null."""
+    return df.select(*(c for c in df.columns if c != column), f"{column}.*")
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """node, ancestor and depth of all ancestors over edges (node, parent). A node in a cycle has itself among them;
+    one below a cycle has no end of ancestors, which Spark's limit on recursion reports."""
+    edges.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a million rows otherwise
+    return edges.sparkSession.sql(
+        """WITH RECURSIVE up (node, ancestor, depth) AS (
+             SELECT node, parent, 1 FROM {edges} WHERE parent IS NOT NULL
+             UNION ALL SELECT u.node, e.parent, u.depth + 1 FROM up AS u JOIN {edges} AS e ON e.node = u.ancestor WHERE e.parent IS NOT NULL AND u.ancestor <> u.node)
+           SELECT * FROM up""",
+        edges=edges,
+    )
+
+
 def properties(elements: DataFrame) -> DataFrame:
     """Properties that some class uses: source_label, hash_id and their fields. The unit counts by its code alone."""
-    used = elements.where("kind = 'class_slot'").select("source_label", "name").distinct()
-    slots = elements.where("kind = 'slot'").join(used, ["source_label", "name"], "left_semi")
+    slots = used(elements.where("kind = 'slot'"), elements.where("kind = 'class_slot'"), ["source_label", "name"])
     code = _null_if_empty(F.col("units"))
     fields = {"description": S.or_empty(F.col("definition")), "name": F.col("name"), "property_range": F.col("value"), "unit": F.when(code.isNotNull(), F.struct(code.alias("ucum_code")))}
     return slots.select(
@@ -44,10 +75,10 @@ def properties(elements: DataFrame) -> DataFrame:
 def classes(elements: DataFrame, props: DataFrame) -> DataFrame:
     """Classes with the sorted hashes of their properties. A class's hash needs its parent's: a recursive query goes down from the roots."""
     slots = elements.where("kind = 'class_slot'").select("source_label", F.col("owner").alias("class"), "name")
-    members = slots.join(props.select("source_label", "name", F.col("hash_id").alias("p")), ["source_label", "name"]).groupBy("source_label", "class").agg(F.sort_array(F.collect_set("p")).alias("properties"))
+    held = members(slots.join(props.select("source_label", "name", F.col("hash_id").alias("p")), ["source_label", "name"]), ["source_label", "class"], "p", "properties")
     base = (
         elements.where("kind = 'class'").select("source_label", "name", F.col("value").alias("is_a"), F.col("definition").alias("description"), "iri", "is_abstract", "aliases")
-        .join(members.withColumnRenamed("class", "name"), ["source_label", "name"], "left")
+        .join(held.withColumnRenamed("class", "name"), ["source_label", "name"], "left")
         .withColumn("properties", F.coalesce("properties", F.array().cast("array<string>")))
     )
     hash_sql = lambda parent: _sql_hash(parent)
@@ -73,6 +104,19 @@ def _sql_hash(parent: str) -> str:
     return "concat('sha256:', sha2(" + escaped.replace("{j}", json).replace("{{4}}", "{4}").replace("{4}", "{{4}}") + ", 256))"
 
 
+def unrooted(elements: DataFrame) -> DataFrame:
+    """source_label and name of classes that classes() leaves out: those in a cycle of parents, or below one."""
+    own = elements.where("kind = 'class'").select("source_label", "name", F.col("value").alias("is_a"))
+    found = own.sparkSession.sql(
+        """WITH RECURSIVE found (source_label, name) AS (
+             SELECT source_label, name FROM {own} WHERE is_a IS NULL
+             UNION ALL SELECT o.source_label, o.name FROM {own} AS o JOIN found AS f ON o.source_label = f.source_label AND o.is_a = f.name)
+           SELECT * FROM found""",
+        own=own,
+    )
+    return own.select("source_label", "name").join(found, ["source_label", "name"], "left_anti")
+
+
 def permissible_values(elements: DataFrame) -> DataFrame:
     rows = elements.where("kind = 'value'")
     fields = {"description": S.or_empty(F.col("definition")), "meaning": _null_if_empty(F.col("value")), "name": F.col("name")}
@@ -88,19 +132,22 @@ def value_sets(elements: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def property_edges(classes_: DataFrame) -> DataFrame:
-    return classes_.select(F.col("hash_id").alias("src"), F.explode("properties").alias("dst")).distinct()
+    return unique_edges(classes_.select(F.col("hash_id").alias("src"), F.explode("properties").alias("dst")))
 
 
 def subclass_edges(classes_: DataFrame) -> DataFrame:
-    return classes_.where("parent_class IS NOT NULL").select(F.col("hash_id").alias("src"), F.col("parent_class").alias("dst")).distinct()
+    return unique_edges(classes_.where("parent_class IS NOT NULL").select(F.col("hash_id").alias("src"), F.col("parent_class").alias("dst")))
 
 
 def value_edges(sets: DataFrame) -> DataFrame:
-    return sets.select(F.col("hash_id").alias("src"), F.explode("permissible_values").alias("dst")).distinct()
+    return unique_edges(sets.select(F.col("hash_id").alias("src"), F.explode("permissible_values").alias("dst")))
 
 
-def distinct_entities(rows: DataFrame) -> DataFrame:
-    """One row per content hash; of several sources the first label gives what the hash does not cover."""
-    columns = [c for c in rows.columns if c != "hash_id"]
-    one = rows.groupBy("hash_id").agg(F.min_by(F.struct(*columns), "source_label").alias("row"))
-    return one.select("hash_id", *(F.col(f"row.{c}").alias(c) for c in columns))
+def distinct_entities(rows: DataFrame, keys: tuple[str, ...] = ("hash_id",), order: tuple[str, ...] = ("source_label",)) -> DataFrame:
+    """One row per key, with ``attestations``, the rows it had; of several the first by ``order`` gives what the key does not cover,
+    and the least of the rest where that ties."""
+    columns = [c for c in rows.columns if c not in keys]
+    first = [c for c in order if c in columns]
+    ranked = F.struct(*first, *(c for c in columns if c not in first))
+    one = rows.groupBy(*keys).agg(F.min(ranked).alias("row"), F.count(F.lit(1)).alias("attestations"))
+    return one.select(*keys, *(F.col(f"row.{c}").alias(c) for c in columns), "attestations")

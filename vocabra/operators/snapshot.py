@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import NODES, SNAPSHOT
-from .store import Store
+from .store import Frames, Store
 
 
-def attesting_sources(store: Store, kind: str) -> DataFrame:
+def attesting_sources(store: Store | Frames, kind: str) -> DataFrame:
     """hash_id and the sorted labels of the sources that have it."""
     labels = store.read("source").select(F.col("id").alias("had_primary_source"), F.col("label").alias("source"))
     rows = store.read("provenance").where(F.col("label") == kind).join(labels, "had_primary_source")
     return rows.groupBy("hash_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
 
 
-def source_rows(store: Store) -> DataFrame:
+def source_rows(store: Store | Frames) -> DataFrame:
     """label, version and class_count of each source; one without classes has 0."""
     classes = store.read("provenance").where("label = 'class'").select(F.col("had_primary_source").alias("id"), "hash_id")
     rows = store.read("source").select("id", "label", "source_version").join(classes, "id", "left")
@@ -25,7 +25,7 @@ def source_rows(store: Store) -> DataFrame:
     return rows.groupBy("label", version.alias("version")).agg(F.count_distinct("hash_id").alias("class_count"))
 
 
-def class_rows(store: Store) -> DataFrame:
+def class_rows(store: Store | Frames) -> DataFrame:
     """One nested row per class, its lists ordered by name or distance and then by hash."""
     none = F.array().cast("array<string>")
     empty = lambda c: S.or_empty(F.col(c))
@@ -95,8 +95,33 @@ def read_changelog(spark: SparkSession, *paths: str) -> DataFrame:
     return text.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("e")).select("e.*")
 
 
-def version_chain(changelog: DataFrame) -> DataFrame:
-    """Each version and the one before it, by time."""
-    from pyspark.sql import Window
-
-    return changelog.select("registry_version", "timestamp", F.lag("registry_version").over(Window.orderBy("timestamp")).alias("before"))
+def version_chain(changelog: DataFrame, *by: str, version: str = "registry_version", order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """``by``, each version and the one before it, by time. Without ``by`` it is one registry's log, a row per release, and the
+    version before is the one that the log names."""
+    if not by:
+        return changelog.select(version, "timestamp", F.col("previous_version").alias("before"))
+    return changelog.select(*by, version, F.lag(version).over(Window.partitionBy(*by).orderBy(*order)).alias("before"))
+
+
+def write_document(store: Store, path: str, version: str) -> None:
+    """The snapshot as one JSON document, in a folder ``path``: a line per class between a head and a foot, so that nothing but
+    the order of lines needs one task. read_document() reads it."""
+    spark = store.spark
+    sources = F.coalesce(F.array_sort(F.collect_list(F.struct("label", "version", "class_count"))), F.array().cast("array<struct<label:string,version:string,class_count:bigint>>"))
+    head = source_rows(store).agg(sources.alias("sources")).select(F.to_json(F.struct(F.lit(version).alias("registry_version"), S.now_iso().alias("generated_at"), "sources")).alias("j"))
+    first = head.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("hash_id"), F.concat(F.col("j").substr(F.lit(1), F.length("j") - 1), F.lit(', "classes": [')).alias("value"))
+    each = class_rows(store).select(F.lit(1).alias("part"), "name", "hash_id", F.to_json(F.struct("*")).alias("value"))
+    last = each.agg(F.max(F.struct("name", "hash_id")).alias("m")).select("m.*")
+    comma = each.join(F.broadcast(last.withColumn("_last", F.lit(True))), ["name", "hash_id"], "left")  # one row
+    rows = comma.select("part", "name", "hash_id", F.concat("value", F.when(F.col("_last"), F.lit("")).otherwise(F.lit(","))).alias("value"))
+    foot = spark.range(1).select(F.lit(2).alias("part"), F.lit("").alias("name"), F.lit("").alias("hash_id"), F.lit("]}").alias("value"))
+    whole = first.unionByName(rows).unionByName(foot).repartition(1).sortWithinPartitions("part", "name", "hash_id")
+    whole.select("value").write.mode("overwrite").text(path)
+
+
+def publish(store: Store, path: str, **told) -> str:
+    """The next version: write_snapshot(), the document ``registry.json`` and its archive copy ``versions/<version>.json``, each a folder."""
+    version = write_snapshot(store, path, **told)
+    for at in (f"{path}/registry.json", f"{path}/versions/{version}.json"):
+        write_document(store, at, version)
+    return version

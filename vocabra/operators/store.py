@@ -50,9 +50,38 @@ class Store:
         return f"{self.path}/{name}/v{self._version(name)}"
 
 
+class Frames:
+    """Tables that are frames, read as those of a Store; columns that a frame lacks are nulls, and tables that are not given empty."""
+
+    def __init__(self, spark: SparkSession, **tables: DataFrame):
+        self.spark, self.tables = spark, tables
+
+    def read(self, name: str) -> DataFrame:
+        blank = self.spark.createDataFrame([], (NODES | EDGES)[name])
+        if name not in self.tables:
+            return blank
+        rows = self.tables[name]
+        kinds = dict(blank.dtypes)
+        return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in blank.columns))
+
+
+def new_rows(rows: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key of ``rows`` that ``old`` does not have."""
+    one = entities.distinct_entities(rows, tuple(keys)).drop("attestations")
+    return one.join(old.select(*keys), keys, "left_anti").select(*rows.columns)
+
+
+def insert_counts(rows: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """n_new and n_existing of a batch, counted per row: of a key that is new its first row is, and the others exist by then."""
+    known = old.select(*keys).distinct().withColumn("_known", F.lit(1))
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(known, keys, "left")
+    new = F.col("_known").isNull().cast("long")
+    return per_key.agg(F.coalesce(F.sum(new), F.lit(0)).alias("n_new"), F.coalesce(F.sum(F.col("_n") - new), F.lit(0)).alias("n_existing"))
+
+
 def write_if_new(store: Store, name: str, rows: DataFrame, keys: list[str]) -> int:
     """Append the rows whose keys are not there yet; what is there stays as it is. The number of rows added."""
-    new = rows.dropDuplicates(keys).join(store.read(name).select(*keys), keys, "left_anti").persist()
+    new = new_rows(rows, store.read(name), keys).persist()
     added = new.count()
     if added:
         store.append(name, new)
@@ -69,19 +98,34 @@ def ensure_source(store: Store, label: str, version: str, registry_version: str
     return store.read("source").where(F.col("label") == label).first()["id"]
 
 
-def attest(store: Store, kind: str, rows: DataFrame, source_id: str, source_version: str, agent: str = "anonymous", issue: str = "", registry_version: str = "") -> int:
-    """Record that a source has these entities, once for each (kind, entity, source), whatever its version."""
-    new = rows.select("hash_id").distinct().select(
-        F.expr("uuid()").alias("id"), F.lit(kind).alias("label"), "hash_id", F.lit(source_id).alias("had_primary_source"), F.lit(source_version).alias("source_version"),
+def attestations(kind: str, rows: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "") -> DataFrame:
+    """Provenance rows of entities (hash_id, had_primary_source, source_version), one for each entity and source."""
+    return rows.select("hash_id", "had_primary_source", "source_version").distinct().select(
+        F.expr("uuid()").alias("id"), F.lit(kind).alias("label"), "hash_id", "had_primary_source", "source_version",
         F.lit(registry_version).alias("registry_version"), S.now_iso().alias("generated_at_time"), S.agent_text(F.lit(agent), F.lit(issue)).alias("was_attributed_to"),
         F.lit("ingestion").alias("was_generated_by"), F.array().cast("array<string>").alias("was_derived_from"),
-    )
-    return write_if_new(store, "provenance", new, ["label", "hash_id", "had_primary_source"])
+    )
+
+
+ATTESTED = ["label", "hash_id", "had_primary_source"]
+
+
+def attest(store: Store, kind: str, rows: DataFrame, source_id: str, source_version: str, agent: str = "anonymous", issue: str = "", registry_version: str = "") -> int:
+    """Record that a source has these entities, once for each (kind, entity, source), whatever its version."""
+    own = rows.select("hash_id", F.lit(source_id).alias("had_primary_source"), F.lit(source_version).alias("source_version"))
+    return write_if_new(store, "provenance", attestations(kind, own, agent, issue, registry_version), ATTESTED)
 
 
 def insert_schema(store: Store, elements: DataFrame, label: str, agent: str = "anonymous", issue: str = "", registry_version: str = "", yml_path: str = "", dry_run: bool = False) -> dict:
-    """Write one source's elements: entities that are new, attestations, edges and a schema version. Returns the counts."""
+    """Write one source's elements: entities that are new, attestations, edges and a schema version. Returns the counts. A source that
+    could not be parsed, or has classes in a cycle of parents, is an error and writes nothing."""
     own = elements.where(F.col("source_label") == label).persist()
+    bad = own.where("kind = 'error'").select("definition").first()
+    if bad is not None:
+        raise ValueError(f"{label}: {bad.definition}")
+    lost = entities.unrooted(own).first()
+    if lost is not None:
+        raise ValueError(f"{label}: class '{lost.name}' has itself among its parents, or below such a class")
     meta = own.where("kind = 'meta'").first()
     version = (meta["value"] if meta else None) or "1.0.0"
     props = entities.properties(own).persist()
@@ -136,11 +180,16 @@ def latest_version(store: Store, label: str) -> str | None:
     return row["source_version"] if row else None
 
 
+def without_source(provenance: DataFrame, sources: DataFrame, label: str, kinds: tuple[str, ...] = ("class", "property")) -> DataFrame:
+    """Attestations but those of these kinds by a source."""
+    ids = sources.where(F.col("label") == label).select(F.col("id").alias("had_primary_source"))
+    gone = provenance.where(F.col("label").isin(*kinds)).join(ids, "had_primary_source", "left_semi")
+    return provenance.join(gone.select("id"), "id", "left_anti")
+
+
 def wipe_source(store: Store, label: str) -> None:
     """Drop a source's attestations of classes and properties; entities, and attestations of value sets, stay."""
-    ids = store.read("source").where(F.col("label") == label).select(F.col("id").alias("had_primary_source"))
-    gone = store.read("provenance").where(F.col("label").isin("class", "property")).join(ids, "had_primary_source", "left_semi")
-    store.rewrite("provenance", store.read("provenance").join(gone.select("id"), "id", "left_anti"))
+    store.rewrite("provenance", without_source(store.read("provenance"), store.read("source"), label))
 
 
 def write_alignments(store: Store, registry_version: str = "", dry_run: bool = False) -> int:
@@ -152,10 +201,28 @@ def write_alignments(store: Store, registry_version: str = "", dry_run: bool = F
     return pairs
 
 
-def label_counts(store: Store) -> DataFrame:
+def label_counts(store: Store | Frames, names: tuple[str, ...] = tuple(NODES)) -> DataFrame:
     """label and n: the rows of each node table."""
     out = None
-    for name in NODES:
+    for name in names:
         one = store.read(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def lacking(store: Store, name: str) -> list[str]:
+    """Columns that a table must have and its files lack, or have of another type."""
+    if not store._exists(name):
+        return []
+    there = dict(store.spark.read.parquet(store._current(name)).dtypes)
+    return [c for c, kind in store.spark.createDataFrame([], (NODES | EDGES)[name]).dtypes if there.get(c) != kind]
+
+
+def migrate(store: Store, name: str) -> bool:
+    """Write a table that lacks columns anew, with nulls in those. Was it?"""
+    missing = lacking(store, name)
+    if missing:
+        old = store.spark.read.parquet(store._current(name))
+        kinds = dict(store.spark.createDataFrame([], (NODES | EDGES)[name]).dtypes)
+        store.rewrite(name, old.select(*((F.col(c).cast(k) if c in old.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items())))
+    return bool(missing)

@@ -46,6 +46,18 @@ def get_class(classes: DataFrame, name_or_hash: str) -> DataFrame:
     return classes.where((F.col("hash_id") == name_or_hash) | _has(name_or_hash, "name")).orderBy(*_order(classes)).limit(1)
 
 
+def within(edges: DataFrame, max_distance: float) -> DataFrame:
+    """Edges up to a distance, which counts as near."""
+    return edges.where(F.col("distance") <= max_distance)
+
+
+def nearest(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The nearest edge of each key, the first by ``order`` where several are."""
+    rest = [c for c in edges.columns if c not in keys]
+    one = edges.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("distance", *order)).alias("_row"))
+    return one.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
 def get_alignments(classes: DataFrame, class_name: str, max_distance: float = 0.5) -> DataFrame:
     """Alignments of a class up to ``max_distance``, nearest first; unknown targets have no sources and no definition."""
     edges = get_class(classes, class_name).select(F.posexplode("alignments").alias("place", "a")).where(F.col("a.distance") <= max_distance)
@@ -63,10 +75,8 @@ def diff_schemas(classes: DataFrame, source_a: str, source_b: str) -> DataFrame:
     Only the nearest counts as matched, and a class of both sources without an alignment is on both sides."""
     a, b = classes.where(_in(source_a)), classes.where(_in(source_b))
     edges = a.select("hash_id", "name", F.posexplode("alignments").alias("place", "x"))
-    best = (
-        edges.join(b.select(F.col("hash_id").alias("t")), F.col("x.target_hash_id") == F.col("t"))
-        .groupBy("hash_id", "name").agg(F.min_by("x", F.struct("x.distance", "place")).alias("x"))
-    )
+    hits = edges.join(b.select(F.col("hash_id").alias("t")), F.col("x.target_hash_id") == F.col("t"))
+    best = nearest(hits.select("hash_id", "name", "place", "x", F.col("x.distance").alias("distance")), ["hash_id", "name"], ["place"])
     shared = best.select(F.lit("shared").alias("side"), F.col("name").alias("a_name"), F.col("x.target_name").alias("b_name"), F.col("x.distance").alias("distance"))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     only_a = a.join(best.select("hash_id"), "hash_id", "left_anti").select(F.lit("only_a").alias("side"), F.col("name").alias("a_name"), null("string", "b_name"), null("double", "distance"))
@@ -96,13 +106,15 @@ def transform_records(records: DataFrame, fields: DataFrame, record: str = "reco
     known = lambda k: F.element_at(F.col("_fields"), F.lower(k))
     entries = F.map_entries(record)
     hits = F.transform(F.filter(entries, lambda e: known(e["key"]).isNotNull()), lambda e: F.struct(known(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(hits, lambda e, i: ~F.exists(F.slice(hits, i + 2, F.size(hits)), lambda x: x["key"] == e["key"]))
+    # a map by target whose last entry wins, in the order of first fields
+    targets = F.array_distinct(F.transform(hits, lambda e: e["key"]))
+    values = F.transform(targets, lambda t: F.element_at(F.filter(hits, lambda e: e["key"] == t), -1)["value"])
     missing = F.transform(F.filter(entries, lambda e: known(e["key"]).isNull()), lambda e: e["key"])
     none = F.array().cast("array<string>")
     lost = F.when(F.size(missing) > 0, F.array(F.format_string("%d field(s) had no alignment: %s", F.size(missing), F.array_join(missing, ", ")))).otherwise(none)
     empty = F.lit(f"No property alignments found between '{source}' and '{target}'. Compute alignments first.")
     blank = F.when(F.size("_fields") == 0, F.array(empty)).otherwise(none)
-    return rows.select(*(F.col(c) for c in records.columns), F.map_from_entries(last).alias("mapped"), missing.alias("unmapped"), F.concat(lost, blank).alias("warnings"))
+    return rows.select(*(F.col(c) for c in records.columns), F.map_from_arrays(targets, values).alias("mapped"), missing.alias("unmapped"), F.concat(lost, blank).alias("warnings"))
 
 
 def read_graph(spark, *paths: str) -> DataFrame:

@@ -1,26 +1,32 @@
 """Queries that put the catalogue's operators on the driver's tables, and the SQL that checks them.
 
 The tables stand in for a catalogue: parts are properties (name, type, brand), suppliers are classes whose nation is their concept,
-nations and document sources are vocabularies, supplies are class-to-property edges, events are a log and their JSON is a record.
+nations and document sources are vocabularies, supplies are class-to-property edges, events are a log and their JSON is a record,
+and regions with their nations are schema files. Each query calls the library on such frames; nothing is cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import align, entities, tools
+from ..operators import align, entities, snapshot, store, tools
+from ..sources import converters, linkml
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text(column: str):
+    return F.col(column).cast("string")
+
+
 def _classes(spark, sf) -> DataFrame:
-    """Suppliers as classes: the IRI stands for the nation and a third of the keys."""
+    """Suppliers as classes: the IRI stands for the nation."""
     s = _read(spark, sf, "supplier")
-    return s.select(F.col("s_name").alias("hash_id"), F.col("s_name").alias("name"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("concept_uri"), "s_suppkey", "s_acctbal", "s_nationkey")
+    return s.select(F.col("s_name").alias("hash_id"), F.col("s_name").alias("name"), F.concat(F.lit("n:"), _text("s_nationkey")).alias("concept_uri"), "s_suppkey", "s_acctbal", "s_nationkey")
 
 
 def _property_fields() -> dict:
@@ -36,24 +42,39 @@ def content_hash(spark, sf):
 
 def dedup_entities(spark, sf):
     rows = _read(spark, sf, "part").select(entities.hash_of("property", _property_fields()).alias("hash_id"), "p_partkey")
-    return rows.groupBy("hash_id").agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("attestations"))
+    found = entities.distinct_entities(rows, order=("p_partkey",))
+    return found.select("hash_id", F.col("p_partkey").alias("first_key"), "attestations")
+
+
+def _attested(rows: DataFrame, entity, source, kind: str = "class") -> dict[str, DataFrame]:
+    """Provenance and source tables of rows that attest an entity for a source."""
+    held = rows.select(entity.cast("string").alias("hash_id"), source.cast("string").alias("had_primary_source"), F.lit("").alias("source_version"))
+    made = store.attestations(kind, held.where("had_primary_source IS NOT NULL"))
+    names = held.select(F.col("had_primary_source").alias("id"), F.col("had_primary_source").alias("label")).where("id IS NOT NULL").distinct()
+    return {"provenance": made, "source": names}
 
 
 def attesting_sources(spark, sf):
-    d = _read(spark, sf, "documents")
-    return d.groupBy(F.sha2(S.or_empty(F.col("text")).cast("binary"), 256).alias("hash_id")).agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    d = _read(spark, sf, "documents").select(F.sha2(S.or_empty(F.col("text")).cast("binary"), 256).alias("hash_id"), "source")
+    found = snapshot.attesting_sources(store.Frames(spark, **_attested(d, F.col("hash_id"), F.col("source"))), "class")
+    every = d.select("hash_id").distinct().join(found, "hash_id", "left")
+    return every.select("hash_id", S.or_empty(F.array_join("sources", ",")).alias("sources"))
 
 
 def write_if_new(spark, sf):
     p = _read(spark, sf, "part")
-    old, new = p.where("p_size <= 25").select("p_name", "p_brand").distinct(), p.where("p_size > 25").select("p_name", "p_brand").distinct()
-    return new.join(old, ["p_name", "p_brand"], "left_anti").agg(F.count(F.lit(1)).alias("added"))
+    new = store.new_rows(p.where("p_size > 25").select("p_name", "p_brand"), p.where("p_size <= 25").select("p_name", "p_brand"), ["p_name", "p_brand"])
+    return new.agg(F.count(F.lit(1)).alias("added"))
 
 
 def exact_pairs(spark, sf):
     return align.exact_pairs(_classes(spark, sf))
 
 
+def concept_groups(spark, sf):
+    return align.concept_groups(_classes(spark, sf))
+
+
 def alignment_edges(spark, sf):
     return align.exact_edges(_classes(spark, sf), "1.0.0")
 
@@ -67,7 +88,7 @@ def _edges(spark, sf) -> DataFrame:
 
 
 _EDGES = """edges AS (SELECT x.s_name AS a, y.s_name AS b, (x.s_suppkey * 31 + y.s_suppkey * 17) % 1001 / 1000.0::DOUBLE AS distance, x.s_suppkey AS ka, y.s_suppkey AS kb
-            FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name < y.s_name WHERE x.s_suppkey <= 400 AND y.s_suppkey <= 400)"""
+            FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name < y.s_name)"""
 
 
 def skos_bands(spark, sf):
@@ -76,55 +97,75 @@ def skos_bands(spark, sf):
 
 
 def align_attributes(spark, sf):
-    return _edges(spark, sf).where("distance <= 0.6").select("a", "b", F.round("distance", 3).alias("distance"), F.lit("iri").alias("method"))
+    return tools.within(_edges(spark, sf), 0.6).select("a", "b", F.round("distance", 3).alias("distance"), F.lit("iri").alias("method"))
 
 
 def best_alignment(spark, sf):
-    best = _edges(spark, sf).groupBy("a").agg(F.min_by(F.struct("b", "distance"), F.struct("distance", "b")).alias("x"))
-    return best.select("a", F.col("x.b").alias("b"), F.round("x.distance", 3).alias("distance"))
+    best = tools.nearest(_edges(spark, sf).select("a", "b", "distance"), ["a"], ["b"])
+    return best.select("a", "b", F.round("distance", 3).alias("distance"))
+
+
+def _parts(spark, sf) -> DataFrame:
+    """Parts as snapshot classes, in the order of their keys."""
+    p = _read(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("pos"), "p_partkey", F.col("p_name").alias("name"), _text("p_partkey").alias("hash_id"), F.lit("").alias("iri"), F.array("p_brand").alias("sources"), F.col("p_type").alias("definition"))
 
 
 def search(spark, sf):
-    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("hash_id"), F.lit("").alias("iri"), F.array("p_brand").alias("sources"), F.col("p_type").alias("definition"))
-    return tools.search_classes(p, "O", limit=20).select("name", "hash_id", "definition")
+    return tools.search_classes(_parts(spark, sf), "O", limit=20).select("name", "hash_id", "definition")
 
 
 def search_in_source(spark, sf):
-    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("hash_id"), F.lit("").alias("iri"), F.array("p_brand").alias("sources"), F.col("p_type").alias("definition"))
-    return tools.search_classes(p, "", "Brand#13", 10).select("name", "hash_id", F.array_join("sources", ",").alias("sources"))
+    return tools.search_classes(_parts(spark, sf), "", "Brand#13", 10).select("name", "hash_id", F.array_join("sources", ",").alias("sources"))
 
 
 def lookup(spark, sf):
-    p = _read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.sha2("p_name", 256).alias("hash_id"))
-    return tools.get_class(p.withColumn("pos", F.col("p_partkey")), "e").select("p_partkey", "name")
+    return tools.get_class(_parts(spark, sf), "e").select("p_partkey", "name")
+
+
+def alignments_of_class(spark, sf):
+    """The neighbours of the first supplier whose name holds a 7, by distance."""
+    edges = _edges(spark, sf)
+    both = edges.select("a", "b", "distance").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    edge = F.struct(F.col("b").alias("target_hash_id"), F.col("b").alias("target_name"), "distance", F.lit("iri").alias("method"))
+    held = both.groupBy(F.col("a").alias("hash_id")).agg(F.array_sort(F.collect_list(edge)).alias("alignments"))
+    rows = _classes(spark, sf).select("hash_id", "name", F.array(_text("s_nationkey")).alias("sources"), F.lit("").alias("definition"))
+    return tools.get_alignments(rows.join(held, "hash_id", "left"), "7", 0.3).select("name", F.array_join("sources", ",").alias("sources"), F.round("distance", 3).alias("distance"))
 
 
 def latest_snapshot(spark, sf):
-    e = _read(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_id", "event_type")
+    e = _read(spark, sf, "events").select(
+        _text("user_id").alias("schema_label"), F.lpad(_text("event_id"), 18, "0").alias("id"), F.col("event_type").alias("changes_summary"), _text("ts").alias("created_at"),
+    )
+    last = store.latest_versions(store.Frames(spark, schema_version=e))
+    return last.select(F.col("schema_label").cast("long").alias("user_id"), F.col("id").cast("long").alias("event_id"), F.col("changes_summary").alias("event_type"))
 
 
 def version_chain(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _read(spark, sf, "events").select("event_id", F.lag("event_id").over(w).alias("previous_id"))
+    chain = snapshot.version_chain(_read(spark, sf, "events"), "user_id", version="event_id", order=("ts", "event_id"))
+    return chain.select("event_id", F.col("before").alias("previous_id"))
+
+
+def _customers(spark, sf) -> DataFrame:
+    """Customers as classes; their sources are the states of their orders, and each is aligned with itself."""
+    one = _read(spark, sf, "orders").groupBy(_text("o_custkey").alias("hash_id")).agg(F.collect_set("o_orderstatus").alias("sources"))
+    self = F.array(F.struct(F.col("hash_id").alias("target_hash_id"), F.col("hash_id").alias("target_name"), F.lit(0.0).alias("distance")))
+    return one.select("hash_id", F.col("hash_id").alias("name"), "sources", self.alias("alignments"))
 
 
 def diff_only_a(spark, sf):
-    o = _read(spark, sf, "orders")
-    a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey").distinct() for s in ("O", "F"))
-    return a.join(b, "o_custkey", "left_anti")
+    found = tools.diff_schemas(_customers(spark, sf), "O", "F").where("side = 'only_a'")
+    return found.select(F.col("a_name").cast("long").alias("o_custkey"))
 
 
 def full_diff(spark, sf):
-    o = _read(spark, sf, "orders")
-    a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey").distinct().withColumn(s, F.lit(1)) for s in ("O", "F"))
-    side = F.when(F.col("F").isNull(), "only_a").when(F.col("O").isNull(), "only_b").otherwise("shared")
-    return a.join(b, "o_custkey", "full").select("o_custkey", side.alias("side"))
+    found = tools.diff_schemas(_customers(spark, sf), "O", "F")
+    return found.select(F.coalesce("a_name", "b_name").cast("long").alias("o_custkey"), "side")
 
 
 def json_transform(spark, sf):
-    return _read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    record = S.field_keys(F.from_json("props", "map<string,string>"))
+    return _read(spark, sf, "events").select("event_id", F.element_at(record, "k").alias("k"))
 
 
 def bulk_transform(spark, sf):
@@ -141,7 +182,8 @@ def units_regex(spark, sf):
 
 
 def curie(spark, sf):
-    c = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("schema:"), "c_name")).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("own:"), "c_name")).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("none:"), "c_name")).otherwise(F.concat(F.lit("http://x/"), "c_name"))
+    key, name = F.col("c_custkey") % 4, F.col("c_name")
+    c = F.when(key == 0, F.concat(F.lit("schema:"), name)).when(key == 1, F.concat(F.lit("own:"), name)).when(key == 2, F.concat(F.lit("none:"), name)).otherwise(F.concat(F.lit("http://x/"), name))
     return _read(spark, sf, "customer").select("c_custkey", S.resolve_prefix(c, S.lookup({"own": "https://own.example/"})).alias("iri"))
 
 
@@ -157,51 +199,73 @@ def url_host(spark, sf):
 def bump(spark, sf):
     v = F.concat_ws(".", F.col("event_id") % 7, F.col("event_id") % 11, F.col("event_id") % 13)
     level = F.element_at(F.array(F.lit("major"), F.lit("minor"), F.lit("patch")), (F.col("event_id") % 3 + 1).cast("int"))
-    return _read(spark, sf, "events").select("event_id", S.bump_version(v, level).alias("version"), S.bump_padded(F.concat_ws(".", F.col("event_id") % 7, F.col("event_id") % 11), level).alias("padded"))
+    short = F.concat_ws(".", F.col("event_id") % 7, F.col("event_id") % 11)
+    return _read(spark, sf, "events").select("event_id", S.bump_version(v, level).alias("version"), S.bump_padded(short, level).alias("padded"))
+
+
+def next_version(spark, sf):
+    current = F.when(F.col("event_id") % 5 == 0, F.lit("0.0.0")).otherwise(F.concat_ws(".", F.col("event_id") % 7 + 1, F.col("event_id") % 3, F.lit(0)))
+    agent = S.agent_text(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, _text("user_id")))
+    return _read(spark, sf, "events").select("event_id", S.next_registry_version(current, F.lit("minor")).alias("version"), agent.alias("agent"))
 
 
 def source_counts(spark, sf):
-    n, s = _read(spark, sf, "nation"), _read(spark, sf, "supplier").where("s_acctbal > 0")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.count_distinct("s_suppkey").alias("class_count"))
+    n = _read(spark, sf, "nation").select(_text("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    s = _read(spark, sf, "supplier").where("s_acctbal > 0")
+    held = _attested(s, F.col("s_suppkey"), F.col("s_nationkey"))["provenance"]
+    found = snapshot.source_rows(store.Frames(spark, source=n, provenance=held))
+    return found.select(F.col("label").alias("n_name"), "class_count")
 
 
 def label_counts(spark, sf):
-    one = lambda t: _read(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("label"), "n")
-    return one("part").unionByName(one("supplier")).unionByName(one("nation"))
+    names = {"property": "part", "class": "supplier", "source": "nation"}
+    found = store.label_counts(store.Frames(spark, **{k: _read(spark, sf, t) for k, t in names.items()}), tuple(names))
+    return found.select(F.element_at(S.lookup(names), F.col("label")).alias("label"), "n")
+
+
+def _supplies(spark, sf) -> DataFrame:
+    return entities.unique_edges(_read(spark, sf, "lineitem").select(_text("l_suppkey").alias("src"), _text("l_partkey").alias("dst")))
 
 
 def unique_edges(spark, sf):
-    li = _read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return li.distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n_edges"))
+    return _supplies(spark, sf).groupBy(F.col("src").cast("long").alias("src")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def property_edges(spark, sf):
-    edges = _read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    s, p = _read(spark, sf, "supplier"), _read(spark, sf, "part")
-    return edges.join(s, edges.l_suppkey == s.s_suppkey).join(p, edges.l_partkey == p.p_partkey).groupBy("s_name").agg(F.count(F.lit(1)).alias("n_properties"), F.min("p_name").alias("first_property"))
+    classes = _read(spark, sf, "supplier").select(_text("s_suppkey").alias("hash_id"), F.col("s_name").alias("name"))
+    props = _read(spark, sf, "part").select(_text("p_partkey").alias("hash_id"), F.col("p_name").alias("name"))
+    found = snapshot.class_rows(store.Frames(spark, **{"class": classes, "property": props, "has_property": _supplies(spark, sf)}))
+    return found.where(F.size("properties") > 0).select(F.col("name").alias("s_name"), F.size("properties").cast("long").alias("n_properties"), F.get("properties", 0)["name"].alias("first_property"))
 
 
 def used_properties(spark, sf):
-    p = _read(spark, sf, "part")
-    return p.join(_read(spark, sf, "lineitem").where("l_quantity > 45"), p.p_partkey == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+    uses = _read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return entities.used(_read(spark, sf, "part"), uses, ["p_partkey"]).select("p_partkey", "p_name")
 
 
 def parent_join(spark, sf):
     n, r = _read(spark, sf, "nation"), _read(spark, sf, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
+    nations = n.select(F.concat(F.lit("n"), "n_nationkey").alias("hash_id"), F.col("n_name").alias("name"))
+    regions = r.select(F.concat(F.lit("r"), "r_regionkey").alias("hash_id"), F.lit("").alias("name"), F.col("r_name").alias("concept_uri"))
+    edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
+    found = snapshot.class_rows(store.Frames(spark, **{"class": nations.unionByName(regions, allowMissingColumns=True), "subclass_of": edges}))
+    return found.where("name <> ''").select(F.col("name").alias("n_name"), F.explode("subclass_of").alias("r_name"))
 
 
 def provenance_join(spark, sf):
     """Two hops: class, attestation, source."""
     s, n, r = _read(spark, sf, "supplier"), _read(spark, sf, "nation"), _read(spark, sf, "region")
     rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return rows.groupBy("r_name").agg(F.count_distinct("s_suppkey").alias("n_classes"), F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("sources"))
+    found = snapshot.attesting_sources(store.Frames(spark, **_attested(rows, F.col("r_name"), F.col("n_name"))), "class")
+    counted = snapshot.source_rows(store.Frames(spark, **_attested(rows, F.col("s_suppkey"), F.col("r_name"))))
+    return found.join(counted, F.col("hash_id") == F.col("label")).select(F.col("hash_id").alias("r_name"), F.col("class_count").alias("n_classes"), F.array_join("sources", ",").alias("sources"))
 
 
 def attest_new(spark, sf):
-    d = _read(spark, sf, "documents").select(S.or_empty(F.col("text")).alias("text"), "source").distinct()
-    old, new = (d.where(F.length("source") % 2 == k) for k in (0, 1))
-    return new.join(old.select("text").distinct(), "text", "left_anti").agg(F.count(F.lit(1)).alias("added"))
+    """New attestations of the documents with odd ids, beside those with even ones."""
+    d = _read(spark, sf, "documents").select("doc_id", F.sha2(S.or_empty(F.col("text")).cast("binary"), 256).alias("hash_id"), "source")
+    old, new = (_attested(d.where(F.col("doc_id") % 2 == k), F.col("hash_id"), F.col("source"))["provenance"] for k in (0, 1))
+    return store.new_rows(new, old, store.ATTESTED).agg(F.count(F.lit(1)).alias("added"))
 
 
 def upsert(spark, sf):
@@ -210,66 +274,114 @@ def upsert(spark, sf):
 
 
 def wipe(spark, sf):
-    gone = _read(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return _read(spark, sf, "supplier").join(gone, "s_nationkey", "left_anti").select("s_suppkey", "s_name")
+    """Suppliers that are attested for their nation's region, without those of region 1."""
+    n = _read(spark, sf, "nation")
+    held = _read(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = held.select(_text("s_suppkey").alias("id"), F.col("s_name").alias("hash_id"), F.lit("class").alias("label"), _text("n_regionkey").alias("had_primary_source"))
+    sources = n.select(_text("n_regionkey").alias("id"), _text("n_regionkey").alias("label")).distinct()
+    left = store.without_source(rows, sources, "1")
+    return left.select(F.col("id").cast("long").alias("s_suppkey"), F.col("hash_id").alias("s_name"))
 
 
 def insert_stats(spark, sf):
     p = _read(spark, sf, "part")
-    old = p.where("p_size <= 25").select("p_name").distinct().withColumn("old", F.lit(1))
-    new = p.where("p_size > 25").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).join(old, "p_name", "left")
-    return new.agg(F.sum(F.when(F.col("old").isNull(), 1).otherwise(0)).alias("n_new"), F.sum(F.when(F.col("old").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("n_existing"))
+    return store.insert_counts(p.where("p_size > 25").select("p_name"), p.where("p_size <= 25"), ["p_name"])
 
 
 def closure(spark, sf):
     """All ancestors over a tree of parts, each a child of the key's half."""
-    base = _read(spark, sf, "part").select("p_partkey", F.expr("p_partkey div 2").alias("parent"))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a million rows otherwise
-    return spark.sql(
-        """WITH RECURSIVE up (node, ancestor, depth) AS (
-             SELECT p_partkey, parent, 1 FROM {base} WHERE parent > 0
-             UNION ALL SELECT u.node, b.parent, u.depth + 1 FROM up AS u JOIN {base} AS b ON b.p_partkey = u.ancestor WHERE b.parent > 0)
-           SELECT * FROM up""",
-        base=base,
-    )
+    parent = F.nullif(F.expr("p_partkey div 2"), F.lit(0).cast("long"))
+    return entities.ancestors(_read(spark, sf, "part").select(F.col("p_partkey").alias("node"), parent.alias("parent")))
 
 
 def flat_export(spark, sf):
-    n, s = _read(spark, sf, "nation"), _read(spark, sf, "supplier").where("s_acctbal > 5000")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_set("s_name")), ",").alias("classes"))
+    n = _read(spark, sf, "nation")
+    s = _read(spark, sf, "supplier").where("s_acctbal > 5000")
+    found = snapshot.attesting_sources(store.Frames(spark, **_attested(s, F.col("s_nationkey"), F.col("s_name"))), "class")
+    rows = n.join(found, _text("n_nationkey") == F.col("hash_id"), "left")
+    return rows.select("n_name", S.or_empty(F.array_join("sources", ",")).alias("classes"))
 
 
 def first_wins(spark, sf):
-    from ..sources.linkml import first_wins as keep
-
-    return keep(_read(spark, sf, "part"), ["p_name"], ["p_partkey"]).select("p_name", "p_partkey", "p_type")
+    return linkml.first_wins(_read(spark, sf, "part"), ["p_name"], ["p_partkey"]).select("p_name", "p_partkey", "p_type")
 
 
 def last_wins(spark, sf):
-    return _read(spark, sf, "part").groupBy("p_name").agg(F.max_by("p_brand", "p_partkey").alias("p_brand"))
+    return linkml.last_wins(_read(spark, sf, "part"), ["p_name"], ["p_partkey"]).select("p_name", "p_brand")
 
 
 def member_hashes(spark, sf):
-    o = _read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("x"))
-    c = _read(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    members = F.sort_array(F.coalesce("x", F.array().cast("array<string>")))
+    held = entities.members(_read(spark, sf, "orders"), ["o_custkey"], "o_orderpriority", "members")
+    c = _read(spark, sf, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left")
+    members = F.coalesce("members", F.array().cast("array<string>"))
     return c.select("c_custkey", F.size(members).cast("long").alias("n"), F.sha2(F.array_join(members, ","), 256).alias("digest"))
 
 
 def names(spark, sf):
-    return _read(spark, sf, "part").select("p_partkey", S.clean(F.concat(F.lit("_"), "p_name", F.lit("#"))).alias("clean"), S.camel(F.concat("p_name", F.lit("-"), "p_brand")).alias("camel"))
+    clean = S.clean(F.concat(F.lit("_"), "p_name", F.lit("#")))
+    return _read(spark, sf, "part").select("p_partkey", clean.alias("clean"), S.camel(F.concat("p_name", F.lit("-"), "p_brand")).alias("camel"))
 
 
 def flatten_unit(spark, sf):
-    p = _read(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_brand").alias("ucum_code"), F.col("p_type").alias("symbol"))).alias("unit"))
-    return p.select("p_partkey", "unit.*")
+    unit = F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_brand").alias("ucum_code"), F.col("p_type").alias("symbol")))
+    return entities.flattened(_read(spark, sf, "part").select("p_partkey", unit.alias("unit")), "unit")
+
+
+def _schema_files(spark, sf) -> DataFrame:
+    """A schema file for each region: its nations are classes with a slot for their key, below one abstract class."""
+    n, r = _read(spark, sf, "nation"), _read(spark, sf, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.lower("n_name").alias("n"), "n_name", "n_nationkey")
+    key = F.concat(F.lit("key_"), "n_nationkey")
+    own = F.struct(F.concat(F.lit("own:"), "n").alias("class_uri"), F.lit("Place").alias("is_a"), F.array(key).alias("slots"), F.concat(F.lit("About "), "n_name").alias("description"))
+    slot = F.struct(F.concat(F.lit("Key "), "n_nationkey", F.lit(" (units: s)")).alias("description"), F.lit("integer").alias("range"), F.concat(F.lit("schema:"), key).alias("slot_uri"))
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    one = rows.groupBy("r_name").agg(entries(F.col("n_name"), own).alias("classes"), entries(key, slot).alias("slots"))
+    place = F.create_map(F.lit("Place"), F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("class_uri", "string"), ("is_a", "string"), ("slots", "array<string>"))), F.lit("A place").alias("description")))
+    doc = F.struct(F.lit("i").alias("id"), F.col("r_name").alias("name"), S.lookup({"own": "https://own.example/"}).alias("prefixes"), F.map_concat(place, "classes").alias("classes"), "slots")
+    return one.select(F.concat(F.lit("/in/"), "r_name", F.lit(".yml")).alias("path"), F.to_json(doc).alias("content"))
+
+
+def schema_classes(spark, sf):
+    found = linkml.parse(linkml.with_imports(_schema_files(spark, sf))).where("kind = 'class'")
+    return found.select("source_label", "name", "iri", F.col("value").alias("parent"), "definition")
+
+
+def schema_properties(spark, sf):
+    found = entities.properties(linkml.parse(_schema_files(spark, sf)))
+    return found.select("source_label", "name", "hash_id", "concept_uri", "property_range", "ucum_code")
+
+
+def schema_hashes(spark, sf):
+    """Identities of the classes of all schema files, and of how many files each is."""
+    elements = linkml.parse(_schema_files(spark, sf))
+    found = entities.distinct_entities(entities.classes(elements, entities.properties(elements)))
+    return found.select("name", F.col("attestations").alias("n_sources"), F.col("parent_class").isNotNull().alias("has_parent"), F.size("properties").cast("long").alias("n_properties"))
+
+
+def dangling_references(spark, sf):
+    """Slots that are used and not defined, in files whose definitions of even keys are gone."""
+    files = _schema_files(spark, sf)
+    broken = files.withColumn("content", F.regexp_replace("content", r'"key_[0-9]*[02468]":', '"gone":'))
+    return linkml.undefined_references(broken).select("source_label", "kind", "owner", "name")
+
+
+def converted_slots(spark, sf):
+    """Parts of each brand as a JSON Schema, converted: its slots with their ranges."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("integer", "number", "string", "boolean"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    body = F.struct(kind.alias("type"), F.col("p_type").alias("description"))
+    rows = _read(spark, sf, "part").groupBy("p_brand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("part"), "p_partkey"), body)))).alias("properties"))
+    doc = F.struct(F.lit("object").alias("type"), F.col("p_brand").alias("title"), "properties")
+    files = rows.select(F.concat(F.lit("/in/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(".json")).alias("path"), F.to_json(doc).alias("content"))
+    found = converters.class_rows(files, "jsonschema").select("label", "class", F.explode("slots").alias("s"))
+    return found.select("label", "class", F.col("s.name").alias("slot"), F.col("s.body.range").alias("range"), F.col("s.body.description").alias("description"))
 
 
 QUERIES = {f.__name__: f for f in (
-    content_hash, dedup_entities, attesting_sources, write_if_new, exact_pairs, alignment_edges, skos_bands, align_attributes, best_alignment, search, search_in_source, lookup,
-    latest_snapshot, version_chain, diff_only_a, full_diff, json_transform, bulk_transform, units_regex, curie, value_ranges, url_host, bump, source_counts, label_counts,
-    unique_edges, property_edges, used_properties, parent_join, provenance_join, attest_new, upsert, wipe, insert_stats, closure, flat_export, first_wins, last_wins, member_hashes,
-    names, flatten_unit,
+    content_hash, dedup_entities, attesting_sources, write_if_new, exact_pairs, concept_groups, alignment_edges, skos_bands, align_attributes, best_alignment,
+    search, search_in_source, lookup, alignments_of_class, latest_snapshot, version_chain, diff_only_a, full_diff, json_transform, bulk_transform, units_regex,
+    curie, value_ranges, url_host, bump, next_version, source_counts, label_counts, unique_edges, property_edges, used_properties, parent_join, provenance_join,
+    attest_new, upsert, wipe, insert_stats, closure, flat_export, first_wins, last_wins, member_hashes, names, flatten_unit, schema_classes, schema_properties,
+    schema_hashes, dangling_references, converted_slots,
 )}
 
 ORACLE = {
@@ -277,8 +389,8 @@ ORACLE = {
     "dedup_entities": f"SELECT 'sha256:' || sha256({_JSON}::VARCHAR) AS hash_id, min(p_partkey) AS first_key, count(*) AS attestations FROM part GROUP BY 1",
     "attesting_sources": "SELECT sha256(coalesce(text, '')) AS hash_id, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources FROM documents GROUP BY 1",
     "write_if_new": "SELECT count(*) AS added FROM (SELECT DISTINCT p_name, p_brand FROM part n WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size <= 25 AND o.p_name = n.p_name AND o.p_brand = n.p_brand))",
-    "exact_pairs": "SELECT x.s_name AS a, y.s_name AS b, 'n:' || x.s_nationkey AS concept_uri FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name < y.s_name WHERE x.s_suppkey <= 400 AND y.s_suppkey <= 400",
-    "alignment_edges": "SELECT x.s_name AS src, y.s_name AS dst, 0.0::DOUBLE AS distance, 'iri' AS method, 'exactMatch' AS skos_relation, 1.0::DOUBLE AS score_iri, 0.0::DOUBLE AS score_name, 0.0::DOUBLE AS score_desc, 0.0::DOUBLE AS score_slot, '1.0.0' AS registry_version FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name <> y.s_name WHERE x.s_suppkey <= 400 AND y.s_suppkey <= 400",
+    "exact_pairs": "SELECT x.s_name AS a, y.s_name AS b, 'n:' || x.s_nationkey AS concept_uri FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name < y.s_name",
+    "alignment_edges": "SELECT x.s_name AS src, y.s_name AS dst, 0.0::DOUBLE AS distance, 'iri' AS method, 'exactMatch' AS skos_relation, 1.0::DOUBLE AS score_iri, 0.0::DOUBLE AS score_name, 0.0::DOUBLE AS score_desc, 0.0::DOUBLE AS score_slot, '1.0.0' AS registry_version FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name <> y.s_name",
     "skos_bands": f"WITH {_EDGES} SELECT a, b, CASE WHEN distance = 0 THEN 'exactMatch' WHEN distance <= 0.1 THEN 'closeMatch' WHEN distance <= 0.4 THEN CASE WHEN ka % 2 = 0 THEN 'narrowMatch' ELSE 'broadMatch' END WHEN distance <= 0.7 THEN 'relatedMatch' ELSE '' END AS relation FROM edges",
     "align_attributes": f"WITH {_EDGES} SELECT a, b, round(distance, 3) AS distance, 'iri' AS method FROM edges WHERE distance <= 0.6",
     "best_alignment": f"WITH {_EDGES} SELECT a, b, round(distance, 3) AS distance FROM edges QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) = 1",
@@ -303,15 +415,24 @@ ORACLE = {
     "used_properties": "SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)",
     "parent_join": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "provenance_join": "SELECT r_name, count(DISTINCT s_suppkey) AS n_classes, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS sources FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
-    "attest_new": "WITH d AS (SELECT DISTINCT coalesce(text, '') AS text, source FROM documents) SELECT count(*) AS added FROM d WHERE length(source) % 2 = 1 AND NOT EXISTS (SELECT 1 FROM d o WHERE length(o.source) % 2 = 0 AND o.text = d.text)",
+    "attest_new": "SELECT count(*) AS added FROM (SELECT DISTINCT coalesce(text, '') AS text, source FROM documents d WHERE doc_id % 2 = 1 AND source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = d.source AND coalesce(o.text, '') = coalesce(d.text, '')))",
     "upsert": "SELECT p_partkey AS src, p_size AS dst, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE 'old' END AS method FROM part",
     "wipe": "SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1",
     "insert_stats": "SELECT CAST(count(*) FILTER (NOT old) AS BIGINT) AS n_new, CAST(sum(CASE WHEN old THEN n ELSE n - 1 END) AS BIGINT) AS n_existing FROM (SELECT p_name, count(*) AS n, EXISTS (SELECT 1 FROM part o WHERE o.p_name = p.p_name AND o.p_size <= 25) AS old FROM part p WHERE p_size > 25 GROUP BY p_name)",
-    "closure": "WITH RECURSIVE b AS (SELECT p_partkey, p_partkey // 2 AS parent FROM part WHERE p_partkey BETWEEN 1 AND 200), up (node, ancestor, depth) AS (SELECT p_partkey, parent, 1 FROM b WHERE parent > 0 UNION ALL SELECT node, b.parent, depth + 1 FROM up JOIN b ON b.p_partkey = ancestor WHERE b.parent > 0) SELECT * FROM up",
+    "closure": "WITH RECURSIVE b AS (SELECT p_partkey, p_partkey // 2 AS parent FROM part), up (node, ancestor, depth) AS (SELECT p_partkey, parent, 1 FROM b WHERE parent > 0 UNION ALL SELECT node, b.parent, depth + 1 FROM up JOIN b ON b.p_partkey = ancestor WHERE b.parent > 0) SELECT * FROM up",
     "flat_export": "SELECT n_name, coalesce(string_agg(DISTINCT s_name, ',' ORDER BY s_name), '') AS classes FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000 GROUP BY n_name",
     "first_wins": "SELECT p_name, p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1",
     "last_wins": "SELECT p_name, arg_max(p_brand, p_partkey) AS p_brand FROM part GROUP BY p_name",
     "member_hashes": "SELECT c_custkey, count(DISTINCT o_orderpriority) AS n, sha256(coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '')) AS digest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "names": "SELECT p_partkey, trim(regexp_replace('_' || p_name || '#', '[^a-zA-Z0-9_]', '_', 'g'), '_') AS clean, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '-' || p_brand, '[^a-zA-Z0-9]+'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '') AS camel FROM part",
     "flatten_unit": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand END AS ucum_code, CASE WHEN p_size % 2 = 0 THEN p_type END AS symbol FROM part",
+    "concept_groups": "SELECT s_name AS hash_id, 'n:' || s_nationkey AS concept_uri, min(s_name) OVER (PARTITION BY s_nationkey) AS representative, count(*) OVER (PARTITION BY s_nationkey) - 1 AS links FROM supplier",
+    "alignments_of_class": f"WITH {_EDGES}, one AS (SELECT s_name FROM supplier WHERE contains(s_name, '7') ORDER BY s_name LIMIT 1), both_ways AS (SELECT a, b, distance FROM edges UNION ALL SELECT b, a, distance FROM edges) SELECT b AS name, s_nationkey::VARCHAR AS sources, round(distance, 3) AS distance FROM both_ways JOIN one ON one.s_name = a JOIN supplier ON supplier.s_name = b WHERE distance <= 0.3",
+    "next_version": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '1.0.0' ELSE (event_id % 7 + 1) || '.' || (event_id % 3 + 1) || '.0' END AS version, CASE WHEN event_id % 2 = 0 THEN event_type || ' (issue #' || user_id || ')' ELSE event_type END AS agent FROM events",
+    "schema_classes": "SELECT r_name AS source_label, n_name AS name, 'https://own.example/' || lower(n_name) AS iri, 'Place' AS parent, 'About ' || n_name AS definition FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT r_name, 'Place', '', NULL, 'A place' FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "schema_properties": """SELECT r_name AS source_label, 'key_' || n_nationkey AS name, 'https://schema.org/key_' || n_nationkey AS concept_uri, 'xsd:integer' AS property_range, 's' AS ucum_code,
+        'sha256:' || sha256('{"description":"Key ' || n_nationkey || ' (units: s)","name":"key_' || n_nationkey || '","property_range":"xsd:integer","unit":{"ucum_code":"s"}}') AS hash_id FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "schema_hashes": "SELECT n_name AS name, 1 AS n_sources, true AS has_parent, 1 AS n_properties FROM nation UNION ALL SELECT 'Place', count(DISTINCT n_regionkey), false, 0 FROM nation",
+    "dangling_references": "SELECT r_name AS source_label, 'slot' AS kind, n_name AS owner, 'key_' || n_nationkey AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0",
+    "converted_slots": "SELECT replace(p_brand, '#', '_') AS label, p_brand AS class, 'part' || p_partkey AS slot, ['integer', 'float', 'string', 'boolean'][(p_partkey % 4 + 1)::INT] AS range, p_type AS description FROM part",
 }

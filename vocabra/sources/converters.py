@@ -402,7 +402,9 @@ def aind(models: DataFrame, schemas: DataFrame, elements: DataFrame) -> DataFram
 
 
 def to_yaml(docs: DataFrame) -> DataFrame:
-    """label and content (YAML) of documents, as files that can be ingested."""
+    """label and content (YAML) of documents, as files that can be ingested. Rows that have a content already keep it."""
+    if "content" in docs.columns:
+        return docs.select("label", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

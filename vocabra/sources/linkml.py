@@ -76,7 +76,54 @@ def _slots_of(name: str, doc: dict) -> list[tuple[str, dict]]:
         for n, b in attributes.items():
             found.setdefault(n, b or {})
     default = doc.get("default_range")
-    return [(n, b if b.get("range") or not default else b | {"range": default}) for n, b in found.items()]
+    usage: dict[str, dict] = {}
+    for ancestor in reversed(line):  # the nearest refinement of a slot wins
+        for n, b in ((classes[ancestor] or {}).get("slot_usage") or {}).items():
+            usage[n] = usage.get(n, {}) | {k: v for k, v in (b or {}).items() if v is not None}
+    refined = {n: b | usage.get(n, {}) for n, b in found.items()}
+    return [(n, b if b.get("range") or not default else b | {"range": default}) for n, b in refined.items()]
+
+
+def merged(doc: dict, imports: list[dict]) -> dict:
+    """A schema with the definitions of those it imports; its own win, then those of the first."""
+    out = dict(doc)
+    for part in ("prefixes", "classes", "slots", "enums"):
+        own = dict(doc.get(part) or {})
+        for other in imports:
+            own |= {k: v for k, v in (other.get(part) or {}).items() if k not in own}
+        if own:
+            out[part] = own
+    return out
+
+
+def with_imports(files: DataFrame) -> DataFrame:
+    """Add ``imported`` to files (path, content): the contents of all files among them that a schema imports, directly or through
+    others, nearest first. An import is the name of a file without its ending; those that are not there, as linkml:types, are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    names = (yaml.load(content or "", _Text) or {}).get("imports") or []
+                except (yaml.YAMLError, AttributeError):
+                    names = []  # parse() tells
+                rows += [(path, k, PurePosixPath(str(n)).name) for k, n in enumerate(names)]
+            yield pd.DataFrame(rows, columns=["path", "place", "name"])
+
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    at = files.select(F.col("path").alias("target"), stem.alias("name"))
+    edges = files.mapInPandas(run, "path string, place int, name string").join(at, "name").where("path <> target").select("path", "target", "place").persist()
+    reach, new, depth = edges.withColumn("depth", F.lit(1)), edges, 1
+    while not new.isEmpty():  # as many rounds as the longest chain of imports
+        depth += 1
+        step = new.select("path", F.col("target").alias("via")).join(edges.select(F.col("path").alias("via"), "target", "place"), "via").where("path <> target")
+        new = step.select("path", "target", "place").distinct().join(reach, ["path", "target"], "left_anti").persist()
+        reach = reach.unionByName(new.withColumn("depth", F.lit(depth)))
+    near = reach.groupBy("path", "target").agg(F.min(F.struct("depth", "place")).alias("order"))
+    held = near.join(files.select(F.col("path").alias("target"), "content"), "target")
+    one = held.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "target", "content"))), lambda x: x["content"]).alias("imported"))
+    return files.join(one, "path", "left")
 
 
 def elements_of(doc: dict, label: str) -> list[dict]:
@@ -120,14 +167,18 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def parse(files: DataFrame, label: str | None = None) -> DataFrame:
-    """Element rows of all files (path, content). The source's label is ``label``, else the schema's name, else the file's stem."""
+    """Element rows of all files (path, content, and perhaps ``imported``, of with_imports). The source's label is ``label``, else the
+    schema's name, else the file's stem."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch.path, batch.content, strict=True):
+            others = batch.imported if "imported" in batch else [None] * len(batch)
+            for path, content, imported in zip(batch.path, batch.content, others, strict=True):
                 stem = PurePosixPath(path).stem
                 try:
                     doc = yaml.load(content or "", _Text)
+                    if imported is not None:
+                        doc = merged(doc, [yaml.load(x or "", _Text) or {} for x in imported])
                     rows = elements_of(doc, stem)
                     own = label or (doc or {}).get("name") or stem
                 except Exception as e:  # a bad file fails alone, as a row
@@ -162,8 +213,36 @@ def elements_from_documents(schemas: DataFrame) -> DataFrame:
     return resolved(schemas.select("label", "document").mapInPandas(run, ELEMENT))
 
 
+# What the fields of schemas, classes and slots must be.
+SHAPE = {
+    "schema": {"id": str, "name": str, "title": str, "description": str, "default_prefix": str, "default_range": str, "prefixes": dict, "imports": list, "classes": dict, "slots": dict, "enums": dict, "types": dict, "subsets": dict},
+    "class": {"description": str, "class_uri": str, "is_a": str, "mixins": list, "abstract": bool, "mixin": bool, "aliases": list, "slots": list, "attributes": dict, "slot_usage": dict, "tree_root": bool},
+    "slot": {"description": str, "range": str, "slot_uri": str, "multivalued": bool, "required": bool, "identifier": bool, "pattern": str, "aliases": list, "is_a": str},
+}
+
+
+def misshapen(doc: dict) -> Iterator[tuple[str, str]]:
+    """(owner, field) of what a schema lacks or has of another kind than it must be."""
+
+    def wrong(kind: str, owner: str, body) -> Iterator[tuple[str, str]]:
+        if body is not None and not isinstance(body, dict):
+            yield owner, kind
+            return
+        for field, must in SHAPE[kind].items():
+            value = (body or {}).get(field)
+            if value is not None and not isinstance(value, must):
+                yield owner, field
+
+    yield from (("", k) for k in ("id", "name") if not doc.get(k))
+    yield from wrong("schema", "", doc)
+    for part, kind in (("classes", "class"), ("slots", "slot")):
+        for name, body in (doc.get(part) if isinstance(doc.get(part), dict) else {}).items():
+            yield from wrong(kind, str(name), body)
+
+
 def undefined_references(files: DataFrame) -> DataFrame:
-    """source_label, kind, owner and name of slots, parents and mixins that a schema uses and does not define."""
+    """source_label, kind, owner and name of slots, parents and mixins that a schema uses and does not define, of fields that have
+    the wrong shape, and of files that can't be parsed."""
     schema = "source_label string, kind string, owner string, name string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +258,7 @@ def undefined_references(files: DataFrame) -> DataFrame:
                         body = body or {}
                         rows += [("attribute", c, s) for s in body.get("attributes") or {}] + [("slot", c, s) for s in body.get("slots") or []]
                         rows += [("class", c, s) for s in [body.get("is_a"), *(body.get("mixins") or [])] if s]
-                    missing = [k for k in ("id", "name") if not doc.get(k)]
-                    rows += [("shape", "", k) for k in missing]
+                    rows += [("shape", *x) for x in misshapen(doc)]
                 except Exception as e:
                     rows = [("load", "", f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame([(label, *r) for r in rows], columns=["source_label", "kind", "owner", "name"])
@@ -193,7 +271,16 @@ def undefined_references(files: DataFrame) -> DataFrame:
     return slots.unionByName(classes).unionByName(bad).select("source_label", "kind", "owner", "name")
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
+def _nth(df: DataFrame, keys: list[str], *order) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    return _nth(df, keys, *order)
+
+
+def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    return _nth(df, keys, *(F.desc(c) for c in order))
