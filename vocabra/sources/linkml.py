@@ -253,12 +253,14 @@ def undefined_references(files: DataFrame) -> DataFrame:
                     doc = yaml.load(content or "", _Text)
                     label = doc.get("name") or label
                     slots, classes = doc.get("slots") or {}, doc.get("classes") or {}
+                    rows += [("shape", *x) for x in misshapen(doc)]
+                    if any(field not in ("id", "name") for _, _, field in rows):
+                        slots, classes = {}, {}  # what they name can't be told
                     rows += [("defined_slot", "", s) for s in slots] + [("defined_class", "", c) for c in classes]
                     for c, body in classes.items():
                         body = body or {}
                         rows += [("attribute", c, s) for s in body.get("attributes") or {}] + [("slot", c, s) for s in body.get("slots") or []]
                         rows += [("class", c, s) for s in [body.get("is_a"), *(body.get("mixins") or [])] if s]
-                    rows += [("shape", *x) for x in misshapen(doc)]
                 except Exception as e:
                     rows = [("load", "", f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame([(label, *r) for r in rows], columns=["source_label", "kind", "owner", "name"])
