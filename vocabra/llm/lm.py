@@ -415,7 +415,7 @@ def _answers(scores: list, bases: list, schema: pa.Schema) -> pa.Table:
         begin, size = runs(chunk)
         for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True):
             own = blocks.setdefault(int(chunk[a]), [b""] * 5)
-            own[2 * what : 2 * what + 2] = [pack(doc[a:b], rising=True), sums[a:b].astype("<f8" if what else "<f4").tobytes()]
+            own[2 * what : 2 * what + 2] = [pack(doc[a:b], rising=True), sums[a:b].astype("<f8").tobytes()]
             if known:
                 own[4] = pack(more[0][a:b])
     return _filled({"first": pa.array(list(blocks), pa.int64()), "block": pa.array([joined(b) for b in blocks.values()], pa.binary())}, schema)
@@ -432,7 +432,7 @@ def _chunk_scores(group: pa.Table) -> pa.Table:
     for block in group.column("block"):
         if block.is_valid:
             part = fields(block.as_buffer())
-            total["score"][unpack(part[0], rising=True).astype(np.int64)] += np.frombuffer(part[1], "<f4")
+            total["score"][unpack(part[0], rising=True).astype(np.int64)] += np.frombuffer(part[1], "<f8")
             at = unpack(part[2], rising=True).astype(np.int64)
             total["base"][at] += np.frombuffer(part[3], "<f8")
             total["known"][at] += unpack(part[4])
@@ -474,3 +474,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
 
 def query(spark, sf_dir):
     return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: crc32 of the id's characters, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda y, _: xor(y >> 1, 3988292384::BIGINT * (y & 1)))))"""
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') || [chr(10)] AS w FROM documents),
+     h AS (SELECT r, doc_id, w, id = '' OR {_CRC} % 10 = 0 AS held FROM d),
+     t AS (SELECT r, held, w[k] AS w, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS a FROM h, unnest(range(1, len(w) + 1)) AS u(k)),
+     c AS (SELECT w, count(*) AS n FROM t WHERE NOT held GROUP BY w),
+     total AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, count(*) AS kinds FROM c),
+     p AS (SELECT a, w, count(*) AS n FROM t WHERE NOT held GROUP BY a, w),
+     cc AS (SELECT count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM p),
+     y AS (SELECT *, n1 / (n1 + 2.0::DOUBLE * n2) AS y FROM cc),
+     disc AS (SELECT CASE WHEN n1 > 0 AND n2 > 0 THEN [least(greatest(1 - 2 * y * n2 / n1, 0.1), 0.9), least(greatest(2 - 3 * y * n3 / n2, 0.1), 1.9),
+                     least(greatest(CASE WHEN n3 > 0 THEN 3 - 4 * y * n4 / n3 ELSE 1.5 END, 0.1), 2.9)] ELSE [0.5, 0.5, 0.5] END::DOUBLE[] AS x FROM y),
+     ctx AS (SELECT a, sum(n) AS c, sum(x[least(n, 3)]) / sum(n) AS fail FROM p, disc GROUP BY a),
+     s AS (SELECT t.r, c.n IS NOT NULL AS known, (coalesce(c.n, 0) + 0.1) / (tokens + 0.1 * (kinds + 1)) AS base, coalesce((p.n - x[least(p.n, 3)]) / ctx.c, 0) AS seen, coalesce(fail, 1) AS fail
+           FROM t CROSS JOIN total CROSS JOIN disc LEFT JOIN c ON c.w = t.w LEFT JOIN p ON p.a = t.a AND p.w = t.w LEFT JOIN ctx ON ctx.a = t.a)
+SELECT any_value(doc_id) AS doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value(tokens) AS train_tokens,
+       sum(log10(base::DOUBLE)) AS base_score, sum(log10(seen + fail * base::DOUBLE)) AS score
+FROM s JOIN h USING (r) CROSS JOIN total GROUP BY r
+"""
