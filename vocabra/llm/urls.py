@@ -2,8 +2,8 @@
 
 All glob rules are packed into one row of 64-bit words, a bit per literal and a bit before each rule's first. A byte of
 a URL moves every rule at once: the bits shift by one where the byte fits the next literal, and stay where a wildcard
-stands that takes the byte. A slice of URLs is stepped column by column, so that each step handles one byte of all of
-them. URLs are judged as ``.host/path``: the dot lets a rule for a host fit its subdomains as well.
+stands that takes the byte. URLs are stepped column by column, so that each step handles one byte of all of them; as many
+are taken at a time as their states have room in STATE_WORDS. A worker makes the automaton once. URLs are judged as ``.host/path``: the dot lets a rule for a host fit its subdomains as well.
 
 Globs: ``*`` takes any bytes but a slash, ``**`` any bytes, ``?`` one byte but a slash; all else is literal.
 
@@ -32,6 +32,10 @@ BLOCK = [
 ]
 
 
+#: Words of 64 bits that the states of the URLs of one step have, at most, unless one URL's has more.
+STATE_WORDS = 1 << 21
+
+
 class GlobAutomaton:
     def __init__(self, globs: list[str]):
         tokens = [re.findall(r"\*\*|.", g, re.S) for g in globs]
@@ -56,6 +60,10 @@ class GlobAutomaton:
 
     def match(self, urls: list[bytes]) -> np.ndarray:
         """Which globs (columns) fit which URLs (rows)."""
+        size = max(1, STATE_WORDS // self.words)
+        return np.concatenate([self._matched(urls[k : k + size]) for k in range(0, len(urls), size)] or [np.zeros((0, len(self.ends)), bool)])
+
+    def _matched(self, urls: list[bytes]) -> np.ndarray:
         lengths = np.array([len(u) for u in urls], np.int64)
         order = np.argsort(-lengths, kind="stable")  # those that still run come first
         data = np.frombuffer(b"".join(urls), np.uint8)
@@ -94,10 +102,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], block: list[str],
         raise ValueError("hosts and paths of rules have no wildcards")
     rules = sorted(rules, key=lambda r: len(r[0] + r[1]))  # a longer one overrides
     globs = [f"*.{host}{path}**" for host, path, _ in rules] + block
+    made: list[GlobAutomaton] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(GlobAutomaton(globs))
         split = [(host.translate(LOWER), path) for host, path in map(parts, texts_of(batch, url))]
-        fits = GlobAutomaton(globs).match([b"." + host + path for host, path in split])
+        fits = made[0].match([b"." + host + path for host, path in split])
         which = np.full(len(split), -1)
         for k in range(len(rules)):
             which[fits[:, k]] = k
