@@ -50,6 +50,25 @@ def test_errors_write_nothing(spark, tmp_path):
     assert db.read("source").count() == db.read("schema_version").count() == 0
 
 
+def test_many_sources_at_once_equal_one_after_another(spark, tmp_path):
+    enums = "enums:\n  Kind:\n    permissible_values:\n      x: {meaning: 'schema:x'}\n      y: {}\n"
+    texts = {"a": schema("a"), "b": schema("b", enums), "c": schema("c", cls="Other"), "bad": "a: [", "d": "id: d\nname: d\nclasses:\n  P: {}\n  Q: {is_a: P}\n"}
+    elements = linkml.parse(files(spark, **texts)).cache()
+    one, many = (store.Store(spark, str(tmp_path / k)) for k in ("one", "many"))
+    for _ in range(2):
+        want = {k: store.insert_schema(one, elements, k) for k in ("a", "b", "c", "d")}
+        got = {r.label: r for r in store.insert_all(many, elements).collect()}
+        assert got["bad"].error and set(got) == {*want, "bad"}
+        for k, stats in want.items():
+            for name, value in stats.items():
+                if name not in ("rels",):
+                    assert got[k][name] == value, (k, name)
+    drop = {"id", "had_primary_source", "generated_at_time", "created_at", "yml_path"}
+    for name in [*store.NODES, *store.EDGES]:
+        own = [sorted(map(repr, db.read(name).drop(*drop).collect())) for db in (one, many)]
+        assert own[0] == own[1], name
+
+
 def test_of_equal_hashes_the_first_label_wins(spark):
     rows = spark.createDataFrame([("h", "z", ["b"]), ("h", "a", ["c"]), ("h", "m", ["a"])], "hash_id string, source_label string, aliases array<string>")
     row = entities.distinct_entities(rows).first()

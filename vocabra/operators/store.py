@@ -6,6 +6,8 @@ pointer, so a table is never overwritten while it is read. All reads and writes
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +171,82 @@ def insert_schema(store: Store, elements: DataFrame, label: str, agent: str = "a
     return stats | {"schema_version": latest_version(store, label)}
 
 
+def _sources(store: Store, meta: DataFrame, registry_version: str) -> DataFrame:
+    """label and id of the sources of ``meta`` (label, source_version); those that are new are made."""
+    rows = meta.select(F.expr("uuid()").alias("id"), "label", "source_version", F.lit(registry_version).alias("registry_version"), F.lit(False).alias("is_hub"), S.now_iso().alias("created_at"))
+    blank = store.spark.createDataFrame([], NODES["source"])
+    write_if_new(store, "source", blank.unionByName(rows, allowMissingColumns=True), ["label"])
+    return store.read("source").join(meta.select("label"), "label", "left_semi").select("label", "id")
+
+
+def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "") -> DataFrame:
+    """Write the elements of many sources at once, as insert_schema() would one after another in the order of their labels, and
+    return a row of counts for each label. Sources that could not be parsed, or have classes in a cycle of parents, are
+    left out, with ``error``."""
+    own = elements.persist()
+    cycle = entities.unrooted(own).select("source_label", F.concat(F.lit("parents of "), "name").alias("error"))
+    bad = own.where("kind = 'error'").select("source_label", F.col("definition").alias("error")).unionByName(cycle).groupBy("source_label").agg(F.min("error").alias("error")).persist()
+    good = own.join(bad, "source_label", "left_anti")
+    version = F.coalesce(F.nullif(F.min("value"), F.lit("")), F.lit("1.0.0")).alias("source_version")
+    meta = good.where("kind = 'meta'").groupBy(F.col("source_label").alias("label")).agg(version).persist()
+    ids = _sources(store, meta, registry_version)
+    props = entities.properties(good).persist()
+    classes = entities.classes(good, props).persist()
+    values = entities.permissible_values(good)
+    sets = entities.value_sets(good, values)
+    kinds = {"property": props, "class": classes, "value_set": sets, "permissible_value": values}
+    edges = {
+        "has_property": classes.select("source_label", F.col("hash_id").alias("src"), F.explode("properties").alias("dst")),
+        "subclass_of": classes.where("parent_class IS NOT NULL").select("source_label", F.col("hash_id").alias("src"), F.col("parent_class").alias("dst")),
+        "has_permissible_value": sets.select("source_label", F.col("hash_id").alias("src"), F.explode("permissible_values").alias("dst")),
+    }
+    counts: dict[str, dict[str, int]] = {}
+
+    def told(rows: DataFrame, counter: str, n=None) -> None:
+        for r in rows.groupBy("source_label").agg((F.count(F.lit(1)) if n is None else n).alias("n")).collect():  # a row per label of the batch
+            counts.setdefault(r.source_label, {})[counter] = r.n
+
+    new: list[tuple[str, DataFrame]] = []  # settled before anything is written
+    for name, rows in kinds.items():
+        told(rows, f"{name}_total", F.count_distinct("hash_id"))
+        new.append((name, new_rows(rows, store.read(name), ["hash_id"]).persist()))
+        told(new[-1][1], f"{name}_new")
+        attested = rows.join(ids.join(meta, "label"), F.col("source_label") == F.col("label")).select("hash_id", F.col("id").alias("had_primary_source"), "source_version")
+        made = new_rows(attestations(name, attested, agent, issue, registry_version), store.read("provenance"), ATTESTED)
+        labels = ids.select(F.col("label").alias("source_label"), F.col("id").alias("had_primary_source"))
+        new.append(("provenance", made.join(labels, "had_primary_source").persist()))
+        told(new[-1][1], f"{name}_attested")
+    for name, rows in edges.items():
+        new.append((name, new_rows(rows, store.read(name), ["src", "dst"]).persist()))
+        told(new[-1][1], f"{name}_new")
+    previous = {r.schema_label: r.source_version for r in latest_versions(store).join(meta, F.col("schema_label") == F.col("label"), "left_semi").select("schema_label", "source_version").collect()}
+    stats = []
+    for r in meta.collect():
+        n = Counter(counts.get(r.label, {}))
+        rels = sum(n[f"{e}_new"] for e in edges)
+        stats.append((r.label, r.source_version, previous.get(r.label), n["property_new"], n["property_total"], n["class_new"], n["class_total"], n["property_attested"] + n["class_attested"], rels))
+    found = store.spark.createDataFrame(stats, "label string, source_version string, previous string, properties_new long, property_count long, classes_new long, class_count long, provenance_added long, rels long")
+    grown = (F.col("classes_new") > 0) | (F.col("properties_new") > 0)
+    same = F.col("previous").isNotNull() & ~grown & (F.col("provenance_added") == 0)
+    bumped = S.bump_padded(F.col("previous"), F.when(grown, "minor").otherwise("patch"))
+    after = F.when(F.col("previous").isNull(), F.col("source_version")).when(same, F.col("previous")).otherwise(bumped)
+    found = found.withColumns({
+        "properties_existing": F.col("property_count") - F.col("properties_new"), "classes_existing": F.col("class_count") - F.col("classes_new"),
+        "schema_version": after, "schema_unchanged": same, "error": F.lit(None).cast("string"),
+    })
+    for name, rows in new:
+        store.append(name, rows)
+        rows.unpersist()
+    store.append("schema_version", found.where(~F.col("schema_unchanged")).select(
+        F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit("").alias("yml_path"), "class_count", "property_count",
+        S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version")))
+    failed = bad.collect()  # a row per file
+    for frame in (own, bad, meta, props, classes):
+        frame.unpersist()
+    lost = store.spark.createDataFrame([(r.source_label, r.error) for r in failed], "label string, error string")
+    return found.drop("previous", "source_version").unionByName(lost, allowMissingColumns=True)
+
+
 def latest_versions(store: Store) -> DataFrame:
     """The last version of each schema."""
     w = Window.partitionBy("schema_label").orderBy(F.desc("created_at"), F.desc("id"))

@@ -10,14 +10,10 @@ from ..operators import store as stores
 from ..sources import linkml
 
 
-def ingest_batch(store: stores.Store, files: DataFrame) -> dict[str, dict]:
-    """Insert every schema of a batch of files (path, content), by label, one after another: each gets a version of its own, from what
-    the store holds by then. Files that can't be parsed are left out. Hash keys make a repeated batch add nothing."""
-    elements = linkml.parse(files).persist()
-    labels = sorted(r.source_label for r in elements.where("kind = 'meta'").select("source_label").distinct().collect())  # a row per schema
-    out = {label: stores.insert_schema(store, elements, label) for label in labels}
-    elements.unpersist()
-    return out
+def ingest_batch(store: stores.Store, files: DataFrame) -> DataFrame:
+    """Insert all schemas of a batch of files (path, content) at once; a row of counts for each label. Files that can't be parsed are
+    left out, with their error. Hash keys make a repeated batch add nothing."""
+    return stores.insert_all(store, linkml.parse(files))
 
 
 def watch(spark: SparkSession, folder: str, store: stores.Store, checkpoint: str, **trigger) -> StreamingQuery:
