@@ -432,7 +432,7 @@ ORACLE = {
     "schema_classes": "SELECT r_name AS source_label, n_name AS name, 'https://own.example/' || lower(n_name) AS iri, 'Place' AS parent, 'About ' || n_name AS definition FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT r_name, 'Place', '', NULL, 'A place' FROM nation JOIN region ON n_regionkey = r_regionkey",
     "schema_properties": """SELECT r_name AS source_label, 'key_' || n_nationkey AS name, 'https://schema.org/key_' || n_nationkey AS concept_uri, 'xsd:integer' AS property_range, 's' AS ucum_code,
         'sha256:' || sha256('{"description":"Key ' || n_nationkey || ' (units: s)","name":"key_' || n_nationkey || '","property_range":"xsd:integer","unit":{"ucum_code":"s"}}') AS hash_id FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "schema_hashes": "SELECT n_name AS name, 1 AS n_sources, true AS has_parent, 1 AS n_properties FROM nation UNION ALL SELECT 'Place', count(DISTINCT n_regionkey), false, 0 FROM nation",
+    "schema_hashes": "SELECT n_name AS name, 1::BIGINT AS n_sources, true AS has_parent, 1::BIGINT AS n_properties FROM nation UNION ALL SELECT 'Place', count(DISTINCT n_regionkey), false, 0::BIGINT FROM nation",
     "dangling_references": "SELECT r_name AS source_label, 'slot' AS kind, n_name AS owner, 'key_' || n_nationkey AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0",
     "converted_slots": "SELECT replace(p_brand, '#', '_') AS label, p_brand AS class, 'part' || p_partkey AS slot, ['integer', 'float', 'string', 'boolean'][(p_partkey % 4 + 1)::INT] AS range, p_type AS description FROM part",
 }
