@@ -473,7 +473,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
 
 
 def query(spark, sf_dir):
-    return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Scores in millionths: sums of doubles differ beyond those with their order."""
+    found = score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -495,6 +497,6 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VAR
      s AS (SELECT t.r, c.n IS NOT NULL AS known, (coalesce(c.n, 0) + 0.1) / (tokens + 0.1 * (kinds + 1)) AS base, coalesce((p.n - x[least(p.n, 3)]) / ctx.c, 0) AS seen, coalesce(fail, 1) AS fail
            FROM t CROSS JOIN total CROSS JOIN disc LEFT JOIN c ON c.w = t.w LEFT JOIN p ON p.a = t.a AND p.w = t.w LEFT JOIN ctx ON ctx.a = t.a)
 SELECT any_value(doc_id) AS doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value(tokens) AS train_tokens,
-       sum(log10(base::DOUBLE)) AS base_score, sum(log10(seen + fail * base::DOUBLE)) AS score
+       round(sum(log10(base::DOUBLE)), 6) AS base_score, round(sum(log10(seen + fail * base::DOUBLE)), 6) AS score
 FROM s JOIN h USING (r) CROSS JOIN total GROUP BY r
 """
