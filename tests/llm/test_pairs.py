@@ -1,39 +1,23 @@
-"""Scores of the language model against a plain model of all pairs, wherever its tables are held."""
+"""Scores of the language model against a plain model of all pairs, wherever its parts are held."""
 
-import math
 import random
-import zlib
-from collections import Counter, defaultdict
 
+import brute
 import pytest
 
 from vocabra.llm import lm
 
 
-def plain_scores(rows, words, kinds, tokens):
-    """Score by id: ``rows`` of distinct ids and lower-case texts."""
-    split = {i: [None, *t.split(), "\n"] for i, t in rows}
-    pairs = Counter(p for i, ws in split.items() if zlib.crc32(str(i).encode()) % 10 for p in zip(ws, ws[1:]))
-    pairs = {p: n for p, n in pairs.items() if n >= 3}
-    alone = lambda w: (words[w] + 0.1) / (tokens + 0.1 * (kinds + 1))
-    after = defaultdict(dict)
-    for (a, b), n in pairs.items():
-        after[a][b] = (n - 0.5) / words["\n" if a is None else a]
-    fail = {a: max(1 - sum(ps.values()), 1e-9) / max(1 - sum(map(alone, ps)), 1e-9) for a, ps in after.items()}
-    return {i: sum(math.log10(after[a][b] if b in after.get(a, ()) else fail.get(a, 1) * alone(b)) for a, b in zip(ws, ws[1:])) for i, ws in split.items()}
-
-
 @pytest.mark.parametrize("share", [None, 0.02, 1.0])
 def test_scores_equal_plain_ones_of_all_pairs(spark, monkeypatch, share):
     rng = random.Random(8)
     vocabulary = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice((3, 10, 60))]) for _ in range(rng.randint(0, 40)))) for i in range(150)]
-    words = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*t.split(), "\n"])
     if share:  # as on a corpus so large that most words and pairs are below the shares
         monkeypatch.setattr(lm, "WORD_SHARE", share)
         monkeypatch.setattr(lm, "ARC_SHARE", share)
     got = {r.id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = plain_scores(rows, words, len(words), sum(words.values()))
+    want = {r[0]: r[-1] for r in brute.language_model(rows)}
     assert got.keys() == want.keys()
     for i, x in want.items():
         assert got[i] == pytest.approx(x, rel=1e-9, abs=1e-9)
