@@ -16,6 +16,7 @@ MODULES = {
     "op8_lines": "lines",
     "op9_urls": "urls",
     "op10_secrets": "secrets",
+    "op11_repair": "repair",
     "op12_warc": "warc",
 }
 
