@@ -18,6 +18,7 @@ MODULES = {
     "op10_secrets": "secrets",
     "op11_repair": "repair",
     "op12_warc": "warc",
+    "op13_trie": "trie",
 }
 
 
