@@ -157,7 +157,9 @@ def dedup(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BY
     shared = heads.where(whole | (F.col("type") == "revisit")).groupBy("digest").agg(F.max(F.when(whole, F.struct("k", "key")))["key"].alias("first"), F.max(whole).alias("_there"), F.count(F.lit(1)).alias("_n"))
     shared = cut(shared.where("_n > 1 AND _there"))
     again = heads.join(shared, "digest").where((F.col("type") == "revisit") | whole & ~F.col("key").eqNullSafe(F.col("first")))
-    again = cut(again.select(F.col("type").alias("_type"), F.coalesce("key", F.lit("")).alias("_key"), F.col("digest").alias("_digest"), fresh("first").alias("original")).distinct())
+    again = again.select(F.col("type").alias("_type"), F.coalesce("key", F.lit("")).alias("_key"), F.col("digest").alias("_digest"), fresh("first").alias("original")).distinct()
+    again.write.parquet(f"{target}-again")  # a table of files, unlike a checkpoint, has a size that Spark knows
+    again = spark.read.schema(again.schema).parquet(f"{target}-again")
     known = every.join(again, (F.col("type") == F.col("_type")) & (F.coalesce("key", F.lit("")) == F.col("_key")) & (F.col("digest") == F.col("_digest")), "left")
     records = known.select(
         F.when(F.col("original").isNotNull(), "revisit").otherwise(F.col("type")).alias("type"), "uri", "key", "payload", F.coalesce("payload_bytes", F.lit(0)).alias("payload_bytes"), "digest",
