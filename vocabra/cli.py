@@ -1,4 +1,4 @@
-"""Command lines: python -m vocabra.cli ingest | align | export | convert | seed | validate | counts."""
+"""Command lines: python -m vocabra.cli pipeline | ingest | align | export | convert | seed | validate | counts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import sys
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,32 +14,33 @@ from .operators import snapshot, store
 from .sources import converters, linkml
 
 
-def _ingest_one(db: store.Store, elements: DataFrame, label: str, args) -> None:
-    if args.wipe and not args.dry_run:
-        print(f"  removing the attestations of {label}")
-        store.wipe_source(db, label)
+def _insert(db: store.Store, elements: DataFrame, args) -> int:
+    """Insert all schemas of ``elements`` at once; 1 if a file was left out."""
+    labels = [r.source_label for r in elements.where("kind = 'meta'").select("source_label").distinct().orderBy("source_label").collect()]  # a row per schema
+    if args.wipe and not args.dry_run and labels:
+        print(f"  removing the attestations of {', '.join(labels)}")
+        store.wipe_sources(db, *labels)
     told = dict(agent=args.agent, issue=args.issue, registry_version=args.registry_version, dry_run=args.dry_run)
-    stats = store.insert_schema(db, elements, label, yml_path=getattr(args, "file", None) or "", **told)
-    new = ", ".join(f"{k} {v}" for k, v in stats.items())
-    print(f"  {label}{' (dry run)' if args.dry_run else ''}: {new}")
+    rows = [r.asDict() for r in store.insert_all(db, elements, **told).orderBy("label").collect()]
+    for r in rows:
+        if r["error"]:
+            print(f"  ERROR in {r['path'] or r['label']}: {r['error']}")
+        else:
+            print(f"  {r['label']}{' (dry run)' if args.dry_run else ''}: " + ", ".join(f"{k} {v}" for k, v in r.items() if k not in ("label", "error", "path") and v is not None))
+    return int(any(r["error"] for r in rows))
 
 
 def ingest(spark: SparkSession, args) -> int:
-    """Ingest one schema file, or all of a folder; one that can't be parsed is told and does not stop the others."""
+    """Ingest one schema file, or all of a folder; files that can't be parsed, or have a cycle of parents, are told and do not stop the others."""
     files = linkml.read_files(spark, args.file or f"{args.schemas.rstrip('/')}/*.yml")
-    db, elements = store.Store(spark, args.db), linkml.parse(linkml.with_imports(files)).persist()
-    for r in elements.where("kind = 'error'").select("name", "definition").orderBy("name").collect():  # a row per file
-        print(f"  ERROR parsing {r.name}: {r.definition}")
-    for r in elements.where("kind = 'meta'").select("source_label").distinct().orderBy("source_label").collect():  # a row per schema
-        _ingest_one(db, elements, r.source_label, args)
-    return 0
+    return _insert(store.Store(spark, args.db), linkml.parse(linkml.with_imports(files)).persist(), args)
 
 
 def seed(spark: SparkSession, args) -> int:
     """Ingest the schema.org vocabulary from its JSON-LD file."""
     elements = converters.schema_org(linkml.read_files(spark, args.file)).withColumns({c: F.lit(None) for c in ("multivalued", "required", "pattern")})
-    _ingest_one(store.Store(spark, args.db), elements, "schemaorg", args)
-    return 0
+    head = spark.createDataFrame([("meta", "schemaorg", "schemaorg", "1.0.0")], "kind string, source_label string, name string, value string")
+    return _insert(store.Store(spark, args.db), elements.unionByName(head, allowMissingColumns=True), args)
 
 
 def align(spark: SparkSession, args) -> int:
@@ -53,25 +55,67 @@ def export(spark: SparkSession, args) -> int:
     return 0
 
 
-def convert(spark: SparkSession, args) -> int:
-    """Convert sources given as name=files; 1 if any failed."""
+def _convert(spark: SparkSession, args) -> int:
     named = dict(x.split("=", 1) for x in args.source)
     known = {**converters.FORMATS_OF, "bbqs": None}
-    for name in set(named) - set(known):
+    for name in (set(named) | set(args.only)) - set(known):
         print(f"  WARNING: unknown source {name}")
+    files = {n: linkml.read_files(spark, *paths.split(",")) for n, paths in named.items() if n in known}
+    none = spark.createDataFrame([], "path string, content string")
+    seeds = [linkml.read_files(spark, *x.split(",")) if x else none for x in (args.aind_schemas, args.aind_elements)]
 
     def documents(name: str) -> DataFrame:
-        files = linkml.read_files(spark, *named[name].split(","))
         if name == "bbqs":
-            return converters.pass_through(files).select(F.lit("bbqs").alias("label"), "content")
-        return converters.convert(files, name)
-
-    failed = converters.run_all({n: partial(documents, n) for n in named if n in known}, args.out, tuple(args.only), tuple(args.skip))
+            return converters.pass_through(files[name]).select(F.lit("bbqs").alias("label"), "content")
+        if name == "aind":
+            return converters.aind(files[name], *seeds)
+        if name == "openminds" and args.modules:
+            return converters.convert(converters.openminds_selection(files[name], args.modules, args.per_module), name)
+        return converters.convert(files[name], name)
+
+    only = tuple(n for n in args.only if n in files)
+    if args.only and not only:
+        return 1
+    failed = converters.run_all({n: partial(documents, n) for n in files}, args.out, only, tuple(args.skip), files)
     for name, error in failed.items():
         print(f"  ERROR in {name}: {error}")
     return 1 if failed else 0
 
 
+def convert(spark: SparkSession, args) -> int:
+    """Convert sources given as name=files; 1 if any of them, or any file of them, failed."""
+    return _convert(spark, args)
+
+
+def pipeline(spark: SparkSession, args) -> int:
+    """Everything in one: seed, convert, ingest, align and publish; stops at the first step that fails."""
+    if args.fresh:
+        store.Store(spark, args.db).drop()
+        print(f"Deleted {args.db}")
+    told = argparse.Namespace(**vars(args), wipe=False, dry_run=False, registry_version="", schema="")
+    if args.seed_file and seed(spark, argparse.Namespace(**vars(told) | {"file": args.seed_file})):
+        return 1
+    if args.source and not args.skip_converters and _convert(spark, argparse.Namespace(**vars(told) | {"out": f"{args.out}/converted"})):
+        return 1
+    targets = args.schemas or [f"{args.folder.rstrip('/')}/*.yml"]
+    if args.source and not args.skip_converters:
+        targets.append(f"{args.out}/converted/*/*/part-*")
+    try:
+        files = linkml.read_files(spark, *targets)
+        files = files.where(~F.col("path").rlike(r"/meta_model\.ya?ml$")).persist()
+    except AnalysisException:
+        files = None
+    if files is None or files.isEmpty():
+        print("No schemas found to ingest.")
+        return 1
+    if _insert(store.Store(spark, args.db), linkml.parse(linkml.with_imports(files)).persist(), told):
+        return 1
+    align(spark, told)
+    export(spark, told)
+    print("Pipeline complete.")
+    return 0
+
+
 def validate(spark: SparkSession, args) -> int:
     """1 if a schema has the wrong shape or names what it does not define."""
     bad = linkml.undefined_references(linkml.read_files(spark, *args.files)).orderBy("source_label", "kind", "owner", "name").collect()
@@ -108,11 +152,28 @@ def parser() -> argparse.ArgumentParser:
     sub = command(export, "db", "issue", "agent", "schema")
     sub.add_argument("--bump", default="minor", choices=["major", "minor", "patch"])
     sub.add_argument("--out", default="data")
+
+    def sources(sub: argparse.ArgumentParser, many: str) -> None:
+        sub.add_argument("source", nargs=many, help="name=files, several files with commas between")
+        sub.add_argument("--only", action="append", default=[])
+        sub.add_argument("--skip", action="append", default=[])
+        sub.add_argument("--aind-schemas", default="", help="content-addressed AIND schemas, for want of models")
+        sub.add_argument("--aind-elements", default="")
+        sub.add_argument("--modules", type=int, default=0, help="of openMINDS take the last version, and so many modules of it")
+        sub.add_argument("--per-module", type=int, default=8)
+
     sub = command(convert)
-    sub.add_argument("source", nargs="+", help="name=files, several files with commas between")
     sub.add_argument("--out", default="schemas")
-    sub.add_argument("--only", action="append", default=[])
-    sub.add_argument("--skip", action="append", default=[])
+    sources(sub, "+")
+    sub = command(pipeline, "db", "issue", "agent")
+    sub.add_argument("--fresh", action="store_true", help="delete the catalogue first")
+    sub.add_argument("--skip-converters", action="store_true")
+    sub.add_argument("--seed-file", default="", help="the schema.org vocabulary")
+    sub.add_argument("--schemas", action="append", default=[], help="files to ingest, instead of those of the folder")
+    sub.add_argument("--folder", default="schemas")
+    sub.add_argument("--bump", default="minor", choices=["major", "minor", "patch"])
+    sub.add_argument("--out", default="data")
+    sources(sub, "*")
     command(validate).add_argument("files", nargs="+")
     command(counts, "db")
     return out

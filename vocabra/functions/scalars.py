@@ -98,9 +98,21 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
+def json_around(fields: dict[str, Column], hole: str) -> tuple[Column, Column]:
+    """The canonical ASCII JSON of ``fields`` and a field ``hole`` in two texts, before and behind the value of that field."""
+    first, rest = ({k: c for k, c in fields.items() if (k < hole) is side} for side in (True, False))
+    left = ascii_json(canonical_json(first)) if first else F.lit("{}")
+    before = F.concat(F.left(left, F.length(left) - 1), F.lit(f'{"," if first else ""}"{hole}":'))
+    return before, F.concat(F.lit(","), F.substr(ascii_json(canonical_json(rest)), F.lit(2))) if rest else F.lit("}")
+
+
+def digest(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+
+
 def content_hash(fields: dict[str, Column]) -> Column:
     """The identity of content: ``sha256:`` and the digest of its canonical ASCII JSON. Arrays must come sorted."""
-    return F.concat(F.lit("sha256:"), F.sha2(ascii_json(canonical_json(fields)).cast("binary"), 256))
+    return digest(ascii_json(canonical_json(fields)))
 
 
 def suffixed_name(name: Column, hash_id: Column) -> Column:

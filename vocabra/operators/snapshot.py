@@ -87,12 +87,16 @@ def read_document(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFram
 
 
 def read_changelog(spark: SparkSession, *paths: str) -> DataFrame:
-    """Entries of change logs: a list of entries, or an object with a list ``entries``."""
-    entry = spark.createDataFrame([], NODES["changelog"]).schema
-    text = spark.read.text(list(paths), wholetext=True)
+    """Entries of change logs, which are one JSON document each."""
+    return changelog_entries(spark.read.text(list(paths), wholetext=True))
+
+
+def changelog_entries(texts: DataFrame) -> DataFrame:
+    """Entries of change logs (``value``): a list of entries, or an object with a list ``entries``."""
+    entry = texts.sparkSession.createDataFrame([], NODES["changelog"]).schema
     listed = F.from_json("value", f"array<{entry.simpleString()}>")
     held = F.from_json("value", f"struct<entries:array<{entry.simpleString()}>>")["entries"]
-    return text.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("e")).select("e.*")
+    return texts.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("e")).select("e.*")
 
 
 def version_chain(changelog: DataFrame, *by: str, version: str = "registry_version", order: tuple[str, ...] = ("timestamp",)) -> DataFrame:

@@ -36,6 +36,11 @@ class Store:
         rows.write.parquet(f"{self.path}/{name}/v{version}")
         self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/{name}/pointer")
 
+    def drop(self) -> None:
+        """Delete all tables."""
+        fs, p = self._fs(self.path)
+        fs.delete(p, True)
+
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
@@ -122,16 +127,16 @@ def insert_schema(store: Store, elements: DataFrame, label: str, agent: str = "a
     """Write one source's elements: entities that are new, attestations, edges and a schema version. Returns the counts. A source that
     could not be parsed, or has classes in a cycle of parents, is an error and writes nothing."""
     own = elements.where(F.col("source_label") == label).persist()
+    meta = own.where("kind = 'meta'").orderBy("path" if "path" in own.columns else "name").first()
     bad = own.where("kind = 'error'").select("definition").first()
-    if bad is not None:
+    if bad is not None and meta is None:
         raise ValueError(f"{label}: {bad.definition}")
-    lost = entities.unrooted(own).first()
-    if lost is not None:
-        raise ValueError(f"{label}: class '{lost.name}' has itself among its parents, or below such a class")
-    meta = own.where("kind = 'meta'").first()
     version = (meta["value"] if meta else None) or "1.0.0"
     props = entities.properties(own).persist()
     classes = entities.classes(own, props).persist()
+    lost = entities.unrooted(own, classes).first()
+    if lost is not None:
+        raise ValueError(f"{label}: class '{lost.name}' has itself among its parents, or below such a class")
     values = entities.permissible_values(own)
     sets = entities.value_sets(own, values).persist()
     kinds = {"property": props, "class": classes}
@@ -179,19 +184,38 @@ def _sources(store: Store, meta: DataFrame, registry_version: str) -> DataFrame:
     return store.read("source").join(meta.select("label"), "label", "left_semi").select("label", "id")
 
 
-def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "") -> DataFrame:
+def _failed(store: Store, bad: DataFrame) -> DataFrame:
+    """label, path and error of files that are left out."""
+    return store.spark.createDataFrame([(r.source_label, r.path, r.error) for r in bad.collect()], "label string, path string, error string")  # a row per file
+
+
+def _dry(store: Store, meta: DataFrame, kinds: dict[str, DataFrame], bad: DataFrame) -> DataFrame:
+    """What insert_all() would count, for entities."""
+    out = meta.select("label", F.lit(0).cast("long").alias("provenance_added"))
+    for name, plural in (("class", "classes"), ("property", "properties")):
+        each = kinds[name].select(F.col("source_label").alias("label"), "hash_id").distinct()
+        known = each.join(store.read(name).select("hash_id", F.lit(1).alias("_old")), "hash_id", "left")
+        out = out.join(known.groupBy("label").agg(F.count_if(F.col("_old").isNull()).alias(f"{plural}_new"), F.count("_old").alias(f"{plural}_existing")), "label", "left")
+    return out.fillna(0).unionByName(_failed(store, bad), allowMissingColumns=True)
+
+
+def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "", dry_run: bool = False) -> DataFrame:
     """Write the elements of many sources at once, as insert_schema() would one after another in the order of their labels, and
-    return a row of counts for each label. Sources that could not be parsed, or have classes in a cycle of parents, are
-    left out, with ``error``."""
-    own = elements.persist()
-    cycle = entities.unrooted(own).select("source_label", F.concat(F.lit("parents of "), "name").alias("error"))
-    bad = own.where("kind = 'error'").select("source_label", F.col("definition").alias("error")).unionByName(cycle).groupBy("source_label").agg(F.min("error").alias("error")).persist()
-    good = own.join(bad, "source_label", "left_anti")
-    version = F.coalesce(F.nullif(F.min("value"), F.lit("")), F.lit("1.0.0")).alias("source_version")
+    return a row of counts for each label. Files that could not be parsed, or have classes in a cycle of parents, are left out, each with
+    ``path`` and ``error``; other files of the same label are not."""
+    own = entities.keyed(elements).persist()
+    every = entities.classes(own, entities.properties(own)).persist()
+    cycle = entities.unrooted(own, every).select(*entities.FILE, F.concat(F.lit("parents of "), "name").alias("error"))
+    unread = own.where("kind = 'error'").select(*entities.FILE, F.col("definition").alias("error"))
+    bad = unread.unionByName(cycle).groupBy(*entities.FILE).agg(F.min("error").alias("error")).persist()
+    good = own.join(bad, entities.FILE, "left_anti")
+    version = F.coalesce(F.nullif(F.min_by("value", "path"), F.lit("")), F.lit("1.0.0")).alias("source_version")
     meta = good.where("kind = 'meta'").groupBy(F.col("source_label").alias("label")).agg(version).persist()
-    ids = _sources(store, meta, registry_version)
     props = entities.properties(good).persist()
-    classes = entities.classes(good, props).persist()
+    classes = every.join(bad, entities.FILE, "left_anti").persist()
+    if dry_run:
+        return _dry(store, meta, {"class": classes, "property": props}, bad)
+    ids = _sources(store, meta, registry_version)
     values = entities.permissible_values(good)
     sets = entities.value_sets(good, values)
     kinds = {"property": props, "class": classes, "value_set": sets, "permissible_value": values}
@@ -232,7 +256,7 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
     after = F.when(F.col("previous").isNull(), F.col("source_version")).when(same, F.col("previous")).otherwise(bumped)
     found = found.withColumns({
         "properties_existing": F.col("property_count") - F.col("properties_new"), "classes_existing": F.col("class_count") - F.col("classes_new"),
-        "schema_version": after, "schema_unchanged": same, "error": F.lit(None).cast("string"),
+        "schema_version": after, "schema_unchanged": same, "error": F.lit(None).cast("string"), "path": F.lit(None).cast("string"),
     })
     for name, rows in new:
         store.append(name, rows)
@@ -240,11 +264,10 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
     store.append("schema_version", found.where(~F.col("schema_unchanged")).select(
         F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit("").alias("yml_path"), "class_count", "property_count",
         S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version")))
-    failed = bad.collect()  # a row per file
-    for frame in (own, bad, meta, props, classes):
+    failed = _failed(store, bad)
+    for frame in (own, every, bad, meta, props, classes):
         frame.unpersist()
-    lost = store.spark.createDataFrame([(r.source_label, r.error) for r in failed], "label string, error string")
-    return found.drop("previous", "source_version").unionByName(lost, allowMissingColumns=True)
+    return found.drop("previous", "source_version").unionByName(failed, allowMissingColumns=True)
 
 
 def latest_versions(store: Store) -> DataFrame:
@@ -260,14 +283,21 @@ def latest_version(store: Store, label: str) -> str | None:
 
 def without_source(provenance: DataFrame, sources: DataFrame, label: str, kinds: tuple[str, ...] = ("class", "property")) -> DataFrame:
     """Attestations but those of these kinds by a source."""
-    ids = sources.where(F.col("label") == label).select(F.col("id").alias("had_primary_source"))
-    gone = provenance.where(F.col("label").isin(*kinds)).join(ids, "had_primary_source", "left_semi")
-    return provenance.join(gone.select("id"), "id", "left_anti")
+    ids = sources.where(F.col("label") == label).select(F.col("id").alias("had_primary_source"), F.lit(True).alias("_own"))
+    marked = provenance.join(ids.distinct(), "had_primary_source", "left")
+    return marked.where(F.col("_own").isNull() | ~F.coalesce(F.col("label").isin(*kinds), F.lit(False))).select(provenance.columns)
+
+
+def wipe_sources(store: Store, *labels: str) -> None:
+    """Drop the attestations that these sources have of classes and properties, in one rewrite; entities, and attestations of value sets, stay."""
+    left = store.read("provenance")
+    for label in labels:
+        left = without_source(left, store.read("source"), label)
+    store.rewrite("provenance", left)
 
 
 def wipe_source(store: Store, label: str) -> None:
-    """Drop a source's attestations of classes and properties; entities, and attestations of value sets, stay."""
-    store.rewrite("provenance", without_source(store.read("provenance"), store.read("source"), label))
+    wipe_sources(store, label)
 
 
 def write_alignments(store: Store, registry_version: str = "", dry_run: bool = False) -> int:

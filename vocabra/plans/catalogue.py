@@ -7,11 +7,14 @@ and regions with their nations are schema files. Each query calls the library on
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import align, entities, snapshot, store, tools
+from ..session import shared_folder
 from ..sources import converters, linkml
 
 
@@ -123,14 +126,20 @@ def lookup(spark, sf):
     return tools.get_class(_parts(spark, sf), "e").select("p_partkey", "name")
 
 
+def _aligned(rows: DataFrame, steps: tuple[int, ...], distance) -> DataFrame:
+    """hash_id and alignments of rows (key): those with the rows whose keys are so many steps on."""
+    on = rows.select("key", F.explode(F.array(*(F.lit(k) for k in steps))).alias("step")).withColumn("to", F.col("key") + F.col("step"))
+    there = on.join(rows.select(F.col("key").alias("to")), "to").withColumn("distance", distance)
+    edge = F.struct(_text("to").alias("target_hash_id"), _text("to").alias("target_name"), "distance", F.lit("iri").alias("method"))
+    return there.groupBy(_text("key").alias("hash_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", edge.alias("a")))), lambda x: x["a"]).alias("alignments"))
+
+
 def alignments_of_class(spark, sf):
-    """The neighbours of the first supplier whose name holds a 7, by distance."""
-    edges = _edges(spark, sf)
-    both = edges.select("a", "b", "distance").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    edge = F.struct(F.col("b").alias("target_hash_id"), F.col("b").alias("target_name"), "distance", F.lit("iri").alias("method"))
-    held = both.groupBy(F.col("a").alias("hash_id")).agg(F.array_sort(F.collect_list(edge)).alias("alignments"))
-    rows = _classes(spark, sf).select("hash_id", "name", F.array(_text("s_nationkey")).alias("sources"), F.lit("").alias("definition"))
-    return tools.get_alignments(rows.join(held, "hash_id", "left"), "7", 0.3).select("name", F.array_join("sources", ",").alias("sources"), F.round("distance", 3).alias("distance"))
+    """The neighbours of the first part whose key holds a 7, nearest first."""
+    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_brand", "p_type")
+    held = _aligned(p, (-5, -3, -1, 1, 2, 4), F.pmod(F.col("key") * 31 + F.col("to") * 17, F.lit(1001)) / 1000)
+    rows = p.select(_text("key").alias("hash_id"), _text("key").alias("name"), F.array("p_brand").alias("sources"), F.col("p_type").alias("definition")).join(held, "hash_id", "left")
+    return tools.get_alignments(rows, "7", 0.8).select("name", F.array_join("sources", ",").alias("sources"), F.round("distance", 3).alias("distance"), "definition")
 
 
 def latest_snapshot(spark, sf):
@@ -147,20 +156,27 @@ def version_chain(spark, sf):
 
 
 def _customers(spark, sf) -> DataFrame:
-    """Customers as classes; their sources are the states of their orders, and each is aligned with itself."""
-    one = _read(spark, sf, "orders").groupBy(_text("o_custkey").alias("hash_id")).agg(F.collect_set("o_orderstatus").alias("sources"))
-    self = F.array(F.struct(F.col("hash_id").alias("target_hash_id"), F.col("hash_id").alias("target_name"), F.lit(0.0).alias("distance")))
-    return one.select("hash_id", F.col("hash_id").alias("name"), "sources", self.alias("alignments"))
+    """Customers as classes; their sources are the states and priorities of their orders. Each is aligned with itself and with two whose keys come after, at
+    distances that often tie."""
+    one = _read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set(F.concat_ws(" ", "o_orderstatus", "o_orderpriority")).alias("sources"))
+    held = _aligned(one.select("key"), (0, 1, 3), F.pmod(F.col("key") * 7 + F.col("to") * 3, F.lit(11)) / 10)
+    return one.select(_text("key").alias("hash_id"), _text("key").alias("name"), "sources").join(held, "hash_id", "left")
+
+
+_DIFF = """own AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS a, bool_or(o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') AS b FROM orders GROUP BY 1),
+     best AS (SELECT x.k, y.k AS t, (x.k * 7 + y.k * 3) % 11 / 10.0::DOUBLE AS distance FROM own AS x, (VALUES (0), (1), (3)) AS s(step), own AS y
+              WHERE x.a AND y.b AND y.k = x.k + step QUALIFY row_number() OVER (PARTITION BY x.k ORDER BY 7 * x.k % 11, (x.k * 7 + y.k * 3) % 11, step) = 1)"""
 
 
 def diff_only_a(spark, sf):
-    found = tools.diff_schemas(_customers(spark, sf), "O", "F").where("side = 'only_a'")
+    found = tools.diff_schemas(_customers(spark, sf), "O 1-URGENT", "F 2-HIGH").where("side = 'only_a'")
     return found.select(F.col("a_name").cast("long").alias("o_custkey"))
 
 
 def full_diff(spark, sf):
-    found = tools.diff_schemas(_customers(spark, sf), "O", "F")
-    return found.select(F.coalesce("a_name", "b_name").cast("long").alias("o_custkey"), "side")
+    """Each class of one side with its nearest of the other, and what is left on both sides."""
+    found = tools.diff_schemas(_customers(spark, sf), "O 1-URGENT", "F 2-HIGH")
+    return found.select("side", F.col("a_name").cast("long").alias("a"), F.col("b_name").cast("long").alias("b"), F.round("distance", 3).alias("distance"))
 
 
 def json_transform(spark, sf):
@@ -327,8 +343,9 @@ def flatten_unit(spark, sf):
     return entities.flattened(_read(spark, sf, "part").select("p_partkey", unit.alias("unit")), "unit")
 
 
-def _schema_files(spark, sf) -> DataFrame:
-    """A schema file for each region: its nations are classes with a slot for their key, below one abstract class."""
+def _schema_files(spark, sf, imported: bool = False) -> DataFrame:
+    """A schema file for each region: its nations are classes with a slot for their key, below one abstract class, which is in each file or
+    in one that all import through another."""
     n, r = _read(spark, sf, "nation"), _read(spark, sf, "region")
     rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.lower("n_name").alias("n"), "n_name", "n_nationkey")
     key = F.concat(F.lit("key_"), "n_nationkey")
@@ -337,12 +354,17 @@ def _schema_files(spark, sf) -> DataFrame:
     entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
     one = rows.groupBy("r_name").agg(entries(F.col("n_name"), own).alias("classes"), entries(key, slot).alias("slots"))
     place = F.create_map(F.lit("Place"), F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("class_uri", "string"), ("is_a", "string"), ("slots", "array<string>"))), F.lit("A place").alias("description")))
-    doc = F.struct(F.lit("i").alias("id"), F.col("r_name").alias("name"), S.lookup({"own": "https://own.example/"}).alias("prefixes"), F.map_concat(place, "classes").alias("classes"), "slots")
-    return one.select(F.concat(F.lit("/in/"), "r_name", F.lit(".yml")).alias("path"), F.to_json(doc).alias("content"))
+    head = [F.lit("i").alias("id"), F.col("r_name").alias("name"), S.lookup({"own": "https://own.example/"}).alias("prefixes")]
+    doc = F.struct(*head, *([F.array(F.lit("middle")).alias("imports"), "classes"] if imported else [F.map_concat(place, "classes").alias("classes")]), "slots")
+    files = one.select(F.concat(F.lit("/in/"), "r_name", F.lit(".yml")).alias("path"), F.to_json(doc).alias("content"))
+    if not imported:
+        return files
+    base = '{"id": "b", "name": "base", "classes": {"Place": {"description": "A place"}}}'
+    return files.unionByName(spark.createDataFrame([("/in/base.yml", base), ("/in/middle.yml", '{"id": "m", "name": "middle", "imports": ["base"]}')], "path string, content string"))
 
 
 def schema_classes(spark, sf):
-    found = linkml.parse(linkml.with_imports(_schema_files(spark, sf))).where("kind = 'class'")
+    found = linkml.parse(linkml.with_imports(_schema_files(spark, sf, imported=True))).where("kind = 'class'")
     return found.select("source_label", "name", "iri", F.col("value").alias("parent"), "definition")
 
 
@@ -355,16 +377,141 @@ def schema_hashes(spark, sf):
     """Identities of the classes of all schema files, and of how many files each is."""
     elements = linkml.parse(_schema_files(spark, sf))
     found = entities.distinct_entities(entities.classes(elements, entities.properties(elements)))
-    return found.select("name", F.col("attestations").alias("n_sources"), F.col("parent_class").isNotNull().alias("has_parent"), F.size("properties").cast("long").alias("n_properties"))
+    return found.select("name", "hash_id", "parent_class", F.col("attestations").alias("n_sources"), F.size("properties").cast("long").alias("n_properties"))
+
+
+def chained_hashes(spark, sf):
+    """Hashes over a tree of parts: each holds that of its parent, the part with half its key."""
+    parent = F.when(F.col("p_partkey") > 1, F.expr("CAST(p_partkey div 2 AS STRING)"))
+    before, after = S.json_around({"description": F.col("p_type"), "name": F.col("p_name")}, "parent_class")
+    nodes = _read(spark, sf, "part").where("p_partkey > 0").select(F.lit("parts").alias("scope"), _text("p_partkey").alias("node"), parent.alias("parent"), before.alias("before"), after.alias("after"))
+    return entities.chained_hashes(nodes).select(F.col("node").cast("long").alias("p_partkey"), "hash_id", "parent_hash")
 
 
 def dangling_references(spark, sf):
-    """Slots that are used and not defined, in files whose definitions of even keys are gone."""
+    """Slots, parents and mixins that are used and not defined, in files whose definitions of even keys are gone, and in which every fifth class
+    has a parent and a mixin that are not there."""
     files = _schema_files(spark, sf)
-    broken = files.withColumn("content", F.regexp_replace("content", r'"key_[0-9]*[02468]":', '"gone":'))
+    lost = F.regexp_replace("content", r'"is_a":"Place","slots":\["key_([0-9]*[05])"', r'"is_a":"Lost","mixins":["Odd"],"slots":["key_$1"')
+    broken = files.withColumn("content", F.regexp_replace(lost, r'"key_[0-9]*[02468]":', '"gone":'))
     return linkml.undefined_references(broken).select("source_label", "kind", "owner", "name")
 
 
+def _part_files(spark, sf, folder: str, by, name, body, shape) -> DataFrame:
+    """Files of parts, one for each value of ``by``: ``shape`` makes a document of the map from ``name`` to ``body``."""
+    entry = F.struct(name.alias("k"), body.alias("v"))
+    rows = _read(spark, sf, "part").groupBy(by.alias("by")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("members"))
+    return rows.select(F.concat(F.lit(f"/{folder}/"), "by", F.lit(".json")).alias("path"), F.to_json(shape).alias("content"))
+
+
+_PART = F.concat(F.lit("part"), "p_partkey")
+_KIND = F.element_at(F.array(*(F.lit(x) for x in ("integer", "number", "string", "boolean", "array"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+_BRAND = F.replace("p_brand", F.lit("#"), F.lit("_"))
+_SLOT = ["label", "class", F.col("s.name").alias("slot"), *(F.col(f"s.body.{c}").alias(c) for c in ("range", "description", "slot_uri", "multivalued", "required"))]
+
+
+def _slots(files: DataFrame, kind: str) -> DataFrame:
+    return converters.class_rows(files, kind).select("label", "class", F.explode("slots").alias("s")).select(*_SLOT)
+
+
+def bids_slots(spark, sf):
+    """Parts as terms of three BIDS groups."""
+    group = F.element_at(F.array(*(F.lit(x) for x in ("metadata", "columns", "entities"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    either = F.array(F.struct(F.lit("null").alias("type")), F.struct(_KIND.alias("type")))
+    body = F.struct(F.when(F.col("p_partkey") % 2 == 0, _KIND).alias("type"), F.when(F.col("p_partkey") % 2 == 1, either).alias("anyOf"), F.concat(F.lit(" "), "p_type").alias("description"))
+    return _slots(_part_files(spark, sf, "bids", group, _PART, body, F.col("members")), "bids")
+
+
+def nwb_slots(spark, sf):
+    """Parts of each brand as attributes of an NWB type, with a dtype and a quantity."""
+    dtype = F.element_at(F.array(*(F.lit(x) for x in ("text", "float32", "int8", "bool", "isodatetime"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    times = F.element_at(F.array(F.lit("*"), F.lit("+"), F.lit("?"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    body = F.struct(_PART.alias("name"), dtype.alias("dtype"), times.alias("quantity"), F.col("p_type").alias("doc"))
+    kind = F.struct(F.col("by").alias("neurodata_type_def"), F.lit("A brand").alias("doc"), F.map_values("members").alias("attributes"))
+    return _slots(_part_files(spark, sf, "nwb", _BRAND, _PART, body, F.struct(F.array(kind).alias("groups"))), "nwb")
+
+
+def _needing(extra: list) -> F.Column:
+    """An object whose members of even numbers are required."""
+    needed = F.filter(F.map_keys("members"), lambda k: k.rlike("[02468]$"))
+    return F.struct(*extra, F.lit("object").alias("type"), F.lit("A brand").alias("description"), F.col("members").alias("properties"), needed.alias("required"))
+
+
+def dandi_slots(spark, sf):
+    """Parts of each brand as properties of a DANDI model."""
+    body = F.struct(F.array(F.lit("null"), _KIND).alias("type"), F.col("p_type").alias("title"))
+    return _slots(_part_files(spark, sf, "dandi", _BRAND, _PART, body, _needing([])), "dandi")
+
+
+def openminds_slots(spark, sf):
+    """Parts of each brand as properties of an openMINDS schema; the names of half of them are IRIs."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://o.example/vocab/"), _PART)).otherwise(_PART)
+    body = F.struct(_KIND.alias("type"), F.col("p_type").alias("description"))
+    return _slots(_part_files(spark, sf, "openminds", _BRAND, name, body, _needing([])), "openminds")
+
+
+def aind_slots(spark, sf):
+    """Parts of each brand as properties of an AIND model, with formats and units."""
+    kind = F.when(F.col("p_partkey") % 5 == 2, "date-time")
+    body = F.struct(_KIND.alias("type"), kind.alias("format"), F.struct(F.lit("integer").alias("type")).alias("items"), F.concat("p_type", F.lit(" (unit: mm)")).alias("description"))
+    return _slots(_part_files(spark, sf, "aind", _BRAND, _PART, body, _needing([])), "aind")
+
+
+def schema_org_slots(spark, sf):
+    """Parts as properties of the seeded types, two for each, and every tenth one said twice: of two the first counts."""
+    p, roots = _read(spark, sf, "part"), converters.SEED_ROOTS
+    root = lambda k: F.element_at(F.array(*(F.lit(f"schema:{r}") for r in roots)), (k % len(roots) + 1).cast("int"))
+    types = spark.createDataFrame([(k, r) for k, r in enumerate(roots)], "k long, root string")
+    of = lambda c: F.struct(c.alias("@id"))
+    classes = types.select((F.col("k") - 1000).alias("n"), F.to_json(F.struct(F.concat(F.lit("schema:"), "root").alias("@id"), F.lit("rdfs:Class").alias("@type"), F.concat(F.lit("About "), "root").alias("rdfs:comment"))).alias("node"))
+    said = p.select("p_partkey", "p_type", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("time"))
+    body = F.struct(
+        F.concat(F.lit("schema:"), _PART).alias("@id"), F.lit("rdf:Property").alias("@type"), F.concat_ws(" ", "p_type", _text("time")).alias("rdfs:comment"),
+        F.array(of(root(F.col("p_partkey"))), of(root(F.col("p_partkey") + 7))).alias("schema:domainIncludes"), of(F.lit("schema:Text")).alias("schema:rangeIncludes"))
+    nodes = classes.unionByName(said.select((F.col("p_partkey") * 2 + F.col("time")).alias("n"), F.to_json(body).alias("node")))
+    graph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]), ",")
+    files = nodes.agg(F.concat(F.lit('{"@graph": ['), graph, F.lit("]}")).alias("content")).withColumn("path", F.lit("/in/schemaorg.jsonld"))
+    rows = converters.schema_org(files)
+    slots = rows.where("kind = 'slot'").select("name", "definition", "value")
+    return rows.where("kind = 'class_slot'").select("owner", "name").join(slots, "name").select("owner", "name", "definition", F.col("value").alias("range"))
+
+
+def _catalogue(spark, sf) -> store.Frames:
+    """Suppliers as classes with the parts that they supply, attested by their nations."""
+    s, n = _read(spark, sf, "supplier"), _read(spark, sf, "nation")
+    classes = s.select(_text("s_suppkey").alias("hash_id"), F.col("s_name").alias("name"), F.concat(F.lit("s:"), "s_suppkey").alias("concept_uri"))
+    props = _read(spark, sf, "part").select(_text("p_partkey").alias("hash_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("property_range"))
+    held = _attested(s, F.col("s_suppkey"), F.col("s_nationkey"))["provenance"]
+    sources = n.select(_text("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("2.0").alias("source_version"))
+    return store.Frames(spark, **{"class": classes, "property": props, "has_property": _supplies(spark, sf), "provenance": held, "source": sources})
+
+
+def published_classes(spark, sf):
+    """Classes of a published document, read again."""
+    at = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    snapshot.write_document(_catalogue(spark, sf), at, "1.0.0")
+    found, _ = snapshot.read_document(spark, at)
+    return found.select("name", "iri", F.array_join("sources", ",").alias("sources"), F.size("properties").cast("long").alias("n_properties"), F.element_at("properties", -1)["name"].alias("last_property"), F.col("pos").cast("long").alias("pos"))
+
+
+def list_sources(spark, sf):
+    """The sources of a published document, read again."""
+    at = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    snapshot.write_document(_catalogue(spark, sf), at, "1.0.0")
+    _, found = snapshot.read_document(spark, at)
+    return tools.list_sources(found)
+
+
+def changelog(spark, sf):
+    """A change log per user, written as JSON documents and read again, half of them bare lists."""
+    e = _read(spark, sf, "events")
+    entry = F.struct(_text("event_id").alias("registry_version"), F.col("event_type").alias("bump"), _text("user_id").alias("agent"), F.struct(F.col("event_id").alias("classes_total"), F.lit(1).cast("long").alias("sources_total")).alias("stats"))
+    logs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    body = F.when(F.col("user_id") % 2 == 0, F.to_json("entries")).otherwise(F.to_json(F.struct("entries")))
+    return snapshot.changelog_entries(logs.select(body.alias("value"))).select(
+        F.col("registry_version").cast("long").alias("event_id"), "bump", F.col("agent").cast("long").alias("user_id"), F.col("stats.classes_total").alias("classes_total"))
+
+
 def converted_slots(spark, sf):
     """Parts of each brand as a JSON Schema, converted: its slots with their ranges."""
     kind = F.element_at(F.array(*(F.lit(x) for x in ("integer", "number", "string", "boolean"))), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -381,7 +528,8 @@ QUERIES = {f.__name__: f for f in (
     search, search_in_source, lookup, alignments_of_class, latest_snapshot, version_chain, diff_only_a, full_diff, json_transform, bulk_transform, units_regex,
     curie, value_ranges, url_host, bump, next_version, source_counts, label_counts, unique_edges, property_edges, used_properties, parent_join, provenance_join,
     attest_new, upsert, wipe, insert_stats, closure, flat_export, first_wins, last_wins, member_hashes, names, flatten_unit, schema_classes, schema_properties,
-    schema_hashes, dangling_references, converted_slots,
+    schema_hashes, dangling_references, converted_slots, chained_hashes, bids_slots, nwb_slots, dandi_slots, openminds_slots, aind_slots, schema_org_slots,
+    published_classes, list_sources, changelog,
 )}
 
 ORACLE = {
@@ -399,8 +547,8 @@ ORACLE = {
     "lookup": "SELECT p_partkey, p_name AS name FROM part WHERE contains(lower(p_name), 'e') ORDER BY p_partkey LIMIT 1",
     "latest_snapshot": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "version_chain": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_id FROM events",
-    "diff_only_a": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
-    "full_diff": "SELECT o_custkey, CASE WHEN NOT bool_or(o_orderstatus = 'F') THEN 'only_a' WHEN NOT bool_or(o_orderstatus = 'O') THEN 'only_b' ELSE 'shared' END AS side FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey",
+    "diff_only_a": f"WITH {_DIFF} SELECT k AS o_custkey FROM own WHERE a AND k NOT IN (SELECT k FROM best)",
+    "full_diff": f"WITH {_DIFF} SELECT 'shared' AS side, k AS a, t AS b, round(distance, 3) AS distance FROM best UNION ALL SELECT 'only_a', k, NULL, NULL FROM own WHERE a AND k NOT IN (SELECT k FROM best) UNION ALL SELECT 'only_b', NULL, k, NULL FROM own WHERE b AND k NOT IN (SELECT t FROM best)",
     "json_transform": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "bulk_transform": "SELECT event_id, json_extract_string(props, '$.k') AS key_value, coalesce((SELECT string_agg(x, ',') FROM (SELECT unnest(json_keys(props)) AS x) WHERE lower(x) NOT IN ('k', 'other')), '') AS unmapped, CASE WHEN len(list_filter(json_keys(props), lambda x: lower(x) NOT IN ('k', 'other'))) > 0 THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM events",
     "units_regex": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE trim(regexp_extract('A value (Units: ' || p_brand || ' ) of ' || p_name, '\\(units?:\\s*([^)]+)\\)', 1, 'i')) END AS units FROM part",
@@ -427,12 +575,40 @@ ORACLE = {
     "names": "SELECT p_partkey, trim(regexp_replace('_' || p_name || '#', '[^a-zA-Z0-9_]', '_', 'g'), '_') AS clean, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '-' || p_brand, '[^a-zA-Z0-9]+'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '') AS camel FROM part",
     "flatten_unit": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand END AS ucum_code, CASE WHEN p_size % 2 = 0 THEN p_type END AS symbol FROM part",
     "concept_groups": "SELECT s_name AS hash_id, 'n:' || s_nationkey AS concept_uri, min(s_name) OVER (PARTITION BY s_nationkey) AS representative, count(*) OVER (PARTITION BY s_nationkey) - 1 AS links FROM supplier",
-    "alignments_of_class": f"WITH {_EDGES}, one AS (SELECT s_name FROM supplier WHERE contains(s_name, '7') ORDER BY s_name LIMIT 1), both_ways AS (SELECT a, b, distance FROM edges UNION ALL SELECT b, a, distance FROM edges) SELECT b AS name, s_nationkey::VARCHAR AS sources, round(distance, 3) AS distance FROM both_ways JOIN one ON one.s_name = a JOIN supplier ON supplier.s_name = b WHERE distance <= 0.3",
+    "alignments_of_class": """WITH one AS (SELECT p_partkey AS k FROM part WHERE contains(p_partkey::VARCHAR, '7') ORDER BY p_partkey::VARCHAR LIMIT 1)
+        SELECT p_partkey::VARCHAR AS name, p_brand AS sources, round((k * 31 + p_partkey * 17) % 1001 / 1000.0::DOUBLE, 3) AS distance, p_type AS definition
+        FROM one JOIN part ON p_partkey - k IN (-5, -3, -1, 1, 2, 4) WHERE (k * 31 + p_partkey * 17) % 1001 <= 800""",
     "next_version": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '1.0.0' ELSE (event_id % 7 + 1) || '.' || (event_id % 3 + 1) || '.0' END AS version, CASE WHEN event_id % 2 = 0 THEN event_type || ' (issue #' || user_id || ')' ELSE event_type END AS agent FROM events",
-    "schema_classes": "SELECT r_name AS source_label, n_name AS name, 'https://own.example/' || lower(n_name) AS iri, 'Place' AS parent, 'About ' || n_name AS definition FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT r_name, 'Place', '', NULL, 'A place' FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "schema_classes": """SELECT r_name AS source_label, n_name AS name, 'https://own.example/' || lower(n_name) AS iri, 'Place' AS parent, 'About ' || n_name AS definition FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT DISTINCT r_name, 'Place', '', NULL, 'A place' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL VALUES ('base', 'Place', '', NULL, 'A place'), ('middle', 'Place', '', NULL, 'A place')""",
     "schema_properties": """SELECT r_name AS source_label, 'key_' || n_nationkey AS name, 'https://schema.org/key_' || n_nationkey AS concept_uri, 'xsd:integer' AS property_range, 's' AS ucum_code,
         'sha256:' || sha256('{"description":"Key ' || n_nationkey || ' (units: s)","name":"key_' || n_nationkey || '","property_range":"xsd:integer","unit":{"ucum_code":"s"}}') AS hash_id FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "schema_hashes": "SELECT n_name AS name, 1::BIGINT AS n_sources, true AS has_parent, 1::BIGINT AS n_properties FROM nation UNION ALL SELECT 'Place', count(DISTINCT n_regionkey), false, 0::BIGINT FROM nation",
-    "dangling_references": "SELECT r_name AS source_label, 'slot' AS kind, n_name AS owner, 'key_' || n_nationkey AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0",
+    "schema_hashes": """WITH place AS (SELECT 'sha256:' || sha256('{"class_mixins":[],"description":"A place","is_abstract":false,"name":"Place","parent_class":null,"properties":[]}') AS h),
+        p AS (SELECT n_name, 'sha256:' || sha256('{"description":"Key ' || n_nationkey || ' (units: s)","name":"key_' || n_nationkey || '","property_range":"xsd:integer","unit":{"ucum_code":"s"}}') AS p FROM nation)
+        SELECT n_name AS name, 'sha256:' || sha256('{"class_mixins":[],"description":"About ' || n_name || '","is_abstract":false,"name":"' || n_name || '","parent_class":"' || h || '","properties":["' || p || '"]}') AS hash_id,
+               h AS parent_class, 1::BIGINT AS n_sources, 1::BIGINT AS n_properties FROM p, place
+        UNION ALL SELECT 'Place', h, NULL, count(DISTINCT n_regionkey), 0::BIGINT FROM nation, place GROUP BY h""",
+    "dangling_references": """SELECT r_name AS source_label, kind, n_name AS owner, CASE kind WHEN 'slot' THEN 'key_' || n_nationkey ELSE lost END AS name
+        FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('slot', ''), ('class', 'Lost'), ('class', 'Odd')) AS k(kind, lost) WHERE n_nationkey % CASE kind WHEN 'slot' THEN 2 ELSE 5 END = 0""",
     "converted_slots": "SELECT replace(p_brand, '#', '_') AS label, p_brand AS class, 'part' || p_partkey AS slot, ['integer', 'float', 'string', 'boolean'][(p_partkey % 4 + 1)::INT] AS range, p_type AS description FROM part",
+    "chained_hashes": """WITH RECURSIVE h (k, hash_id, parent_hash) AS (
+        SELECT p_partkey, 'sha256:' || sha256(json_object('description', p_type, 'name', p_name, 'parent_class', NULL)::VARCHAR), NULL::VARCHAR FROM part WHERE p_partkey = 1
+        UNION ALL SELECT p_partkey, 'sha256:' || sha256(json_object('description', p_type, 'name', p_name, 'parent_class', hash_id)::VARCHAR), hash_id FROM h JOIN part ON p_partkey // 2 = k WHERE p_partkey > 1)
+        SELECT k AS p_partkey, hash_id, parent_hash FROM h""",
+    "bids_slots": """SELECT 'bids' AS label, ['BIDSMetadata', 'BIDSColumn', 'BIDSEntity'][(p_partkey % 3 + 1)::INT] AS class, ['metadata', 'columns', 'entities'][(p_partkey % 3 + 1)::INT] || '__part' || p_partkey AS slot,
+        ['integer', 'float', 'string', 'boolean', 'string'][(p_partkey % 5 + 1)::INT] AS range, p_type AS description, 'https://bids-specification.readthedocs.io/en/stable/glossary.html#part' || p_partkey AS slot_uri, p_partkey % 5 = 4 AS multivalued, NULL::BOOLEAN AS required FROM part""",
+    "nwb_slots": """SELECT 'nwb' AS label, replace(p_brand, '#', '_') AS class, replace(p_brand, '#', '_') || '__part' || p_partkey AS slot, ['string', 'float', 'integer', 'boolean', 'dateTime'][(p_partkey % 5 + 1)::INT] AS range,
+        p_type AS description, 'https://nwb-schema.readthedocs.io/en/latest/#part' || p_partkey AS slot_uri, p_partkey % 4 < 2 AS multivalued, p_partkey % 4 = 3 AS required FROM part""",
+    "dandi_slots": """SELECT 'dandi' AS label, upper(b[1]) || lower(b[2:]) AS class, upper(b[1]) || lower(b[2:]) || '__part' || p_partkey AS slot, ['integer', 'float', 'string', 'boolean', 'string'][(p_partkey % 5 + 1)::INT] AS range,
+        p_type AS description, 'https://schema.dandiarchive.org/#part' || p_partkey AS slot_uri, p_partkey % 5 = 4 AS multivalued, p_partkey % 2 = 0 AS required FROM (SELECT *, replace(p_brand, '#', '_') AS b FROM part)""",
+    "openminds_slots": """SELECT 'openminds' AS label, replace(p_brand, '#', '_') AS class, replace(p_brand, '#', '_') || '__part' || p_partkey AS slot, ['integer', 'float', 'string', 'boolean', 'string'][(p_partkey % 5 + 1)::INT] AS range, p_type AS description,
+        CASE WHEN p_partkey % 2 = 0 THEN 'https://o.example/vocab/part' ELSE 'https://openminds.ebrains.eu/vocab/part' END || p_partkey AS slot_uri, p_partkey % 5 = 4 AS multivalued, p_partkey % 2 = 0 AS required FROM part""",
+    "aind_slots": """SELECT 'aind' AS label, replace(p_brand, '#', '_') AS class, replace(p_brand, '#', '_') || '__part' || p_partkey AS slot, ['integer', 'float', 'datetime', 'boolean', 'integer'][(p_partkey % 5 + 1)::INT] AS range,
+        p_type || ' (unit: mm) (units: mm)' AS description, 'https://aind-data-schema.readthedocs.io/en/stable/#part' || p_partkey AS slot_uri, p_partkey % 5 = 4 AS multivalued, p_partkey % 2 = 0 AS required FROM part""",
+    "schema_org_slots": f"""SELECT {converters.SEED_ROOTS}[((p_partkey + step) % {len(converters.SEED_ROOTS)} + 1)::INT] AS owner, 'part' || p_partkey AS name, p_type || ' 0' AS definition, 'https://schema.org/Text' AS range FROM part, (VALUES (0), (7)) AS s(step)""",
+    "published_classes": """WITH h AS (SELECT l_suppkey AS s, count(DISTINCT l_partkey) AS n_properties, max(p_name) AS last_property FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+        SELECT s_name AS name, 's:' || s_suppkey AS iri, n_name AS sources, coalesce(n_properties, 0) AS n_properties, last_property, row_number() OVER (ORDER BY s_name) - 1 AS pos
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN h ON s = s_suppkey""",
+    "list_sources": "SELECT n_name AS label, '2.0' AS version, count(s_suppkey) AS class_count FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name",
+    "changelog": "SELECT event_id, event_type AS bump, user_id, event_id AS classes_total FROM events",
 }

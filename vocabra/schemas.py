@@ -5,7 +5,7 @@ from __future__ import annotations
 #: One row per parsed element. kind: meta, prefix, class, class_slot, slot, enum, value or error.
 ELEMENT = (
     "kind string, source_label string, owner string, pos int, name string, iri string, definition string, value string,"
-    " is_abstract boolean, multivalued boolean, required boolean, pattern string, aliases array<string>"
+    " is_abstract boolean, multivalued boolean, required boolean, pattern string, aliases array<string>, path string"
 )
 
 #: Node tables, the primary key first.

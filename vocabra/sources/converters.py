@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .linkml import _Text
+from ..session import send_package
+from .linkml import _Text, first_wins
 
 # JSON types and their ranges; lists of types count by their first that is not null.
 JSON_TYPES = {"string": "string", "integer": "integer", "number": "float", "boolean": "boolean", "array": "string", "object": "string", "null": "string"}
@@ -53,17 +54,48 @@ SCHEMAS = {
 }
 # Prefixes of every converted schema.
 PREFIXES = {"linkml": "https://w3id.org/linkml/", "schema": "https://schema.org/", "xsd": "http://www.w3.org/2001/XMLSchema#"}
-# Classes with their description and slots (name, range), where a source has nothing.
-AIND_CORE = {
-    "Subject": ("AIND subject metadata.", [("subject_id", "string"), ("sex", "string"), ("date_of_birth", "date"), ("species", "string"), ("genotype", "string")]),
-    "Session": ("AIND acquisition session.", [("session_start_time", "datetime"), ("session_end_time", "datetime"), ("experimenter_full_name", "string"), ("rig_id", "string")]),
-    "Instrument": ("AIND instrument / rig.", [("instrument_id", "string"), ("instrument_type", "string")]),
-}
-OPENMINDS_CORE = {
-    "Subject": ("A subject studied in a neuroscience experiment.", [("lookupLabel", "string"), ("biologicalSex", "string"), ("species", "string"), ("strain", "string")]),
-    "Dataset": ("A neuroscience dataset.", [("title", "string"), ("description", "string"), ("license", "string"), ("digitalIdentifier", "uriorcurie")]),
-    "BrainAtlas": ("A brain atlas reference space.", [("shortName", "string"), ("fullName", "string"), ("ontologyIdentifier", "uriorcurie")]),
-}
+# Classes (name, description, where their IRI ends) with their slots (name, description, range, term, several values), where
+# a source has nothing.
+CORE = {
+    "aind": [
+        ("Subject", "AIND subject metadata.", "#Subject", [
+            ("subject_id", "Subject ID", "string", "schema:identifier", False),
+            ("sex", "Biological sex", "string", None, False),
+            ("date_of_birth", "Date of birth", "date", None, False),
+            ("species", "Species", "string", None, False),
+            ("genotype", "Genotype", "string", None, False),
+        ]),
+        ("Session", "AIND acquisition session.", "#Session", [
+            ("session_start_time", "Session start", "datetime", None, False),
+            ("session_end_time", "Session end", "datetime", None, False),
+            ("experimenter_full_name", "Experimenter name", "string", None, True),
+            ("rig_id", "Rig ID", "string", None, False),
+        ]),
+        ("Instrument", "AIND instrument / rig.", "#Instrument", [
+            ("instrument_id", "Instrument ID", "string", None, False),
+            ("instrument_type", "Instrument type", "string", None, False),
+        ]),
+    ],
+    "openminds": [
+        ("Subject", "A subject studied in a neuroscience experiment.", "core/Subject", [
+            ("lookupLabel", "Lookup label", "string", None, False),
+            ("biologicalSex", "Biological sex", "string", None, False),
+            ("species", "Species", "string", None, False),
+            ("strain", "Strain", "string", None, False),
+        ]),
+        ("Dataset", "A neuroscience dataset.", "core/Dataset", [
+            ("title", "Title", "string", "schema:name", False),
+            ("description", "Description", "string", "schema:description", False),
+            ("license", "License", "string", "schema:license", False),
+            ("digitalIdentifier", "Digital identifier (DOI, etc.)", "uriorcurie", "schema:identifier", False),
+        ]),
+        ("BrainAtlas", "A brain atlas reference space.", "sands/BrainAtlas", [
+            ("shortName", "Short name", "string", None, False),
+            ("fullName", "Full name", "string", None, False),
+            ("ontologyIdentifier", "Ontology term URI", "uriorcurie", None, False),
+        ]),
+    ],
+}
 # The schema.org types that are seeded.
 SEED_ROOTS = """
 Thing Person Organization MedicalEntity AnatomicalStructure BrainStructure Nerve AnatomicalSystem MedicalCondition InfectiousDisease
@@ -97,6 +129,7 @@ def bodies(files: DataFrame) -> DataFrame:
                     rows = [(0, False, stem, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame([(path, stem, k, *r) for k, r in enumerate(rows)], columns=[c.split()[0] for c in BODY.split(", ")])
 
+    send_package(files.sparkSession)
     return files.mapInPandas(run, BODY)
 
 
@@ -309,12 +342,11 @@ def class_rows(files: DataFrame, kind: str, label: str | None = None) -> DataFra
 
 def core_rows(kind: str, spark) -> DataFrame:
     """As class_rows, of the classes that stand in where the files of AIND or openMINDS have none."""
-    core, base = (AIND_CORE, f"{AIND}#") if kind == "aind" else (OPENMINDS_CORE, f"{SCHEMAS['openminds'][0]}core/")
-    rows = [(k, c, said, n, f"{c.lower()}__{slot}", rng, slot == "experimenter_full_name") for k, (c, (said, slots)) in enumerate(core.items()) for n, (slot, rng) in enumerate(slots)]
-    found = spark.createDataFrame(rows, "place int, class string, description string, n int, slot string, range string, many boolean")
-    body = F.struct(F.initcap(F.replace(F.substring_index("slot", "__", -1), F.lit("_"), F.lit(" "))).alias("description"), _no_text().alias("slot_uri"), "range", F.when(F.col("many"), True).alias("multivalued"), F.lit(None).cast("boolean").alias("required"))
-    one = found.groupBy("place", "class", "description").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("slot_pos"), F.col("slot").alias("name"), body.alias("body")))).alias("slots"))
-    held = F.struct(F.transform("slots", lambda s: s["name"]).alias("slots"), "description", F.concat(F.lit(base), "class").alias("class_uri"), _no_text().alias("is_a"))
+    rows = [(k, c, said, tail, n, f"{c.lower()}__{slot}", *rest) for k, (c, said, tail, slots) in enumerate(CORE[kind]) for n, (slot, *rest) in enumerate(slots)]
+    found = spark.createDataFrame(rows, "place int, class string, description string, tail string, n int, slot string, said string, range string, term string, many boolean")
+    body = F.struct(F.col("said").alias("description"), F.col("term").alias("slot_uri"), "range", F.when(F.col("many"), True).alias("multivalued"), F.lit(None).cast("boolean").alias("required"))
+    one = found.groupBy("place", "class", "description", "tail").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("slot_pos"), F.col("slot").alias("name"), body.alias("body")))).alias("slots"))
+    held = F.struct(F.transform("slots", lambda s: s["name"]).alias("slots"), "description", F.concat(F.lit(SCHEMAS[kind][0]), "tail").alias("class_uri"), _no_text().alias("is_a"))
     return one.select(F.lit(kind).alias("label"), F.lit("").alias("path"), "place", "class", held.cast(CLASS).alias("body"), "slots")
 
 
@@ -348,7 +380,7 @@ def documents(classes: DataFrame, kind: str) -> DataFrame:
 def convert(files: DataFrame, kind: str, label: str | None = None) -> DataFrame:
     """label and document (a LinkML schema as JSON) of files (path, content) of one format."""
     rows = class_rows(files, kind, label)
-    if kind in ("aind", "openminds") and not label:
+    if kind in CORE and not label:
         rows = first_tier(rows, core_rows(kind, files.sparkSession))
     return documents(rows, kind)
 
@@ -411,6 +443,7 @@ def to_yaml(docs: DataFrame) -> DataFrame:
             texts = [yaml.safe_dump(json.loads(d), allow_unicode=True, sort_keys=False) for d in batch.document]
             yield pd.DataFrame({"label": batch.label, "content": texts})
 
+    send_package(docs.sparkSession)
     return docs.mapInPandas(run, "label string, content string")
 
 
@@ -419,18 +452,28 @@ def write_yaml(docs: DataFrame, path: str) -> None:
     to_yaml(docs).repartition("label").write.mode("overwrite").option("lineSep", "\n").partitionBy("label").text(path)
 
 
-def run_all(sources: dict[str, Callable[[], DataFrame]], path: str, only: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> dict[str, str]:
+def run_all(
+    sources: dict[str, Callable[[], DataFrame]], path: str, only: tuple[str, ...] = (), skip: tuple[str, ...] = (), inputs: dict[str, DataFrame] | None = None
+) -> dict[str, str]:
     """Convert several sources, by name a function that gives documents, and write each under ``path``; the error of each that
-    failed. A source that fails does not stop the others."""
+    failed. A source fails if one of its files (``inputs``: path and content, by name) can't be parsed, though the others are written; one
+    that fails does not stop the next."""
     failed = {}
     for name in only or sources:
         if name in skip:
             continue
+        if name not in sources:
+            failed[name] = "unknown source"
+            continue
         try:
             docs = sources[name]()
             if docs.isEmpty():
                 raise ValueError("no classes")
             write_yaml(docs, f"{path}/{name}")
+            if name in (inputs or {}):
+                bad = conversion_errors(inputs[name]).orderBy("path").collect()  # a row per bad file
+                if bad:
+                    failed[name] = "; ".join(f"{r.path}: {r.error}" for r in bad)
         except Exception as e:  # told to the caller
             failed[name] = f"{type(e).__name__}: {e}"
     return failed
@@ -454,7 +497,7 @@ def missing_hashes(schemas: DataFrame, elements: DataFrame) -> DataFrame:
 
 def schema_org(files: DataFrame, roots: list[str] = SEED_ROOTS) -> DataFrame:
     """Element rows of schema.org JSON-LD (path, content), restricted to ``roots``: properties go to the classes of their domains, a class
-    has its first parent among the roots, and a property counts once."""
+    has its first parent among the roots, and of definitions of one property the first in the file counts."""
     base = "https://schema.org/"
     graph = F.from_json(F.get_json_object("content", "$['@graph']"), "array<map<string,string>>")
     nodes = files.select(F.posexplode(graph).alias("n", "m"))
@@ -475,9 +518,10 @@ def schema_org(files: DataFrame, roots: list[str] = SEED_ROOTS) -> DataFrame:
     ranges = F.coalesce(ids("schema:rangeIncludes"), F.array().cast("array<string>"))
     full = lambda c: F.when(F.startswith(c, F.lit("schema:")), F.concat(F.lit(base), short(c))).otherwise(c)
     domains = props.select("n", "name", F.explode(F.transform(ids("schema:domainIncludes"), short)).alias("owner")).join(classes.select(F.col("name").alias("owner")), "owner", "left_semi")
+    domains = domains.groupBy("owner", "name").agg(F.min("n").alias("n"))
     members = domains.select(F.lit("class_slot").alias("kind"), F.lit("schemaorg").alias("source_label"), "owner", F.col("n").alias("pos"), "name")
-    slots = props.select(
+    slots = first_wins(props, ["name"], ["n"]).select(
         F.lit("slot").alias("kind"), F.lit("schemaorg").alias("source_label"), F.col("n").alias("pos"), "name", F.concat(F.lit(base), "name").alias("iri"), label("rdfs:comment").alias("definition"),
         F.coalesce(full(F.get(ranges, 0)), F.lit("xsd:string")).alias("value"), F.lit("").alias("units"),
-    ).dropDuplicates(["name"])
+    )
     return rows.unionByName(members, allowMissingColumns=True).unionByName(slots, allowMissingColumns=True).withColumn("aliases", F.array().cast("array<string>"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ELEMENT
+from ..session import send_package
 
 COLUMNS = [c.split()[0] for c in ELEMENT.replace("array<string>", "array").split(",")]
 
@@ -111,6 +112,7 @@ def with_imports(files: DataFrame) -> DataFrame:
                 rows += [(path, k, PurePosixPath(str(n)).name) for k, n in enumerate(names)]
             yield pd.DataFrame(rows, columns=["path", "place", "name"])
 
+    send_package(files.sparkSession)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     at = files.select(F.col("path").alias("target"), stem.alias("name"))
     edges = files.mapInPandas(run, "path string, place int, name string").join(at, "name").where("path <> target").select("path", "target", "place").persist()
@@ -183,15 +185,16 @@ def parse(files: DataFrame, label: str | None = None) -> DataFrame:
                     own = label or (doc or {}).get("name") or stem
                 except Exception as e:  # a bad file fails alone, as a row
                     rows, own = [{"kind": "error", "name": stem, "definition": f"{type(e).__name__}: {e}"}], label or stem
-                yield _frame([r | {"source_label": own} for r in rows])
+                yield _frame([r | {"source_label": own, "path": path} for r in rows])
 
+    send_package(files.sparkSession)
     return resolved(files.mapInPandas(run, ELEMENT))
 
 
 def resolved(elements: DataFrame) -> DataFrame:
     """Element rows with IRIs for CURIEs and ranges, and a column ``units``."""
-    own = elements.where("kind = 'prefix'").groupBy("source_label").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("prefixes"))
-    joined = elements.join(own, "source_label", "left")
+    own = elements.where("kind = 'prefix'").groupBy("source_label", "path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("prefixes"))
+    joined = elements.join(own, ["source_label", "path"], "left")
     p = F.col("prefixes")
     value = (
         F.when(F.col("kind") == "slot", S.value_range(F.col("value"), p))
@@ -208,8 +211,9 @@ def elements_from_documents(schemas: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for label, document in zip(batch.label, batch.document, strict=True):
-                yield _frame([r | {"source_label": label} for r in elements_of(json.loads(document), label)])
+                yield _frame([r | {"source_label": label, "path": label} for r in elements_of(json.loads(document), label)])
 
+    send_package(schemas.sparkSession)
     return resolved(schemas.select("label", "document").mapInPandas(run, ELEMENT))
 
 
@@ -265,6 +269,7 @@ def undefined_references(files: DataFrame) -> DataFrame:
                     rows = [("load", "", f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame([(label, *r) for r in rows], columns=["source_label", "kind", "owner", "name"])
 
+    send_package(files.sparkSession)
     rows = files.mapInPandas(run, schema)
     named = lambda kind, *more: rows.where(F.col("kind") == kind).select("source_label", *more, "name").distinct()
     slots = rows.where("kind = 'slot'").join(named("defined_slot"), ["source_label", "name"], "left_anti").join(named("attribute", "owner"), ["source_label", "owner", "name"], "left_anti")
