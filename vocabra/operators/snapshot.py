@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import NODES, SNAPSHOT
+from ..session import cut
 from .store import Frames, Store
 
 
@@ -25,30 +26,48 @@ def source_rows(store: Store | Frames) -> DataFrame:
     return rows.groupBy("label", version.alias("version")).agg(F.count_distinct("hash_id").alias("class_count"))
 
 
-def class_rows(store: Store | Frames) -> DataFrame:
-    """One nested row per class, its lists ordered by name or distance and then by hash."""
+def _empty(c: str):
+    return S.or_empty(F.col(c))
+
+
+def properties_of(store: Store | Frames) -> DataFrame:
+    """hash_id of each class with properties, and the array ``properties`` of them by name and hash."""
     none = F.array().cast("array<string>")
-    empty = lambda c: S.or_empty(F.col(c))
     props = store.read("property").join(attesting_sources(store, "property"), "hash_id", "left").select(F.col("hash_id").alias("dst"), F.struct(
-        "hash_id", empty("concept_uri").alias("iri"), empty("name").alias("name"), empty("description").alias("definition"), empty("property_range").alias("value_range"),
-        empty("ucum_code").alias("units"), F.coalesce("sources", none).alias("sources")).alias("p"))
-    held = store.read("has_property").join(props, "dst").groupBy(F.col("src").alias("hash_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("p.name", "p.hash_id", "p"))), lambda x: x["p"]).alias("properties"))
+        "hash_id", _empty("concept_uri").alias("iri"), _empty("name").alias("name"), _empty("description").alias("definition"), _empty("property_range").alias("value_range"),
+        _empty("ucum_code").alias("units"), F.coalesce("sources", none).alias("sources")).alias("p"))
+    in_order = F.array_sort(F.collect_list(F.struct("p.name", "p.hash_id", "p")))
+    return store.read("has_property").join(props, "dst").groupBy(F.col("src").alias("hash_id")).agg(F.transform(in_order, lambda x: x["p"]).alias("properties"))
+
+
+def parents_of(store: Store | Frames) -> DataFrame:
+    """hash_id of each class with parents that have an IRI, and their sorted IRIs as ``subclass_of``."""
+    node = store.read("class").where(_empty("concept_uri") != "").select(F.col("hash_id").alias("dst"), F.col("concept_uri").alias("t_iri"))
+    return store.read("subclass_of").join(node, "dst").groupBy(F.col("src").alias("hash_id")).agg(F.sort_array(F.collect_list("t_iri")).alias("subclass_of"))
+
+
+def alignments_of(store: Store | Frames) -> DataFrame:
+    """hash_id of each aligned class, and the array ``alignments`` of its edges by distance and target."""
     node = store.read("class").select(F.col("hash_id").alias("dst"), F.col("name").alias("t_name"), F.col("concept_uri").alias("t_iri"))
-    parents = store.read("subclass_of").join(node, "dst").where(S.or_empty(F.col("t_iri")) != "").groupBy(F.col("src").alias("hash_id")).agg(F.sort_array(F.collect_list("t_iri")).alias("subclass_of"))
     number = lambda c, d: F.coalesce(F.col(c).cast("double"), F.lit(d))
     edge = F.struct(
-        F.col("dst").alias("target_hash_id"), empty("t_name").alias("target_name"), empty("t_iri").alias("target_iri"), number("distance", 1.0).alias("distance"), empty("method").alias("method"),
+        F.col("dst").alias("target_hash_id"), _empty("t_name").alias("target_name"), _empty("t_iri").alias("target_iri"), number("distance", 1.0).alias("distance"), _empty("method").alias("method"),
         F.struct(*(number(f"score_{k}", 0.0).alias(k) for k in ("iri", "name", "desc", "slot"))).alias("scores"))
-    aligned = store.read("aligned_to").join(node, "dst").select(F.col("src").alias("hash_id"), edge.alias("a")).groupBy("hash_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("a.distance", "a.target_hash_id", "a"))), lambda x: x["a"]).alias("alignments"))
-    rows = store.read("class").join(attesting_sources(store, "class"), "hash_id", "left").join(held, "hash_id", "left").join(parents, "hash_id", "left").join(aligned, "hash_id", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("a.distance", "a.target_hash_id", "a")))
+    return store.read("aligned_to").join(node, "dst").select(F.col("src").alias("hash_id"), edge.alias("a")).groupBy("hash_id").agg(F.transform(in_order, lambda x: x["a"]).alias("alignments"))
+
+
+def class_rows(store: Store | Frames) -> DataFrame:
+    """One nested row per class, its lists ordered by name or distance and then by hash."""
+    rows = store.read("class")
+    for part in (attesting_sources(store, "class"), properties_of(store), parents_of(store), alignments_of(store)):
+        rows = rows.join(part, "hash_id", "left")
     fields = dict(rows.dtypes)
     or_none = lambda c: F.coalesce(F.col(c), F.array().cast(fields[c])).alias(c)
     return rows.select(
-        "hash_id", empty("concept_uri").alias("iri"), empty("name").alias("name"), empty("description").alias("definition"), F.coalesce("is_abstract", F.lit(False)).alias("is_abstract"),
+        "hash_id", _empty("concept_uri").alias("iri"), _empty("name").alias("name"), _empty("description").alias("definition"), F.coalesce("is_abstract", F.lit(False)).alias("is_abstract"),
         or_none("sources"), or_none("properties"), or_none("subclass_of"), or_none("alignments"),
-    )
+    )
 
 
 def write_snapshot(store: Store, path: str, bump: str = "minor", issue: str = "", agent: str = "github-actions", schema: str = "") -> str:
@@ -56,7 +75,7 @@ def write_snapshot(store: Store, path: str, bump: str = "minor", issue: str = ""
     Classes are written as rows, in name order, and never gathered on the driver."""
     spark, current = store.spark, current_version(store)
     version = spark.range(1).select(S.next_registry_version(F.lit(current), F.lit(bump))).first()[0]
-    classes, sources = class_rows(store), source_rows(store)
+    classes, sources = class_rows(store), cut(source_rows(store))
     classes.repartitionByRange("name", "hash_id").sortWithinPartitions("name", "hash_id").write.json(f"{path}/registry_version={version}/classes")
     sources.coalesce(1).sortWithinPartitions("label").write.json(f"{path}/registry_version={version}/sources")
     totals = sources.agg(F.count(F.lit(1)).alias("sources_total")).crossJoin(store.read("class").agg(F.count(F.lit(1)).alias("classes_total")))
@@ -81,7 +100,20 @@ def read_snapshot(spark: SparkSession, path: str, version: str) -> tuple[DataFra
 
 
 def read_document(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """Classes (with ``pos``, their place) and sources of snapshots that are one JSON document each."""
+    """Classes (with ``pos``, their place) and sources of snapshots: files that are one JSON document each, or folders of write_document(),
+    whose lines are read by all tasks."""
+    root = spark.createDataFrame([], SNAPSHOT).schema
+    one = root["classes"].dataType.elementType
+    texts = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.ltrim("value").alias("line"))
+    if not texts.where(F.col("file").rlike(r"/part-\d+-[^/]*$")).isEmpty():
+        lines = texts.where(F.ltrim("line", F.lit(",")).startswith('{"hash_id"')).select(F.from_json(F.ltrim("line", F.lit(",")), one).alias("c")).select("c.*")
+        place = Window.partitionBy("_part").orderBy("name", "hash_id")
+        spread = cut(lines.repartitionByRange("name", "hash_id").withColumn("_part", F.spark_partition_id()))
+        sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # a row per partition
+        rows = spread.withColumn("_k", F.row_number().over(place)).join(F.broadcast(before), "_part")
+        heads = texts.where(F.col("line").startswith('{"registry_version"')).select(F.from_json(F.regexp_replace("line", r', "classes": \[$', "}"), root).alias("d"))
+        return rows.select((F.col("_before") + F.col("_k") - 1).cast("int").alias("pos"), *(f.name for f in one)), heads.select(F.inline("d.sources"))
     doc = spark.read.schema(SNAPSHOT).json(list(paths), multiLine=True)
     return doc.select(F.posexplode("classes").alias("pos", "c")).select("pos", "c.*"), doc.select(F.inline("sources"))
 
@@ -107,25 +139,31 @@ def version_chain(changelog: DataFrame, *by: str, version: str = "registry_versi
     return changelog.select(*by, version, F.lag(version).over(Window.partitionBy(*by).orderBy(*order)).alias("before"))
 
 
-def write_document(store: Store, path: str, version: str) -> None:
-    """The snapshot as one JSON document, in a folder ``path``: a line per class between a head and a foot, so that nothing but
-    the order of lines needs one task. read_document() reads it."""
+def write_document(store: Store | Frames, path: str, version: str, classes: DataFrame | None = None, sources: DataFrame | None = None) -> None:
+    """The snapshot as one JSON document, in a folder ``path`` whose files in the order of their names are the document: a line per class, dealt by ranges
+    of names, with a head before the first and a foot behind the last. read_document() reads it. ``classes`` and ``sources`` are what
+    class_rows() and source_rows() gave, where that is known."""
     spark = store.spark
-    sources = F.coalesce(F.array_sort(F.collect_list(F.struct("label", "version", "class_count"))), F.array().cast("array<struct<label:string,version:string,class_count:bigint>>"))
-    head = source_rows(store).agg(sources.alias("sources")).select(F.to_json(F.struct(F.lit(version).alias("registry_version"), S.now_iso().alias("generated_at"), "sources")).alias("j"))
-    first = head.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("hash_id"), F.concat(F.col("j").substr(F.lit(1), F.length("j") - 1), F.lit(', "classes": [')).alias("value"))
-    each = class_rows(store).select(F.lit(1).alias("part"), "name", "hash_id", F.to_json(F.struct("*")).alias("value"))
-    last = each.agg(F.max(F.struct("name", "hash_id")).alias("m")).select("m.*")
-    comma = each.join(F.broadcast(last.withColumn("_last", F.lit(True))), ["name", "hash_id"], "left")  # one row
-    rows = comma.select("part", "name", "hash_id", F.concat("value", F.when(F.col("_last"), F.lit("")).otherwise(F.lit(","))).alias("value"))
-    foot = spark.range(1).select(F.lit(2).alias("part"), F.lit("").alias("name"), F.lit("").alias("hash_id"), F.lit("]}").alias("value"))
-    whole = first.unionByName(rows).unionByName(foot).repartition(1).sortWithinPartitions("part", "name", "hash_id")
+    classes, sources = class_rows(store) if classes is None else classes, source_rows(store) if sources is None else sources
+    none = F.array().cast("array<struct<label:string,version:string,class_count:bigint>>")
+    listed = F.coalesce(F.array_sort(F.collect_list(F.struct("label", "version", "class_count"))), none)  # a row per source
+    head = sources.agg(listed.alias("sources")).select(F.to_json(F.struct(F.lit(version).alias("registry_version"), S.now_iso().alias("generated_at"), "sources")).alias("j"))
+    place = lambda part, name, hash_id: (F.lit(part).alias("part"), name.alias("name"), hash_id.alias("hash_id"))
+    first = head.select(*place(0, F.lit(""), F.lit("")), F.concat(F.col("j").substr(F.lit(1), F.length("j") - 1), F.lit(', "classes": [')).alias("value"))
+    each = cut(classes.select(*place(1, F.col("name"), F.col("hash_id")), F.to_json(F.struct("*")).alias("value")))
+    start = each.agg(F.min(F.struct("name", "hash_id")).alias("m")).select("m.*", F.lit(True).alias("_first"))
+    lines = each.join(F.broadcast(start), ["name", "hash_id"], "left")  # one row
+    lines = lines.select("part", "name", "hash_id", F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(",")), "value").alias("value"))
+    foot = spark.range(1).select(*place(2, F.lit(""), F.lit("")), F.lit("]}").alias("value"))
+    order = ("part", "name", "hash_id")
+    whole = first.unionByName(lines).unionByName(foot).repartitionByRange(*order).sortWithinPartitions(*order)
     whole.select("value").write.mode("overwrite").text(path)
 
 
 def publish(store: Store, path: str, **told) -> str:
     """The next version: write_snapshot(), the document ``registry.json`` and its archive copy ``versions/<version>.json``, each a folder."""
     version = write_snapshot(store, path, **told)
+    classes, sources = read_snapshot(store.spark, path, version)  # what has just been written, so that no join runs again
     for at in (f"{path}/registry.json", f"{path}/versions/{version}.json"):
-        write_document(store, at, version)
+        write_document(store, at, version, classes, sources)
     return version

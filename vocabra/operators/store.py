@@ -6,6 +6,7 @@ pointer, so a table is never overwritten while it is read. All reads and writes
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import EDGES, NODES
+from ..session import cut
 from . import align, entities
 
 
@@ -124,56 +126,16 @@ def attest(store: Store, kind: str, rows: DataFrame, source_id: str, source_vers
 
 
 def insert_schema(store: Store, elements: DataFrame, label: str, agent: str = "anonymous", issue: str = "", registry_version: str = "", yml_path: str = "", dry_run: bool = False) -> dict:
-    """Write one source's elements: entities that are new, attestations, edges and a schema version. Returns the counts. A source that
-    could not be parsed, or has classes in a cycle of parents, is an error and writes nothing."""
-    own = elements.where(F.col("source_label") == label).persist()
-    meta = own.where("kind = 'meta'").orderBy("path" if "path" in own.columns else "name").first()
-    bad = own.where("kind = 'error'").select("definition").first()
-    if bad is not None and meta is None:
-        raise ValueError(f"{label}: {bad.definition}")
-    version = (meta["value"] if meta else None) or "1.0.0"
-    props = entities.properties(own).persist()
-    classes = entities.classes(own, props).persist()
-    lost = entities.unrooted(own, classes).first()
-    if lost is not None:
-        raise ValueError(f"{label}: class '{lost.name}' has itself among its parents, or below such a class")
-    values = entities.permissible_values(own)
-    sets = entities.value_sets(own, values).persist()
-    kinds = {"property": props, "class": classes}
-    total = {k: rows.select("hash_id").distinct().count() for k, rows in kinds.items()}
-    plural = {"property": "properties", "class": "classes"}
-    stats: dict = {}
-    if dry_run:
-        for k, rows in kinds.items():
-            new = rows.select("hash_id").distinct().join(store.read(k), "hash_id", "left_anti").count()
-            stats |= {f"{plural[k]}_new": new, f"{plural[k]}_existing": total[k] - new}
-        return stats | {"provenance_added": 0}
-    source = ensure_source(store, label, version, registry_version)
-    told = dict(source_id=source, source_version=version, agent=agent, issue=issue, registry_version=registry_version)
-    stats["provenance_added"] = 0
-    for k, rows in kinds.items():
-        new = write_if_new(store, k, rows.drop("source_label", "properties"), ["hash_id"])
-        stats |= {f"{plural[k]}_new": new, f"{plural[k]}_existing": total[k] - new}
-        stats["provenance_added"] += attest(store, k, rows, **told)
-    for k, rows in {"value_set": sets.drop("source_label", "permissible_values"), "permissible_value": values.drop("source_label", "enum")}.items():
-        write_if_new(store, k, rows, ["hash_id"])
-        attest(store, k, rows, **told)
-    stats["rels"] = sum(
-        write_if_new(store, name, rows, ["src", "dst"])
-        for name, rows in (("has_property", entities.property_edges(classes)), ("subclass_of", entities.subclass_edges(classes)), ("has_permissible_value", entities.value_edges(sets)))
-    )
-    previous = latest_version(store, label)
-    grown = bool(stats["classes_new"] or stats["properties_new"])
-    if previous is not None and not grown and not stats["provenance_added"]:
-        return stats | {"schema_version": previous, "schema_unchanged": True}
-    now = store.spark.createDataFrame([(label, yml_path, total["class"], total["property"], registry_version, previous or version)], "schema_label string, yml_path string, class_count long, property_count long, registry_version string, v string")
-    next_ = F.col("v") if previous is None else S.bump_padded(F.col("v"), F.lit("minor" if grown else "patch"))
-    row = now.select(
-        F.expr("uuid()").alias("id"), "schema_label", next_.alias("source_version"), "yml_path", "class_count", "property_count",
-        S.change_summary(F.lit(stats["classes_new"]), F.lit(stats["properties_new"]), F.lit(stats["provenance_added"])).alias("changes_summary"), S.now_iso().alias("created_at"), "registry_version",
-    )
-    store.append("schema_version", row)
-    return stats | {"schema_version": latest_version(store, label)}
+    """As insert_all(), of one source; its counts. A source that could not be parsed, or has classes in a cycle of parents, is an error and
+    writes nothing."""
+    found = insert_all(store, elements.where(F.col("source_label") == label), agent, issue, registry_version, dry_run, yml_path).collect()
+    rows = [r for r in found if r.error is None]
+    if not rows:
+        raise ValueError(f"{label}: {found[0].error if found else 'no schema of this name'}")
+    stats = {k: v for k, v in rows[0].asDict().items() if v is not None and k not in ("label", "error", "path")}
+    if not stats.get("schema_unchanged"):
+        stats.pop("schema_unchanged", None)
+    return stats
 
 
 def _sources(store: Store, meta: DataFrame, registry_version: str) -> DataFrame:
@@ -199,54 +161,57 @@ def _dry(store: Store, meta: DataFrame, kinds: dict[str, DataFrame], bad: DataFr
     return out.fillna(0).unionByName(_failed(store, bad), allowMissingColumns=True)
 
 
-def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "", dry_run: bool = False) -> DataFrame:
+def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issue: str = "", registry_version: str = "", dry_run: bool = False, yml_path: str = "") -> DataFrame:
     """Write the elements of many sources at once, as insert_schema() would one after another in the order of their labels, and
     return a row of counts for each label. Files that could not be parsed, or have classes in a cycle of parents, are left out, each with
     ``path`` and ``error``; other files of the same label are not."""
-    own = entities.keyed(elements).persist()
-    every = entities.classes(own, entities.properties(own)).persist()
+    own = cut(entities.keyed(elements))  # written, so that plans stay short
+    every_property = cut(entities.properties(own))
+    every = cut(entities.classes(own, every_property))
     cycle = entities.unrooted(own, every).select(*entities.FILE, F.concat(F.lit("parents of "), "name").alias("error"))
     unread = own.where("kind = 'error'").select(*entities.FILE, F.col("definition").alias("error"))
-    bad = unread.unionByName(cycle).groupBy(*entities.FILE).agg(F.min("error").alias("error")).persist()
+    bad = cut(unread.unionByName(cycle).groupBy(*entities.FILE).agg(F.min("error").alias("error")))
     good = own.join(bad, entities.FILE, "left_anti")
     version = F.coalesce(F.nullif(F.min_by("value", "path"), F.lit("")), F.lit("1.0.0")).alias("source_version")
-    meta = good.where("kind = 'meta'").groupBy(F.col("source_label").alias("label")).agg(version).persist()
-    props = entities.properties(good).persist()
-    classes = every.join(bad, entities.FILE, "left_anti").persist()
+    meta = cut(good.where("kind = 'meta'").groupBy(F.col("source_label").alias("label")).agg(version))
+    props = every_property.join(bad, entities.FILE, "left_anti")
+    classes = every.join(bad, entities.FILE, "left_anti")
     if dry_run:
         return _dry(store, meta, {"class": classes, "property": props}, bad)
-    ids = _sources(store, meta, registry_version)
-    values = entities.permissible_values(good)
-    sets = entities.value_sets(good, values)
+    ids = cut(_sources(store, meta, registry_version))
+    values = cut(entities.permissible_values(good))
+    sets = cut(entities.value_sets(good, values))
     kinds = {"property": props, "class": classes, "value_set": sets, "permissible_value": values}
     edges = {
         "has_property": classes.select("source_label", F.col("hash_id").alias("src"), F.explode("properties").alias("dst")),
         "subclass_of": classes.where("parent_class IS NOT NULL").select("source_label", F.col("hash_id").alias("src"), F.col("parent_class").alias("dst")),
         "has_permissible_value": sets.select("source_label", F.col("hash_id").alias("src"), F.explode("permissible_values").alias("dst")),
     }
-    counts: dict[str, dict[str, int]] = {}
+    ones: list[DataFrame] = []
 
     def told(rows: DataFrame, counter: str, n=None) -> None:
-        for r in rows.groupBy("source_label").agg((F.count(F.lit(1)) if n is None else n).alias("n")).collect():  # a row per label of the batch
-            counts.setdefault(r.source_label, {})[counter] = r.n
+        ones.append(rows.groupBy("source_label").agg((F.count(F.lit(1)) if n is None else n).alias("n")).select("source_label", F.lit(counter).alias("counter"), "n"))
 
-    new: list[tuple[str, DataFrame]] = []  # settled before anything is written
+    new: list[tuple[str, str, DataFrame]] = []  # settled before anything is written
+    old = store.read("provenance")
     for name, rows in kinds.items():
         told(rows, f"{name}_total", F.count_distinct("hash_id"))
-        new.append((name, new_rows(rows, store.read(name), ["hash_id"]).persist()))
-        told(new[-1][1], f"{name}_new")
+        new.append((name, f"{name}_new", new_rows(rows, store.read(name), ["hash_id"]).persist()))
         attested = rows.join(ids.join(meta, "label"), F.col("source_label") == F.col("label")).select("hash_id", F.col("id").alias("had_primary_source"), "source_version")
-        made = new_rows(attestations(name, attested, agent, issue, registry_version), store.read("provenance"), ATTESTED)
+        made = new_rows(attestations(name, attested, agent, issue, registry_version), old, ATTESTED)
         labels = ids.select(F.col("label").alias("source_label"), F.col("id").alias("had_primary_source"))
-        new.append(("provenance", made.join(labels, "had_primary_source").persist()))
-        told(new[-1][1], f"{name}_attested")
+        new.append(("provenance", f"{name}_attested", made.join(labels, "had_primary_source").persist()))
     for name, rows in edges.items():
-        new.append((name, new_rows(rows, store.read(name), ["src", "dst"]).persist()))
-        told(new[-1][1], f"{name}_new")
+        new.append((name, f"{name}_new", new_rows(rows, store.read(name), ["src", "dst"]).persist()))
+    for _, counter, rows in new:
+        told(rows, counter)
+    counts: dict[str, Counter] = {}
+    for r in functools.reduce(DataFrame.unionByName, ones).collect():  # one job for all; a row per label of the batch and counter
+        counts.setdefault(r.source_label, Counter())[r.counter] = r.n
     previous = {r.schema_label: r.source_version for r in latest_versions(store).join(meta, F.col("schema_label") == F.col("label"), "left_semi").select("schema_label", "source_version").collect()}
     stats = []
     for r in meta.collect():
-        n = Counter(counts.get(r.label, {}))
+        n = counts.get(r.label, Counter())
         rels = sum(n[f"{e}_new"] for e in edges)
         stats.append((r.label, r.source_version, previous.get(r.label), n["property_new"], n["property_total"], n["class_new"], n["class_total"], n["property_attested"] + n["class_attested"], rels))
     found = store.spark.createDataFrame(stats, "label string, source_version string, previous string, properties_new long, property_count long, classes_new long, class_count long, provenance_added long, rels long")
@@ -258,15 +223,15 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
         "properties_existing": F.col("property_count") - F.col("properties_new"), "classes_existing": F.col("class_count") - F.col("classes_new"),
         "schema_version": after, "schema_unchanged": same, "error": F.lit(None).cast("string"), "path": F.lit(None).cast("string"),
     })
-    for name, rows in new:
-        store.append(name, rows)
+    for name, counter, rows in new:
+        if any(n[counter] for n in counts.values()):
+            store.append(name, rows)
         rows.unpersist()
-    store.append("schema_version", found.where(~F.col("schema_unchanged")).select(
-        F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit("").alias("yml_path"), "class_count", "property_count",
-        S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version")))
+    if stats:
+        store.append("schema_version", found.where(~F.col("schema_unchanged")).select(
+            F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit(yml_path).alias("yml_path"), "class_count", "property_count",
+            S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version")))
     failed = _failed(store, bad)
-    for frame in (own, every, bad, meta, props, classes):
-        frame.unpersist()
     return found.drop("previous", "source_version").unionByName(failed, allowMissingColumns=True)
 
 

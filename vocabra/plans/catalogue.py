@@ -250,8 +250,8 @@ def unique_edges(spark, sf):
 def property_edges(spark, sf):
     classes = _read(spark, sf, "supplier").select(_text("s_suppkey").alias("hash_id"), F.col("s_name").alias("name"))
     props = _read(spark, sf, "part").select(_text("p_partkey").alias("hash_id"), F.col("p_name").alias("name"))
-    found = snapshot.class_rows(store.Frames(spark, **{"class": classes, "property": props, "has_property": _supplies(spark, sf)}))
-    return found.where(F.size("properties") > 0).select(F.col("name").alias("s_name"), F.size("properties").cast("long").alias("n_properties"), F.get("properties", 0)["name"].alias("first_property"))
+    found = snapshot.properties_of(store.Frames(spark, **{"property": props, "has_property": _supplies(spark, sf)})).join(classes, "hash_id")
+    return found.select(F.col("name").alias("s_name"), F.size("properties").cast("long").alias("n_properties"), F.get("properties", 0)["name"].alias("first_property"))
 
 
 def used_properties(spark, sf):
@@ -264,8 +264,8 @@ def parent_join(spark, sf):
     nations = n.select(F.concat(F.lit("n"), "n_nationkey").alias("hash_id"), F.col("n_name").alias("name"))
     regions = r.select(F.concat(F.lit("r"), "r_regionkey").alias("hash_id"), F.lit("").alias("name"), F.col("r_name").alias("concept_uri"))
     edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    found = snapshot.class_rows(store.Frames(spark, **{"class": nations.unionByName(regions, allowMissingColumns=True), "subclass_of": edges}))
-    return found.where("name <> ''").select(F.col("name").alias("n_name"), F.explode("subclass_of").alias("r_name"))
+    found = snapshot.parents_of(store.Frames(spark, **{"class": nations.unionByName(regions, allowMissingColumns=True), "subclass_of": edges}))
+    return found.join(nations, "hash_id").select(F.col("name").alias("n_name"), F.explode("subclass_of").alias("r_name"))
 
 
 def provenance_join(spark, sf):

@@ -97,9 +97,9 @@ def merged(doc: dict, imports: list[dict]) -> dict:
     return out
 
 
-def with_imports(files: DataFrame) -> DataFrame:
-    """Add ``imported`` to files (path, content): the contents of all files among them that a schema imports, directly or through
-    others, nearest first. An import is the name of a file without its ending; those that are not there, as linkml:types, are left out."""
+def import_names(files: DataFrame) -> DataFrame:
+    """path, ``stem`` (the file's name without its ending) and ``imports``, the names that a file imports, of files (path, content). Names with a
+    prefix, as linkml:types, are no files; a file that can't be parsed imports nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,13 +109,24 @@ def with_imports(files: DataFrame) -> DataFrame:
                     names = (yaml.load(content or "", _Text) or {}).get("imports") or []
                 except (yaml.YAMLError, AttributeError):
                     names = []  # parse() tells
-                rows += [(path, k, PurePosixPath(str(n)).name) for k, n in enumerate(names)]
-            yield pd.DataFrame(rows, columns=["path", "place", "name"])
+                rows.append((path, [PurePosixPath(str(n)).name for n in names if ":" not in str(n)]))
+            yield pd.DataFrame(rows, columns=["path", "imports"])
 
     send_package(files.sparkSession)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    at = files.select(F.col("path").alias("target"), stem.alias("name"))
-    edges = files.mapInPandas(run, "path string, place int, name string").join(at, "name").where("path <> target").select("path", "target", "place").persist()
+    return files.mapInPandas(run, "path string, imports array<string>").select("path", stem.alias("stem"), "imports")
+
+
+def import_edges(names: DataFrame) -> DataFrame:
+    """path, place in its list, name and ``target``, the path of the imported file, of rows of import_names(); null where there is no such file."""
+    at = names.select(F.col("path").alias("target"), F.col("stem").alias("name"))
+    return names.select("path", F.posexplode("imports").alias("place", "name")).join(at, "name", "left").where("target IS NULL OR path <> target")
+
+
+def with_imports(files: DataFrame) -> DataFrame:
+    """Add ``imported`` to files (path, content): the contents of all files among them that a schema imports, directly or through
+    others, nearest first. Imports that are not there are left out."""
+    edges = import_edges(import_names(files)).where("target IS NOT NULL").select("path", "target", "place").persist()
     reach, new, depth = edges.withColumn("depth", F.lit(1)), edges, 1
     while not new.isEmpty():  # as many rounds as the longest chain of imports
         depth += 1
