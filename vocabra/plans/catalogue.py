@@ -404,31 +404,43 @@ def _part_files(spark, sf, folder: str, by, name, body, shape) -> DataFrame:
     return rows.select(F.concat(F.lit(f"/{folder}/"), "by", F.lit(".json")).alias("path"), F.to_json(shape).alias("content"))
 
 
-_PART = F.concat(F.lit("part"), "p_partkey")
-_KIND = F.element_at(F.array(*(F.lit(x) for x in ("integer", "number", "string", "boolean", "array"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-_BRAND = F.replace("p_brand", F.lit("#"), F.lit("_"))
-_SLOT = ["label", "class", F.col("s.name").alias("slot"), *(F.col(f"s.body.{c}").alias(c) for c in ("range", "description", "slot_uri", "multivalued", "required"))]
+def _part():
+    return F.concat(F.lit("part"), "p_partkey")
+
+
+def _one_of(column, *values):
+    """One of the values, by the remainder of a key."""
+    return F.element_at(F.array(*(F.lit(x) for x in values)), (column % len(values) + 1).cast("int"))
+
+
+def _kind():
+    return _one_of(F.col("p_partkey"), "integer", "number", "string", "boolean", "array")
+
+
+def _brand():
+    return F.replace("p_brand", F.lit("#"), F.lit("_"))
 
 
 def _slots(files: DataFrame, kind: str) -> DataFrame:
-    return converters.class_rows(files, kind).select("label", "class", F.explode("slots").alias("s")).select(*_SLOT)
+    return converters.class_rows(files, kind).select("label", "class", F.explode("slots").alias("s")).select(
+        "label", "class", F.col("s.name").alias("slot"), *(F.col(f"s.body.{c}").alias(c) for c in ("range", "description", "slot_uri", "multivalued", "required")))
 
 
 def bids_slots(spark, sf):
     """Parts as terms of three BIDS groups."""
     group = F.element_at(F.array(*(F.lit(x) for x in ("metadata", "columns", "entities"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    either = F.array(F.struct(F.lit("null").alias("type")), F.struct(_KIND.alias("type")))
-    body = F.struct(F.when(F.col("p_partkey") % 2 == 0, _KIND).alias("type"), F.when(F.col("p_partkey") % 2 == 1, either).alias("anyOf"), F.concat(F.lit(" "), "p_type").alias("description"))
-    return _slots(_part_files(spark, sf, "bids", group, _PART, body, F.col("members")), "bids")
+    either = F.array(F.struct(F.lit("null").alias("type")), F.struct(_kind().alias("type")))
+    body = F.struct(F.when(F.col("p_partkey") % 2 == 0, _kind()).alias("type"), F.when(F.col("p_partkey") % 2 == 1, either).alias("anyOf"), F.concat(F.lit(" "), "p_type").alias("description"))
+    return _slots(_part_files(spark, sf, "bids", group, _part(), body, F.col("members")), "bids")
 
 
 def nwb_slots(spark, sf):
     """Parts of each brand as attributes of an NWB type, with a dtype and a quantity."""
     dtype = F.element_at(F.array(*(F.lit(x) for x in ("text", "float32", "int8", "bool", "isodatetime"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     times = F.element_at(F.array(F.lit("*"), F.lit("+"), F.lit("?"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    body = F.struct(_PART.alias("name"), dtype.alias("dtype"), times.alias("quantity"), F.col("p_type").alias("doc"))
+    body = F.struct(_part().alias("name"), dtype.alias("dtype"), times.alias("quantity"), F.col("p_type").alias("doc"))
     kind = F.struct(F.col("by").alias("neurodata_type_def"), F.lit("A brand").alias("doc"), F.map_values("members").alias("attributes"))
-    return _slots(_part_files(spark, sf, "nwb", _BRAND, _PART, body, F.struct(F.array(kind).alias("groups"))), "nwb")
+    return _slots(_part_files(spark, sf, "nwb", _brand(), _part(), body, F.struct(F.array(kind).alias("groups"))), "nwb")
 
 
 def _needing(extra: list) -> F.Column:
@@ -439,22 +451,22 @@ def _needing(extra: list) -> F.Column:
 
 def dandi_slots(spark, sf):
     """Parts of each brand as properties of a DANDI model."""
-    body = F.struct(F.array(F.lit("null"), _KIND).alias("type"), F.col("p_type").alias("title"))
-    return _slots(_part_files(spark, sf, "dandi", _BRAND, _PART, body, _needing([])), "dandi")
+    body = F.struct(F.array(F.lit("null"), _kind()).alias("type"), F.col("p_type").alias("title"))
+    return _slots(_part_files(spark, sf, "dandi", _brand(), _part(), body, _needing([])), "dandi")
 
 
 def openminds_slots(spark, sf):
     """Parts of each brand as properties of an openMINDS schema; the names of half of them are IRIs."""
-    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://o.example/vocab/"), _PART)).otherwise(_PART)
-    body = F.struct(_KIND.alias("type"), F.col("p_type").alias("description"))
-    return _slots(_part_files(spark, sf, "openminds", _BRAND, name, body, _needing([])), "openminds")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://o.example/vocab/"), _part())).otherwise(_part())
+    body = F.struct(_kind().alias("type"), F.col("p_type").alias("description"))
+    return _slots(_part_files(spark, sf, "openminds", _brand(), name, body, _needing([])), "openminds")
 
 
 def aind_slots(spark, sf):
     """Parts of each brand as properties of an AIND model, with formats and units."""
     kind = F.when(F.col("p_partkey") % 5 == 2, "date-time")
-    body = F.struct(_KIND.alias("type"), kind.alias("format"), F.struct(F.lit("integer").alias("type")).alias("items"), F.concat("p_type", F.lit(" (unit: mm)")).alias("description"))
-    return _slots(_part_files(spark, sf, "aind", _BRAND, _PART, body, _needing([])), "aind")
+    body = F.struct(_kind().alias("type"), kind.alias("format"), F.struct(F.lit("integer").alias("type")).alias("items"), F.concat("p_type", F.lit(" (unit: mm)")).alias("description"))
+    return _slots(_part_files(spark, sf, "aind", _brand(), _part(), body, _needing([])), "aind")
 
 
 def schema_org_slots(spark, sf):
@@ -466,7 +478,7 @@ def schema_org_slots(spark, sf):
     classes = types.select((F.col("k") - 1000).alias("n"), F.to_json(F.struct(F.concat(F.lit("schema:"), "root").alias("@id"), F.lit("rdfs:Class").alias("@type"), F.concat(F.lit("About "), "root").alias("rdfs:comment"))).alias("node"))
     said = p.select("p_partkey", "p_type", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("time"))
     body = F.struct(
-        F.concat(F.lit("schema:"), _PART).alias("@id"), F.lit("rdf:Property").alias("@type"), F.concat_ws(" ", "p_type", _text("time")).alias("rdfs:comment"),
+        F.concat(F.lit("schema:"), _part()).alias("@id"), F.lit("rdf:Property").alias("@type"), F.concat_ws(" ", "p_type", _text("time")).alias("rdfs:comment"),
         F.array(of(root(F.col("p_partkey"))), of(root(F.col("p_partkey") + 7))).alias("schema:domainIncludes"), of(F.lit("schema:Text")).alias("schema:rangeIncludes"))
     nodes = classes.unionByName(said.select((F.col("p_partkey") * 2 + F.col("time")).alias("n"), F.to_json(body).alias("node")))
     graph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]), ",")
