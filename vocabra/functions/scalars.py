@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Prefixes that every schema may use, unless it declares its own.
 KNOWN_PREFIXES = {
@@ -98,6 +99,27 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
+def normalised(c: Column, kind: T.DataType) -> Column:
+    """A value of any type in canonical order, at every depth: fields and keys by name, lists of texts sorted, since they are sets of references, and
+    other lists as they are. A list with a null in it is no list of texts. Nulls stay."""
+    if isinstance(kind, T.StructType):
+        fields = [normalised(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.when(F.exists(c, lambda x: x.isNull()), c).otherwise(F.array_sort(c))
+        return F.transform(c, lambda x: normalised(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), normalised(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    return c
+
+
+def nested_hash(df: DataFrame, *names: str) -> Column:
+    """The identity of content of the columns ``names`` of ``df``, whatever they hold."""
+    return content_hash({n: normalised(F.col(n), df.schema[n].dataType) for n in names})
+
+
 def json_around(fields: dict[str, Column], hole: str) -> tuple[Column, Column]:
     """The canonical ASCII JSON of ``fields`` and a field ``hole`` in two texts, before and behind the value of that field."""
     first, rest = ({k: c for k, c in fields.items() if (k < hole) is side} for side in (True, False))

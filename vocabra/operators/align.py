@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+#: Classes of one IRI that a task holds of each side, about.
+BLOCK = 2000
+
+
 def exact_pairs(classes: DataFrame) -> DataFrame:
-    """a, b and concept_uri of all unordered pairs of classes with one IRI, within a source as well. An empty IRI pairs nothing."""
+    """a, b and concept_uri of all unordered pairs of classes with one IRI, within a source as well. An empty IRI pairs nothing.
+
+    The classes of an IRI are dealt into blocks of about BLOCK, and the triangle of all pairs of blocks is the join's key, so that an IRI
+    of any size is many keys. One with a single block, as nearly all, is one key as before."""
     known = classes.select("hash_id", S.or_empty(F.col("concept_uri")).alias("concept_uri")).where("concept_uri <> ''").distinct()
-    a, b = known.alias("a"), known.alias("b")
-    return a.join(b, (F.col("a.concept_uri") == F.col("b.concept_uri")) & (F.col("a.hash_id") < F.col("b.hash_id"))).select(F.col("a.hash_id").alias("a"), F.col("b.hash_id").alias("b"), F.col("a.concept_uri").alias("concept_uri"))
+    blocks = known.groupBy("concept_uri").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = known.join(blocks, "concept_uri", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("hash_id"), F.col("blocks")))
+    a = dealt.select("concept_uri", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("hash_id").alias("x"))
+    b = dealt.select("concept_uri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("hash_id").alias("y"))
+    both = a.join(b, ["concept_uri", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "concept_uri")
 
 
 def concept_groups(classes: DataFrame) -> DataFrame:
