@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from .common import LOWER, WORDS_ONLY, cut, held_out, map_batches, per_slice, sliced, table, texts_of
 
-#: Labelled rows to fit on, and terms of a lexicon, at most.
-SAMPLE, TERMS = 20_000, 2_000
+#: Labelled rows to fit on, at most. They bound the lexicon and the cues too, of which each must stand in many of their texts.
+SAMPLE = 20_000
 BEGINNINGS = range(4, 10)
 WINDOW, QUOTED = 8, 0.4
 #: Letters of a term for one edit, and for two.
 EDITS = (5, 10)
-#: Cues of quotation at most, and windows that one must stand in.
-CUES, CUE_LEAST = 200, 8
+#: Windows that a cue of quotation must stand in.
+CUE_LEAST = 8
 #: Words with signs inside, and those signs.
 _MIXED = re.compile(rb"[0-9a-z\x80-\xff]+(?:[!@$*#+.-][0-9a-z\x80-\xff]+)+")
 _SIGNS = re.compile(rb"[a-z\x80-\xff][!@$*#+][a-z\x80-\xff]")
@@ -236,7 +236,7 @@ def _candidates(sample: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[bytes, tuple[float, bool]]:
-    """Term to (log-odds, is a beginning); TERMS at most."""
+    """Term to (log-odds, is a beginning): all terms whose gain chance hardly gives."""
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -251,7 +251,7 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, tuple[float, bool]]:
     found: dict[bytes, tuple[float, bool]] = {}
     beginnings: set[bytes] = set()
     texts: dict[bytes, int] = {}
-    for r in likely.orderBy(F.desc("gain"), F.desc(F.length("term")), "begins", "term").limit(TERMS).collect():
+    for r in likely.orderBy(F.desc("gain"), F.desc(F.length("term")), "begins", "term").collect():  # as many as the sample supports
         term = bytes(r.term)
         covered = any(term[:k] in beginnings for k in range(1, len(term) + 1))
         # a beginning that hardly occurs but in a term found before
@@ -265,7 +265,7 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, tuple[float, bool]]:
 
 
 def learn_cues(sample: DataFrame, lexicon) -> frozenset[bytes]:
-    """Words that stand around exact hits in clean texts far more often than in toxic ones, and REPORTING; CUES at most."""
+    """Words that stand around exact hits in clean texts far more often than in toxic ones, and REPORTING."""
 
     def run(batches):
         automaton, counts = TermAutomaton(lexicon.value), {}
@@ -279,7 +279,7 @@ def learn_cues(sample: DataFrame, lexicon) -> frozenset[bytes]:
 
     counts = map_batches(sample, run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     likely = counts.where((F.col("clean") >= CUE_LEAST) & (F.col("clean") >= 9 * F.col("toxic")))
-    found = likely.orderBy(F.desc("clean"), "word").limit(CUES).collect()
+    found = likely.select("word").collect()  # as many as the sample supports
     return REPORTING | {bytes(r.word) for r in found}
 
 
