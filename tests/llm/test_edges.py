@@ -38,6 +38,14 @@ def test_keep_one_beside_null_and_repeated_ids(spark):
     assert Counter(map(tuple, out.collect())) == Counter([(None, TEXT), (None, TEXT), (1, TEXT), (3, ""), (3, ""), (4, None), (4, None), (5, "other words " * 9)])
 
 
+def test_text_ids(spark):
+    """Ids of any type: the smallest in their own order stays."""
+    rows = [("b", TEXT), ("a-10", TEXT), ("a-9", TEXT + " x"), (None, TEXT), ("é", ""), ("z", "other words here and there are these ones")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.id: r.component_id for r in near.groups(docs).collect()} == {"b": "a-10", "a-10": "a-10", "a-9": "a-10", None: None, "é": "é", "z": "z"}
+    assert Counter(map(tuple, near.keep_one(docs).collect())) == Counter([rows[1], rows[3], rows[4], rows[5]])
+
+
 def test_shared_ids_lose_no_link(spark):
     one, two = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
     rows = [(5, one), (5, two), (6, one + " x"), (7, two + " x"), (4, "y " + two)]

@@ -99,7 +99,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _signed(docs: DataFrame) -> DataFrame:
     """row, id, text_hash, n_shingles, digest of the set (null if empty), and the pairs of both collections as arrays."""
-    schema = T._parse_datatype_string("row long, id long, text_hash long, n_shingles long, digest binary, first array<long>, second array<long>")
+    rest = T._parse_datatype_string("text_hash long, n_shingles long, digest binary, first array<long>, second array<long>")
+    schema = T.StructType([T.StructField("row", T.LongType()), docs.schema["id"], *rest])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts_of(batch, "text")]
@@ -188,7 +189,7 @@ def _across(tables: DataFrame, comps: DataFrame, classes: DataFrame, texts: Data
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A row for each row of ``docs``: ``row``, ``id``, ``text_hash``, ``n_shingles``, ``component`` (a number of its group; null where
     nothing can be linked) and ``component_id`` (the smallest id of its group)."""
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     signed = cut(_signed(own))
     sets = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     least = sets.groupBy("digest").agg(F.min("row").alias("class"), F.min("id").alias("least_id"))  # a class is a set
@@ -223,7 +224,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     mine = found.select("id", "text_hash", "component").distinct().join(kept, "component")
     mine = mine.select("id", "text_hash", (F.struct("id", "text_hash") == F.col("one")).alias("stays"))
     rows = docs.select(F.struct("*").alias("doc"))
-    keyed = rows.withColumns({"id": F.col("doc").getField(doc_id).cast("long"), "text_hash": F.xxhash64(F.col("doc").getField(text))})
+    keyed = rows.withColumns({"id": F.col("doc").getField(doc_id), "text_hash": F.xxhash64(F.col("doc").getField(text))})
     joined = keyed.join(mine, ["id", "text_hash"], "left")
     nth = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("stays"))  # of rows that are the same document
     return joined.withColumn("nth", nth).where(F.col("stays").isNull() | (F.col("stays") & (F.col("nth") == 1))).select("doc.*")
