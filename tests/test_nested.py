@@ -1,4 +1,4 @@
-"""Hashes of nested content against plain ones, and pairs of an IRI that many classes share."""
+"""Hashes of nested content against plain ones, pairs of an IRI that many classes share, and searches over an index."""
 
 import hashlib
 import itertools
@@ -6,7 +6,7 @@ import json
 import random
 
 from vocabra.functions import scalars as S
-from vocabra.operators import align
+from vocabra.operators import align, tools
 
 SCHEMA = "id int, tags array<string>, unit struct<zeta:string,alpha:array<string>>, parts array<struct<name:string,refs:array<string>,n:int>>, more map<string,array<string>>, grid array<array<string>>"
 
@@ -49,3 +49,13 @@ def test_pairs_of_a_hot_iri(spark, monkeypatch):
     for size in (2000, 20, 1):
         monkeypatch.setattr(align, "BLOCK", size)
         assert sorted(map(tuple, align.exact_pairs(df).collect())) == want
+
+
+def test_search_over_an_index_equals_a_scan(spark, tmp_path):
+    rows = [(f"h{k}", n, d, ["a"] if k % 2 else ["b"], "") for k, (n, d) in enumerate([("Subject", "A person"), ("ÄRGER", None), ("ab", "ab"), (None, "aaa aaa"), ("100%_x", "x"), ("", ""), ("Session", "subj ect"), ("Über", "İstanbul")] * 3)]
+    classes = spark.createDataFrame(rows, "hash_id string, name string, definition string, sources array<string>, iri string")
+    tools.write_trigrams(classes, str(tmp_path / "index"))
+    for query in ("subject", "SUBJ", "ärg", "aaaa", "aaa", "ab", "", "0%_", "no such", "über", "ubject person"):
+        for source, limit in (("", 20), ("a", 2), ("", 0)):
+            got, want = (f.collect() for f in (tools.search_indexed(classes, str(tmp_path / "index"), query, source, limit), tools.search_classes(classes, query, source, limit)))
+            assert got == want, (query, source, limit)

@@ -41,6 +41,39 @@ def search_classes(classes: DataFrame, query: str, source: str = "", limit: int
     return found.select("name", "hash_id", S.or_empty(F.col("iri")).alias("iri"), "sources", F.substring(S.or_empty(F.col("definition")), 1, 300).alias("definition"))
 
 
+#: Folders of a trigram index.
+BUCKETS = 256
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(0))), lambda i: F.substring(text, i, 3)))
+
+
+def write_trigrams(classes: DataFrame, path: str) -> None:
+    """Write which classes hold which runs of three characters in name or definition, in a folder for each bucket of runs."""
+    lower = [F.lower(S.or_empty(F.col(c))) for c in ("name", "definition")]
+    grams = F.array_union(*(F.when(F.length(t) >= 3, _grams(t)).otherwise(F.array().cast("array<string>")) for t in lower))
+    rows = classes.select("hash_id", F.explode(grams).alias("gram"))
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def search_indexed(classes: DataFrame, path: str, query: str, source: str = "", limit: int = 20) -> DataFrame:
+    """As search_classes(), but only classes are looked at that have all runs of the query by an index of write_trigrams(), of which the folders of
+    these runs alone are read. Queries of fewer than three characters have no runs."""
+    spark = classes.sparkSession
+    needle = F.lower(F.lit(query))
+    grams = [r.gram for r in spark.range(1).where(F.length(needle) >= 3).select(F.explode(_grams(needle)).alias("gram")).collect()]  # those of the query
+    if not grams or limit < 1:
+        return search_classes(classes, query, source, limit)
+    wanted = spark.createDataFrame([(g,) for g in grams], "gram string")
+    buckets = [r.b for r in wanted.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+    index = spark.read.schema("hash_id string, gram string, bucket int").parquet(path).where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+    hits = index.distinct().groupBy("hash_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(grams))
+    return search_classes(classes.join(hits, "hash_id", "left_semi"), query, source, limit)
+
+
 def get_class(classes: DataFrame, name_or_hash: str) -> DataFrame:
     """The first class in snapshot order with this hash, or with this in its name."""
     return classes.where((F.col("hash_id") == name_or_hash) | _has(name_or_hash, "name")).orderBy(*_order(classes)).limit(1)

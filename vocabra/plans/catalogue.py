@@ -122,6 +122,13 @@ def search_in_source(spark, sf):
     return tools.search_classes(_parts(spark, sf), "", "Brand#13", 10).select("name", "hash_id", F.array_join("sources", ",").alias("sources"))
 
 
+def search_indexed(spark, sf):
+    """The first parts with a run of characters in name or type, over an index of three characters."""
+    at = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    tools.write_trigrams(_parts(spark, sf), at)
+    return tools.search_indexed(_parts(spark, sf), at, "D Wid", limit=500).select("name", "hash_id", "definition")
+
+
 def lookup(spark, sf):
     return tools.get_class(_parts(spark, sf), "e").select("p_partkey", "name")
 
@@ -541,7 +548,7 @@ QUERIES = {f.__name__: f for f in (
     curie, value_ranges, url_host, bump, next_version, source_counts, label_counts, unique_edges, property_edges, used_properties, parent_join, provenance_join,
     attest_new, upsert, wipe, insert_stats, closure, flat_export, first_wins, last_wins, member_hashes, names, flatten_unit, schema_classes, schema_properties,
     schema_hashes, dangling_references, converted_slots, chained_hashes, bids_slots, nwb_slots, dandi_slots, openminds_slots, aind_slots, schema_org_slots,
-    published_classes, list_sources, changelog,
+    published_classes, list_sources, changelog, search_indexed,
 )}
 
 ORACLE = {
@@ -623,4 +630,5 @@ ORACLE = {
         FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN h ON s = s_suppkey""",
     "list_sources": "SELECT n_name AS label, '2.0' AS version, count(s_suppkey) AS class_count FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name",
     "changelog": "SELECT event_id, event_type AS bump, user_id, event_id AS classes_total FROM events",
+    "search_indexed": "SELECT p_name AS name, p_partkey::VARCHAR AS hash_id, p_type AS definition FROM part WHERE contains(lower(p_name), 'd wid') OR contains(lower(p_type), 'd wid') ORDER BY p_partkey LIMIT 500",
 }
