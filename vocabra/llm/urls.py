@@ -3,7 +3,7 @@
 All glob rules are packed into one row of 64-bit words, a bit per literal and a bit before each rule's first. A byte of
 a URL moves every rule at once: the bits shift by one where the byte fits the next literal, and stay where a wildcard
 stands that takes the byte. URLs are stepped column by column, so that each step handles one byte of all of them; as many
-are taken at a time as their states have room in STATE_WORDS. A worker makes the automaton once. URLs are judged as ``.host/path``: the dot lets a rule for a host fit its subdomains as well.
+are taken at a time as their states have room in STATE_WORDS. A task makes the automaton once. URLs are judged as ``.host/path``: the dot lets a rule for a host fit its subdomains as well.
 
 Globs: ``*`` takes any bytes but a slash, ``**`` any bytes, ``?`` one byte but a slash; all else is literal.
 
