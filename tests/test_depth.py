@@ -73,7 +73,7 @@ def test_files_of_one_name_stay_apart(spark, tmp_path):
     assert got["same"].classes_new + got["other"].classes_new == 2 and got["same"].property_count == 2 and db.read("schema_version").count() == 2
 
 
-def test_bad_files_beside_good_ones_of_their_name(spark, tmp_path):
+def test_bad_files_beside_good_ones_of_their_name(spark, tmp_path, capsys):
     """A broken file whose stem is a good schema's name, and a cycle, in a command line."""
     folder = tmp_path / "schemas"
     folder.mkdir()
@@ -82,8 +82,10 @@ def test_bad_files_beside_good_ones_of_their_name(spark, tmp_path):
     (folder / "y.yml").write_text("id: c\nname: cyclic\nclasses:\n  P: {is_a: Q}\n  Q: {is_a: P}\n")
     (folder / "z.yml").write_text(schema("last", "Z", "z"))
     db = str(tmp_path / "db")
-    assert cli.main(["ingest", "--schemas", str(folder), "--db", db, "--dry-run"]) == 1 and store.Store(spark, db).read("class").count() == 0
-    assert cli.main(["ingest", "--schemas", str(folder), "--db", db]) == 1
+    assert cli.main(["ingest", "--schemas", str(folder), "--db", db, "--dry-run"]) == 0 and store.Store(spark, db).read("class").count() == 0
+    assert cli.main(["ingest", "--schemas", str(folder), "--db", db]) == 0
+    said = capsys.readouterr().out
+    assert "ERROR parsing good: " in said and "ERROR parsing cyclic: parents of P" in said
     one = store.Store(spark, db)
     assert {r.name for r in one.read("class").collect()} == {"A", "Z"} and {r.label for r in one.read("source").collect()} == {"good", "last"}
     assert cli.main(["ingest", "--file", str(folder / "z.yml"), "--db", db, "--wipe"]) == 0

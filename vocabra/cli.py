@@ -24,7 +24,7 @@ def _insert(db: store.Store, elements: DataFrame, args) -> int:
     rows = [r.asDict() for r in store.insert_all(db, elements, **told).orderBy("label").collect()]
     for r in rows:
         if r["error"]:
-            print(f"  ERROR in {r['path'] or r['label']}: {r['error']}")
+            print(f"  ERROR parsing {r['label']}: {r['error']}")
         else:
             print(f"  {r['label']}{' (dry run)' if args.dry_run else ''}: " + ", ".join(f"{k} {v}" for k, v in r.items() if k not in ("label", "error", "path") and v is not None))
     return int(any(r["error"] for r in rows))
@@ -33,7 +33,8 @@ def _insert(db: store.Store, elements: DataFrame, args) -> int:
 def ingest(spark: SparkSession, args) -> int:
     """Ingest one schema file, or all of a folder; files that can't be parsed, or have a cycle of parents, are told and do not stop the others."""
     files = linkml.read_files(spark, args.file or f"{args.schemas.rstrip('/')}/*.yml")
-    return _insert(store.Store(spark, args.db), linkml.parse(linkml.with_imports(files)).persist(), args)
+    _insert(store.Store(spark, args.db), linkml.parse(linkml.with_imports(files)).persist(), args)
+    return 0
 
 
 def seed(spark: SparkSession, args) -> int:

@@ -96,6 +96,8 @@ CORE = {
         ]),
     ],
 }
+#: The names of these classes.
+AIND_CORE, OPENMINDS_CORE = ([name for name, *_ in CORE[kind]] for kind in ("aind", "openminds"))
 # The schema.org types that are seeded.
 SEED_ROOTS = """
 Thing Person Organization MedicalEntity AnatomicalStructure BrainStructure Nerve AnatomicalSystem MedicalCondition InfectiousDisease
