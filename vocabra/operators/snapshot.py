@@ -72,12 +72,12 @@ def class_rows(store: Store | Frames) -> DataFrame:
 
 def write_snapshot(store: Store, path: str, bump: str = "minor", issue: str = "", agent: str = "github-actions", schema: str = "") -> str:
     """Publish the next version under ``path``: classes and sources as JSON lines in a folder per version, and a log entry.
-    Classes are written as rows, in name order, and never gathered on the driver."""
+    Classes are written as rows, in name order, and never gathered on the driver. A version that the log lacks, left by a failure, is written over."""
     spark, current = store.spark, current_version(store)
     version = spark.range(1).select(S.next_registry_version(F.lit(current), F.lit(bump))).first()[0]
     classes, sources = class_rows(store), cut(source_rows(store))
-    classes.repartitionByRange("name", "hash_id").sortWithinPartitions("name", "hash_id").write.json(f"{path}/registry_version={version}/classes")
-    sources.coalesce(1).sortWithinPartitions("label").write.json(f"{path}/registry_version={version}/sources")
+    classes.repartitionByRange("name", "hash_id").sortWithinPartitions("name", "hash_id").write.mode("overwrite").json(f"{path}/registry_version={version}/classes")
+    sources.coalesce(1).sortWithinPartitions("label").write.mode("overwrite").json(f"{path}/registry_version={version}/sources")
     totals = sources.agg(F.count(F.lit(1)).alias("sources_total")).crossJoin(store.read("class").agg(F.count(F.lit(1)).alias("classes_total")))
     store.append("changelog", totals.select(
         F.lit(version).alias("registry_version"), F.lit(current).alias("previous_version"), S.now_iso().alias("timestamp"), F.lit(bump).alias("bump"), F.lit("issue" if issue else "manual").alias("trigger"),

@@ -1,62 +1,141 @@
 """The catalogue as Parquet tables in a folder: appends of what is new, attestations, versions, wiping.
 
-A table is a folder of versions; a pointer file names the current one. A rewrite makes a new version and then moves the
-pointer, so a table is never overwritten while it is read. All reads and writes go through Spark.
+What one commit writes is a batch: its rows lie in folders of the batch's number, and readers take the batches up to the last that
+is published, so a commit that fails half way is never seen, and the next one starts by deleting its folders. A rewrite writes a table
+anew in a batch of its own, beside the old rows, so a table is never overwritten while it is read. Rows with a hash, and edges, are dealt into
+buckets by it, and a batch is compared with the buckets that it falls in alone. There is one writer at a time.
 """
 
 from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
 from ..schemas import EDGES, NODES
 from ..session import cut
 from . import align, entities
 
+#: Folders by hash of each batch of a table.
+BUCKETS = 64
+
+
+def _key(name: str) -> str | None:
+    """The column by whose hash a table is dealt into buckets; sources, versions and the log are small and have none."""
+    return "src" if name in EDGES else "hash_id" if "hash_id " in NODES[name] else None
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._batch, self._wrote, self._anew = 0, False, set()  # of the open commit
 
-    def read(self, name: str) -> DataFrame:
-        """The rows of a table; none if it has not been written. Columns that an older version lacks come as nulls."""
-        schema = (NODES | EDGES)[name]
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The published rows of a table, or those of some buckets; none if it has not been written. Columns that an older version lacks come
+        as nulls."""
+        columns, last = (NODES | EDGES)[name], self._last()
         if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._current(name))
+            return self.spark.createDataFrame([], columns)
+        parts = "batch long" + (", bucket int" if _key(name) else "")
+        rows = self.spark.read.schema(f"{columns}, {parts}").parquet(self._current(name)).where(F.col("batch") <= last)
+        if buckets is not None and _key(name):
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows.drop("batch", "bucket")
+
+    def near(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows of a table in the buckets that ``rows`` fall in; what lies in others has none of their keys."""
+        key = _key(name)
+        return self.read(name, [r[0] for r in rows.select(_bucket(key)).distinct().collect()] if key else None)  # BUCKETS values at most
+
+    @contextmanager
+    def commit(self) -> Iterator[None]:
+        """What is appended and rewritten inside is published together at the end, or, after an error, not at all; reads see what was there
+        before. A commit inside another is part of it."""
+        if self._batch:
+            yield
+            return
+        self._batch, self._wrote, self._anew = self._last() + 1, False, set()
+        try:
+            for name in NODES | EDGES:  # what a commit that failed may have left
+                self._delete(f"{name}/base={self._batch}")
+                self._delete(f"{self._folder(name)}/batch={self._batch}")
+            yield
+            if self._wrote:
+                fs, p = self._fs(f"{self.path}/published/batch={self._batch}")
+                fs.mkdirs(p)
+                self._delete(f"published/batch={self._batch - 1}")
+        finally:
+            self._batch = 0
 
     def append(self, name: str, rows: DataFrame) -> None:
-        schema = self.spark.createDataFrame([], (NODES | EDGES)[name]).schema
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(self._current(name))
+        with self.commit():
+            self._write(name, rows)
 
     def rewrite(self, name: str, rows: DataFrame) -> None:
-        version = self._version(name) + 1
-        rows.write.parquet(f"{self.path}/{name}/v{version}")
-        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/{name}/pointer")
+        """Replace all rows of a table."""
+        with self.commit():
+            self._delete(f"{name}/base={self._batch}")
+            self._anew.add(name)
+            self._write(name, rows)
 
     def drop(self) -> None:
         """Delete all tables."""
         fs, p = self._fs(self.path)
         fs.delete(p, True)
 
+    def _write(self, name: str, rows: DataFrame) -> None:
+        self._wrote = True
+        schema = StructType.fromDDL((NODES | EDGES)[name])
+        rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+        base, key = self._batch if name in self._anew else self._base(name), _key(name)
+        if key:  # by ranges, so that no bucket and no key is one task
+            order = ["bucket", key, *(c for c in ("dst", "id") if c in schema.names)]
+            rows = rows.withColumn("bucket", _bucket(key)).repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = rows.write.mode("append")
+        (writer.partitionBy("bucket") if key else writer).parquet(f"{self.path}/{name}/base={base}/batch={self._batch}")
+
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, name: str) -> bool:
-        fs, p = self._fs(self._current(name))
-        return fs.exists(p)
+    def _delete(self, folder: str) -> None:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        fs.delete(p, True)
 
-    def _version(self, name: str) -> int:
-        fs, p = self._fs(f"{self.path}/{name}/pointer")
-        return self.spark.read.parquet(f"{self.path}/{name}/pointer").agg(F.max("version")).first()[0] if fs.exists(p) else 0
+    def _numbers(self, folder: str, key: str) -> list[int]:
+        """n of the folders key=n."""
+        fs, p = self._fs(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n.removeprefix(f"{key}=")) for n in names if n.startswith(f"{key}=")]
+
+    def _last(self) -> int:
+        """The last published batch."""
+        return max(self._numbers("published", "batch"), default=0)
+
+    def _base(self, name: str) -> int:
+        """The batch that wrote a table anew, the last published one; 0 if none did."""
+        last = self._last()
+        return max((n for n in self._numbers(name, "base") if n <= last), default=0)
+
+    def _folder(self, name: str) -> str:
+        return f"{name}/base={self._base(name)}"
 
     def _current(self, name: str) -> str:
-        return f"{self.path}/{name}/v{self._version(name)}"
+        return f"{self.path}/{self._folder(name)}"
+
+    def _exists(self, name: str) -> bool:
+        last = self._last()
+        return any(n <= last for n in self._numbers(self._folder(name), "batch"))
 
 
 class Frames:
@@ -90,7 +169,7 @@ def insert_counts(rows: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame
 
 def write_if_new(store: Store, name: str, rows: DataFrame, keys: list[str]) -> int:
     """Append the rows whose keys are not there yet; what is there stays as it is. The number of rows added."""
-    new = new_rows(rows, store.read(name), keys).persist()
+    new = new_rows(rows, store.near(name, rows), keys).persist()
     added = new.count()
     if added:
         store.append(name, new)
@@ -138,12 +217,14 @@ def insert_schema(store: Store, elements: DataFrame, label: str, agent: str = "a
     return stats
 
 
-def _sources(store: Store, meta: DataFrame, registry_version: str) -> DataFrame:
-    """label and id of the sources of ``meta`` (label, source_version); those that are new are made."""
+def _sources(store: Store, meta: DataFrame, registry_version: str) -> tuple[DataFrame, DataFrame]:
+    """label and id of the sources of ``meta`` (label, source_version), and the rows of those that are new, with their label as ``source_label``."""
     rows = meta.select(F.expr("uuid()").alias("id"), "label", "source_version", F.lit(registry_version).alias("registry_version"), F.lit(False).alias("is_hub"), S.now_iso().alias("created_at"))
-    blank = store.spark.createDataFrame([], NODES["source"])
-    write_if_new(store, "source", blank.unionByName(rows, allowMissingColumns=True), ["label"])
-    return store.read("source").join(meta.select("label"), "label", "left_semi").select("label", "id")
+    old = store.read("source")
+    full = store.spark.createDataFrame([], NODES["source"]).unionByName(rows, allowMissingColumns=True)
+    made = cut(new_rows(full, old, ["label"]))  # written, so that ids stay
+    known = old.join(meta.select("label"), "label", "left_semi").select("label", "id")
+    return known.unionByName(made.select("label", "id")), made.withColumn("source_label", F.col("label"))
 
 
 def _failed(store: Store, bad: DataFrame) -> DataFrame:
@@ -156,7 +237,7 @@ def _dry(store: Store, meta: DataFrame, kinds: dict[str, DataFrame], bad: DataFr
     out = meta.select("label", F.lit(0).cast("long").alias("provenance_added"))
     for name, plural in (("class", "classes"), ("property", "properties")):
         each = kinds[name].select(F.col("source_label").alias("label"), "hash_id").distinct()
-        known = each.join(store.read(name).select("hash_id", F.lit(1).alias("_old")), "hash_id", "left")
+        known = each.join(store.near(name, each).select("hash_id", F.lit(1).alias("_old")), "hash_id", "left")
         out = out.join(known.groupBy("label").agg(F.count_if(F.col("_old").isNull()).alias(f"{plural}_new"), F.count("_old").alias(f"{plural}_existing")), "label", "left")
     return out.fillna(0).unionByName(_failed(store, bad), allowMissingColumns=True)
 
@@ -178,7 +259,8 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
     classes = every.join(bad, entities.FILE, "left_anti")
     if dry_run:
         return _dry(store, meta, {"class": classes, "property": props}, bad)
-    ids = cut(_sources(store, meta, registry_version))
+    ids, made_sources = _sources(store, meta, registry_version)
+    ids = cut(ids)
     values = cut(entities.permissible_values(good))
     sets = cut(entities.value_sets(good, values))
     kinds = {"property": props, "class": classes, "value_set": sets, "permissible_value": values}
@@ -192,17 +274,21 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
     def told(rows: DataFrame, counter: str, n=None) -> None:
         ones.append(rows.groupBy("source_label").agg((F.count(F.lit(1)) if n is None else n).alias("n")).select("source_label", F.lit(counter).alias("counter"), "n"))
 
-    new: list[tuple[str, str, DataFrame]] = []  # settled before anything is written
-    old = store.read("provenance")
+    new: list[tuple[str, str, DataFrame]] = [("source", "source_new", made_sources)]  # settled before anything is written
+    near: dict[str, list[int]] = {}
+    tables = (kinds | edges).items()
+    for r in functools.reduce(DataFrame.unionByName, (rows.select(F.lit(n).alias("name"), _bucket(_key(n)).alias("bucket")) for n, rows in tables)).distinct().collect():
+        near.setdefault(r.name, []).append(r.bucket)  # at most BUCKETS for each table
+    old = store.read("provenance", sorted({b for n in kinds for b in near.get(n, [])}))
     for name, rows in kinds.items():
         told(rows, f"{name}_total", F.count_distinct("hash_id"))
-        new.append((name, f"{name}_new", new_rows(rows, store.read(name), ["hash_id"]).persist()))
+        new.append((name, f"{name}_new", new_rows(rows, store.read(name, near.get(name, [])), ["hash_id"]).persist()))
         attested = rows.join(ids.join(meta, "label"), F.col("source_label") == F.col("label")).select("hash_id", F.col("id").alias("had_primary_source"), "source_version")
         made = new_rows(attestations(name, attested, agent, issue, registry_version), old, ATTESTED)
         labels = ids.select(F.col("label").alias("source_label"), F.col("id").alias("had_primary_source"))
         new.append(("provenance", f"{name}_attested", made.join(labels, "had_primary_source").persist()))
     for name, rows in edges.items():
-        new.append((name, f"{name}_new", new_rows(rows, store.read(name), ["src", "dst"]).persist()))
+        new.append((name, f"{name}_new", new_rows(rows, store.read(name, near.get(name, [])), ["src", "dst"]).persist()))
     for _, counter, rows in new:
         told(rows, counter)
     counts: dict[str, Counter] = {}
@@ -223,14 +309,17 @@ def insert_all(store: Store, elements: DataFrame, agent: str = "anonymous", issu
         "properties_existing": F.col("property_count") - F.col("properties_new"), "classes_existing": F.col("class_count") - F.col("classes_new"),
         "schema_version": after, "schema_unchanged": same, "error": F.lit(None).cast("string"), "path": F.lit(None).cast("string"),
     })
-    for name, counter, rows in new:
-        if any(n[counter] for n in counts.values()):
-            store.append(name, rows)
+    versions = found.where(~F.col("schema_unchanged")).select(
+        F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit(yml_path).alias("yml_path"), "class_count", "property_count",
+        S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version"))
+    with store.commit():
+        for name, counter, rows in new:
+            if any(n[counter] for n in counts.values()):
+                store.append(name, rows)
+        if not versions.isEmpty():
+            store.append("schema_version", versions)
+    for _, _, rows in new:
         rows.unpersist()
-    if stats:
-        store.append("schema_version", found.where(~F.col("schema_unchanged")).select(
-            F.expr("uuid()").alias("id"), F.col("label").alias("schema_label"), F.col("schema_version").alias("source_version"), F.lit(yml_path).alias("yml_path"), "class_count", "property_count",
-            S.change_summary(F.col("classes_new"), F.col("properties_new"), F.col("provenance_added")).alias("changes_summary"), S.now_iso().alias("created_at"), F.lit(registry_version).alias("registry_version")))
     failed = _failed(store, bad)
     return found.drop("previous", "source_version").unionByName(failed, allowMissingColumns=True)
 
@@ -283,6 +372,14 @@ def label_counts(store: Store | Frames, names: tuple[str, ...] = tuple(NODES)) -
     return out
 
 
+def compact(store: Store, *names: str) -> None:
+    """Write tables anew (all that have batches, if none is named), so that rows of many small batches lie in a few files a bucket."""
+    with store.commit():
+        for name in names or NODES | EDGES:
+            if store._exists(name):
+                store.rewrite(name, store.read(name))
+
+
 def lacking(store: Store, name: str) -> list[str]:
     """Columns that a table must have and its files lack, or have of another type."""
     if not store._exists(name):
