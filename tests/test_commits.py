@@ -79,3 +79,12 @@ def test_a_small_batch_reads_its_buckets_alone(spark, tmp_path):
     assert store.write_if_new(db, "class", full, ["hash_id"]) == 1 and store.write_if_new(db, "class", full, ["hash_id"]) == 0
     store.compact(db)
     assert db.read("class").count() == 5001 and store.write_if_new(db, "class", full, ["hash_id"]) == 0
+
+
+def test_tables_of_earlier_releases_go_on(spark, tmp_path):
+    edges = lambda *pairs: spark.createDataFrame(list(pairs), "src string, dst string")
+    edges(("a", "b")).write.parquet(f"{tmp_path}/has_property/v1")
+    spark.createDataFrame([(1,)], "version int").write.parquet(f"{tmp_path}/has_property/pointer")
+    db = store.Store(spark, str(tmp_path))
+    assert store.write_if_new(db, "has_property", edges(("a", "b"), ("c", "d")), ["src", "dst"]) == 1
+    assert sorted(map(tuple, db.read("has_property").collect())) == [("a", "b"), ("c", "d")]

@@ -44,6 +44,8 @@ class Store:
         """The published rows of a table, or those of some buckets; none if it has not been written. Columns that an older version lacks come
         as nulls."""
         columns, last = (NODES | EDGES)[name], self._last()
+        if old := self._old(name):
+            return self.spark.read.schema(columns).parquet(old)
         if not self._exists(name):
             return self.spark.createDataFrame([], columns)
         parts = "batch long" + (", bucket int" if _key(name) else "")
@@ -57,6 +59,11 @@ class Store:
         key = _key(name)
         return self.read(name, [r[0] for r in rows.select(_bucket(key)).distinct().collect()] if key else None)  # BUCKETS values at most
 
+    def held(self, name: str) -> DataFrame:
+        """The published rows of a table with the columns that its files have."""
+        rows = self.spark.read.parquet(self._current(name))
+        return rows if self._old(name) else rows.where(F.col("batch") <= self._last()).drop("batch", "bucket")
+
     @contextmanager
     def commit(self) -> Iterator[None]:
         """What is appended and rewritten inside is published together at the end, or, after an error, not at all; reads see what was there
@@ -79,6 +86,8 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         with self.commit():
+            if self._old(name) and name not in self._anew:
+                self.rewrite(name, self.read(name))
             self._write(name, rows)
 
     def rewrite(self, name: str, rows: DataFrame) -> None:
@@ -131,11 +140,20 @@ class Store:
         return f"{name}/base={self._base(name)}"
 
     def _current(self, name: str) -> str:
-        return f"{self.path}/{self._folder(name)}"
+        return self._old(name) or f"{self.path}/{self._folder(name)}"
+
+    def _old(self, name: str) -> str | None:
+        """The folder of a table as earlier releases wrote it, a folder for each version with a pointer to the last, until a batch writes it anew."""
+        if self._base(name):
+            return None
+        fs, pointer = self._fs(f"{self.path}/{name}/pointer")
+        version = self.spark.read.parquet(f"{self.path}/{name}/pointer").agg(F.max("version")).first()[0] if fs.exists(pointer) else 0
+        folder = f"{self.path}/{name}/v{version}"
+        return folder if fs.exists(self._fs(folder)[1]) else None
 
     def _exists(self, name: str) -> bool:
         last = self._last()
-        return any(n <= last for n in self._numbers(self._folder(name), "batch"))
+        return self._old(name) is not None or any(n <= last for n in self._numbers(self._folder(name), "batch"))
 
 
 class Frames:
@@ -384,7 +402,7 @@ def lacking(store: Store, name: str) -> list[str]:
     """Columns that a table must have and its files lack, or have of another type."""
     if not store._exists(name):
         return []
-    there = dict(store.spark.read.parquet(store._current(name)).dtypes)
+    there = dict(store.held(name).dtypes)
     return [c for c, kind in store.spark.createDataFrame([], (NODES | EDGES)[name]).dtypes if there.get(c) != kind]
 
 
@@ -392,7 +410,7 @@ def migrate(store: Store, name: str) -> bool:
     """Write a table that lacks columns anew, with nulls in those. Was it?"""
     missing = lacking(store, name)
     if missing:
-        old = store.spark.read.parquet(store._current(name))
+        old = store.held(name)
         kinds = dict(store.spark.createDataFrame([], (NODES | EDGES)[name]).dtypes)
         store.rewrite(name, old.select(*((F.col(c).cast(k) if c in old.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items())))
     return bool(missing)
