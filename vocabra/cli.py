@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import snapshot, store
-from .sources import converters, linkml
+from .sources import converters, graphs, linkml
 
 
 def _insert(db: store.Store, elements: DataFrame, args) -> int:
@@ -39,7 +39,8 @@ def ingest(spark: SparkSession, args) -> int:
 
 def seed(spark: SparkSession, args) -> int:
     """Ingest the schema.org vocabulary from its JSON-LD file."""
-    elements = converters.schema_org(linkml.read_files(spark, args.file)).withColumns({c: F.lit(None) for c in ("multivalued", "required", "pattern")})
+    nodes = graphs.records(spark, args.file).select(F.col("pos").cast("int").alias("n"), F.from_json("record", "map<string,string>").alias("m"))
+    elements = converters.schema_org_elements(nodes).withColumns({c: F.lit(None) for c in ("multivalued", "required", "pattern")})
     head = spark.createDataFrame([("meta", "schemaorg", "schemaorg", "1.0.0")], "kind string, source_label string, name string, value string")
     return _insert(store.Store(spark, args.db), elements.unionByName(head, allowMissingColumns=True), args)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import graphs
 
 
 def _order(classes: DataFrame) -> list[str]:
@@ -151,10 +152,8 @@ def transform_records(records: DataFrame, fields: DataFrame, record: str = "reco
 
 
 def read_graph(spark, *paths: str) -> DataFrame:
-    """Records of JSON-LD documents with a list ``@graph``: ``type`` and ``record``, a map of their fields (lists as JSON text)."""
-    docs = spark.read.text(list(paths), wholetext=True)
-    graph = F.from_json(F.get_json_object("value", "$['@graph']"), "array<map<string,string>>")
-    rows = docs.select(F.posexplode(graph).alias("pos", "r"))
+    """Records of JSON-LD documents with a list ``@graph``: ``type`` and ``record``, a map of their fields (lists as JSON text). Large documents are read by many tasks."""
+    rows = graphs.records(spark, *paths).select(F.col("pos").cast("int").alias("pos"), F.from_json("record", "map<string,string>").alias("r"))
     return rows.select("pos", F.element_at("r", "@type").alias("type"), S.field_keys(F.col("r")).alias("record"))
 
 

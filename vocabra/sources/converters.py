@@ -498,11 +498,15 @@ def missing_hashes(schemas: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def schema_org(files: DataFrame, roots: list[str] = SEED_ROOTS) -> DataFrame:
-    """Element rows of schema.org JSON-LD (path, content), restricted to ``roots``: properties go to the classes of their domains, a class
-    has its first parent among the roots, and of definitions of one property the first in the file counts."""
-    base = "https://schema.org/"
+    """schema_org_elements() of JSON-LD documents (path, content)."""
     graph = F.from_json(F.get_json_object("content", "$['@graph']"), "array<map<string,string>>")
-    nodes = files.select(F.posexplode(graph).alias("n", "m"))
+    return schema_org_elements(files.select(F.posexplode(graph).alias("n", "m")), roots)
+
+
+def schema_org_elements(nodes: DataFrame, roots: list[str] = SEED_ROOTS) -> DataFrame:
+    """Element rows of the nodes of schema.org (``n``, their place, and ``m``, a map of their fields), restricted to ``roots``: properties go to
+    the classes of their domains, a class has its first parent among the roots, and of definitions of one property the first counts."""
+    base = "https://schema.org/"
     get = lambda k: F.element_at("m", k)
     short = lambda c: F.replace(F.regexp_replace(c, "^schema:", ""), F.lit(base), F.lit(""))
     many = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<struct<`@id`:string>>")).otherwise(F.array(F.from_json(c, "struct<`@id`:string>")))
