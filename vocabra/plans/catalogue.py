@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import align, entities, snapshot, store, tools
 from ..session import shared_folder
-from ..sources import converters, linkml
+from ..sources import converters, graphs, linkml
 
 
 def _read(spark, sf_dir, name):
@@ -495,6 +495,18 @@ def schema_org_slots(spark, sf):
     return rows.where("kind = 'class_slot'").select("owner", "name").join(slots, "name").select("owner", "name", "definition", F.col("value").alias("range"))
 
 
+def graph_records(spark, sf):
+    """Documents as records of JSON-LD files, one for 10,000 ids, read again at the borders of their records."""
+    d = _read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 10_000).alias("file"), "doc_id", F.to_json(F.struct(_text("doc_id").alias("@id"), "text")).alias("node"))
+    w = Window.partitionBy("file").orderBy("doc_id", "node")
+    head = F.when(F.row_number().over(w) == 1, '{"@context": {"text": {"@id": "t}"}}, "@graph": [').otherwise(",")
+    foot = F.when(F.lead("node").over(w).isNull(), '], "more": [{}]}').otherwise("")
+    at = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    d.select("file", F.concat(head, "node", foot).alias("value")).write.partitionBy("file").text(at)
+    found = graphs.records(spark, at).select("pos", F.from_json("record", "struct<`@id`:string,text:string>").alias("r"))
+    return found.select(F.col("r.@id").cast("long").alias("doc_id"), "pos", F.sha2(S.or_empty(F.col("r.text")).cast("binary"), 256).alias("text_sha256"))
+
+
 def _catalogue(spark, sf) -> store.Frames:
     """Suppliers as classes with the parts that they supply, attested by their nations."""
     s, n = _read(spark, sf, "supplier"), _read(spark, sf, "nation")
@@ -548,7 +560,7 @@ QUERIES = {f.__name__: f for f in (
     curie, value_ranges, url_host, bump, next_version, source_counts, label_counts, unique_edges, property_edges, used_properties, parent_join, provenance_join,
     attest_new, upsert, wipe, insert_stats, closure, flat_export, first_wins, last_wins, member_hashes, names, flatten_unit, schema_classes, schema_properties,
     schema_hashes, dangling_references, converted_slots, chained_hashes, bids_slots, nwb_slots, dandi_slots, openminds_slots, aind_slots, schema_org_slots,
-    published_classes, list_sources, changelog, search_indexed,
+    published_classes, list_sources, changelog, search_indexed, graph_records,
 )}
 
 ORACLE = {
@@ -630,5 +642,6 @@ ORACLE = {
         FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN h ON s = s_suppkey""",
     "list_sources": "SELECT n_name AS label, '2.0' AS version, count(s_suppkey) AS class_count FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name",
     "changelog": "SELECT event_id, event_type AS bump, user_id, event_id AS classes_total FROM events",
+    "graph_records": "SELECT doc_id, row_number() OVER (PARTITION BY floor(doc_id / 10000) ORDER BY doc_id) - 1 AS pos, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "search_indexed": "SELECT p_name AS name, p_partkey::VARCHAR AS hash_id, p_type AS definition FROM part WHERE contains(lower(p_name), 'd wid') OR contains(lower(p_type), 'd wid') ORDER BY p_partkey LIMIT 500",
 }
