@@ -111,3 +111,9 @@ def test_scalars(spark, made, want):
     from pyspark.sql import functions as F
 
     assert value(spark, made(F.lit)) == want
+
+
+def test_alignments_from_edges(spark, classes):
+    edges = classes.select("hash_id", F.explode("alignments").alias("a")).select(F.col("hash_id").alias("src"), F.col("a.target_hash_id").alias("dst"), F.col("a.distance").alias("distance"), F.col("a.method").alias("method"))
+    want = [tuple(r)[:5] for r in tools.get_alignments(classes, "lab:Dataset", 0.35).collect()]
+    assert [tuple(r)[:5] for r in tools.get_alignments(classes.drop("alignments"), "lab:Dataset", 0.35, edges).collect()] == want and len(want) == 2

@@ -92,9 +92,17 @@ def nearest(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return one.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
-def get_alignments(classes: DataFrame, class_name: str, max_distance: float = 0.5) -> DataFrame:
-    """Alignments of a class up to ``max_distance``, nearest first; unknown targets have no sources and no definition."""
-    edges = get_class(classes, class_name).select(F.posexplode("alignments").alias("place", "a")).where(F.col("a.distance") <= max_distance)
+def get_alignments(classes: DataFrame, class_name: str, max_distance: float = 0.5, aligned_to: DataFrame | None = None) -> DataFrame:
+    """Alignments of a class up to ``max_distance``, nearest first; unknown targets have no sources and no definition. ``aligned_to`` (src, dst,
+    distance, method) is what to read where the classes hold no lists; of equal distances the first by hash comes first."""
+    one = get_class(classes, class_name)
+    if aligned_to is None:
+        edges = one.select(F.posexplode("alignments").alias("place", "a"))
+    else:
+        names = classes.select(F.col("hash_id").alias("dst"), F.col("name").alias("target_name"))
+        own = aligned_to.join(one.select(F.col("hash_id").alias("src")), "src").join(names, "dst", "left")
+        edges = own.select(F.col("dst").alias("place"), F.struct(F.col("dst").alias("target_hash_id"), "target_name", "distance", "method").alias("a"))
+    edges = edges.where(F.col("a.distance") <= max_distance)
     target = classes.select(F.col("hash_id").alias("t"), F.col("sources").alias("t_sources"), "definition")
     rows = edges.join(target, F.col("a.target_hash_id") == F.col("t"), "left").orderBy("a.distance", "place")
     scores = F.col("a.scores") if "scores" in edges.schema["a"].dataType.names else F.lit(None)
