@@ -109,6 +109,24 @@ ScholarlyArticle Dataset SoftwareApplication SoftwareSourceCode Event Conference
 BODY = "path string, stem string, place int, depth int, reached boolean, name string, body string, error string"
 
 
+def _number(text: str) -> float | str:
+    """A JSON number with a point or an exponent, as the YAML parser takes it: an exponent counts after a point and with a sign."""
+    mantissa, _, exponent = text.lower().partition("e")
+    return float(text) if "." in mantissa and (not exponent or exponent[0] in "+-") else text
+
+
+def _no_constant(text: str) -> None:
+    raise ValueError(text)
+
+
+def _documents(content: str) -> list:
+    """The documents of a JSON or YAML file. JSON is parsed as such, which takes a small part of the YAML parser's memory and time."""
+    try:
+        return [json.loads(content, parse_float=_number, parse_constant=_no_constant)]
+    except ValueError:
+        return list(yaml.load_all(content, _Text))
+
+
 def bodies(files: DataFrame) -> DataFrame:
     """A row for each JSON or YAML document of the files, and each definition inside, at any depth, in file order. ``reached``: all
     bodies around it have properties. A file that can't be parsed gives one row with ``error``."""
@@ -125,7 +143,7 @@ def bodies(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.path, batch.content, strict=True):
                 stem = PurePosixPath(path).stem
                 try:
-                    docs = [d for d in yaml.load_all(content or "", _Text) if isinstance(d, dict)]
+                    docs = [d for d in _documents(content or "") if isinstance(d, dict)]
                     rows = [r for d in docs for r in inside(stem, d, 0, True)]
                 except (yaml.YAMLError, AttributeError, TypeError, ValueError) as e:  # a bad file fails alone, as a row
                     rows = [(0, False, stem, None, f"{type(e).__name__}: {e}")]
@@ -330,8 +348,9 @@ def class_rows(files: DataFrame, kind: str, label: str | None = None) -> DataFra
     class give none."""
     found, slot = FORMATS_OF[kind](bodies(files).where("body IS NOT NULL"))
     needed = F.coalesce("required_names", F.array().cast("array<string>")) if "required_names" in found.columns else F.array().cast("array<string>")
-    rows = found.withColumn("required_names", needed).select("*", F.posexplode_outer("members").alias("slot_pos", "m"))
-    rows = rows.withColumn("needed", F.array_contains("required_names", F.col("m.key")))
+    told = F.transform("members", lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"), F.array_contains(needed, m["key"]).alias("needed")))  # no member's row holds the list
+    rows = found.withColumn("members", told).drop("required_names").select("*", F.posexplode_outer("members").alias("slot_pos", "m"))
+    rows = rows.withColumn("needed", F.col("m.needed"))
     name, fields = slot(F.col("class"), F.col("m.key"), F.col("m.value"))
     every = {f.split(":")[0]: f.split(":")[1] for f in SLOT.removeprefix("struct<").removesuffix(">").split(",")}
     body = F.struct(*(fields.get(f, F.lit(None)).cast(t).alias(f) for f, t in every.items()))
