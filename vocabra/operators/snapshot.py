@@ -34,10 +34,11 @@ def properties_of(store: Store | Frames) -> DataFrame:
     """hash_id of each class with properties, and the array ``properties`` of them by name and hash."""
     none = F.array().cast("array<string>")
     props = store.read("property").join(attesting_sources(store, "property"), "hash_id", "left").select(F.col("hash_id").alias("dst"), F.struct(
-        "hash_id", _empty("concept_uri").alias("iri"), _empty("name").alias("name"), _empty("description").alias("definition"), _empty("property_range").alias("value_range"),
+        _empty("name").alias("name"), "hash_id", _empty("concept_uri").alias("iri"), _empty("description").alias("definition"), _empty("property_range").alias("value_range"),
         _empty("ucum_code").alias("units"), F.coalesce("sources", none).alias("sources")).alias("p"))
-    in_order = F.array_sort(F.collect_list(F.struct("p.name", "p.hash_id", "p")))
-    return store.read("has_property").join(props, "dst").groupBy(F.col("src").alias("hash_id")).agg(F.transform(in_order, lambda x: x["p"]).alias("properties"))
+    order = ("hash_id", "iri", "name", "definition", "value_range", "units", "sources")
+    named = F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(*(p[c].alias(c) for c in order)))  # nothing goes twice through the shuffle
+    return store.read("has_property").join(props, "dst").groupBy(F.col("src").alias("hash_id")).agg(named.alias("properties"))
 
 
 def parents_of(store: Store | Frames) -> DataFrame:
@@ -104,16 +105,17 @@ def read_document(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFram
     whose lines are read by all tasks."""
     root = spark.createDataFrame([], SNAPSHOT).schema
     one = root["classes"].dataType.elementType
-    texts = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), F.ltrim("value").alias("line"))
+    texts = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.ltrim("value").alias("line"))
     if not texts.where(F.col("file").rlike(r"/part-\d+-[^/]*$")).isEmpty():
-        lines = texts.where(F.ltrim("line", F.lit(",")).startswith('{"hash_id"')).select(F.from_json(F.ltrim("line", F.lit(",")), one).alias("c")).select("c.*")
-        place = Window.partitionBy("_part").orderBy("name", "hash_id")
-        spread = cut(lines.repartitionByRange("name", "hash_id").withColumn("_part", F.spark_partition_id()))
-        sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-        before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # a row per partition
-        rows = spread.withColumn("_k", F.row_number().over(place)).join(F.broadcast(before), "_part")
+        # a block of a file is read by one task in order, and files lie in the order of their names: counts of lines say all places
+        blocks = texts.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+        earlier = Window.partitionBy(F.regexp_extract("file", "^(.*)/", 1)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") - 1).alias("add"))  # a row per block; the head is no class
+        lines = texts.where(F.ltrim("line", F.lit(",")).startswith('{"hash_id"')).join(F.broadcast(blocks), ["file", "block"], "left")
+        pos = F.col("k") + F.coalesce("add", F.raise_error(F.lit("A file was split in another way while it was read.")).cast("long"))
+        rows = lines.select(pos.cast("int").alias("pos"), F.from_json(F.ltrim("line", F.lit(",")), one).alias("c"))
         heads = texts.where(F.col("line").startswith('{"registry_version"')).select(F.from_json(F.regexp_replace("line", r', "classes": \[$', "}"), root).alias("d"))
-        return rows.select((F.col("_before") + F.col("_k") - 1).cast("int").alias("pos"), *(f.name for f in one)), heads.select(F.inline("d.sources"))
+        return rows.select("pos", "c.*"), heads.select(F.inline("d.sources"))
     doc = spark.read.schema(SNAPSHOT).json(list(paths), multiLine=True)
     return doc.select(F.posexplode("classes").alias("pos", "c")).select("pos", "c.*"), doc.select(F.inline("sources"))
 
@@ -144,14 +146,15 @@ def write_document(store: Store | Frames, path: str, version: str, classes: Data
     of names, with a head before the first and a foot behind the last. read_document() reads it. ``classes`` and ``sources`` are what
     class_rows() and source_rows() gave, where that is known."""
     spark = store.spark
+    names = store.read("class").select(_empty("name").alias("name"), "hash_id") if classes is None else classes.select("name", "hash_id")  # no list is made for the first of them
     classes, sources = class_rows(store) if classes is None else classes, source_rows(store) if sources is None else sources
     none = F.array().cast("array<struct<label:string,version:string,class_count:bigint>>")
     listed = F.coalesce(F.array_sort(F.collect_list(F.struct("label", "version", "class_count"))), none)  # a row per source
     head = sources.agg(listed.alias("sources")).select(F.to_json(F.struct(F.lit(version).alias("registry_version"), S.now_iso().alias("generated_at"), "sources")).alias("j"))
     place = lambda part, name, hash_id: (F.lit(part).alias("part"), name.alias("name"), hash_id.alias("hash_id"))
     first = head.select(*place(0, F.lit(""), F.lit("")), F.concat(F.col("j").substr(F.lit(1), F.length("j") - 1), F.lit(', "classes": [')).alias("value"))
-    each = cut(classes.select(*place(1, F.col("name"), F.col("hash_id")), F.to_json(F.struct("*")).alias("value")))
-    start = each.agg(F.min(F.struct("name", "hash_id")).alias("m")).select("m.*", F.lit(True).alias("_first"))
+    each = classes.select(*place(1, F.col("name"), F.col("hash_id")), F.to_json(F.struct("*")).alias("value"))
+    start = names.agg(F.min(F.struct("name", "hash_id")).alias("m")).select("m.*", F.lit(True).alias("_first"))
     lines = each.join(F.broadcast(start), ["name", "hash_id"], "left")  # one row
     lines = lines.select("part", "name", "hash_id", F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(",")), "value").alias("value"))
     foot = spark.range(1).select(*place(2, F.lit(""), F.lit("")), F.lit("]}").alias("value"))
