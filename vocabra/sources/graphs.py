@@ -47,14 +47,18 @@ def records(spark: SparkSession, *paths: str, field: str = "@graph") -> DataFram
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     rows = pieces(spark, *paths).select("*", (F.regexp_count(bare, F.lit('"')) % 2).cast("long").alias("quotes"), _change(bare, False).alias("outer"), _change(bare, True).alias("inner"))
-    rows = cut(rows.withColumn("odd", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2))
-    # a block that begins inside a text has the changes of its pieces swapped
+    rows = rows.withColumn("odd", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    # a block that begins inside a text has the changes of its pieces swapped; both sums are made here, so that texts are dealt to blocks once
     change = lambda inside: F.when(F.col("odd") == int(inside), F.col("outer")).otherwise(F.col("inner"))
-    blocks = rows.groupBy(*BLOCK).agg(F.sum("quotes").alias("quotes"), F.sum(change(False)).alias("plain"), F.sum(change(True)).alias("quoted"))
+    rows = rows.withColumns({"plain": change(False), "quoted": change(True)})
+    rows = cut(rows.select(*BLOCK, "k", "value", "quotes", "odd", "plain", "quoted", F.sum("plain").over(in_block).alias("plain_sum"), F.sum("quoted").over(in_block).alias("quoted_sum")))
+    blocks = rows.groupBy(*BLOCK).agg(F.sum("quotes").alias("quotes"), F.sum("plain").alias("plain"), F.sum("quoted").alias("quoted"))
     blocks = blocks.select("*", (_before(blocks, "quotes") % 2).alias("inside")).withColumn("change", F.when(F.col("inside") == 0, F.col("plain")).otherwise(F.col("quoted")))
     blocks = blocks.select(*BLOCK, "inside", _before(blocks, "change").alias("start"))
-    rows = rows.join(blocks, BLOCK).withColumn("change", F.when((F.col("odd") + F.col("inside")) % 2 == 0, F.col("outer")).otherwise(F.col("inner")))
-    after = F.col("start") + F.sum("change").over(in_block)
+    rows = rows.join(F.broadcast(blocks), BLOCK)  # a row per block, as Spark's own list of them
+    of = lambda plain, quoted: F.when(F.col("inside") == 0, F.col(plain)).otherwise(F.col(quoted))
+    rows = rows.withColumns({"change": of("plain", "quoted"), "sum": of("plain_sum", "quoted_sum")})
+    after = F.col("start") + F.col("sum")
     rows = rows.select(*BLOCK, "k", "value", ((F.col("odd") + F.col("inside") + F.col("quotes")) % 2 == 1).alias("ends_inside"), ((F.col("odd") + F.col("inside")) % 2 == 1).alias("inside"), after.alias("depth"), (after - F.col("change")).alias("from"))
     # the list begins where its name is a key at depth 1, and ends with the first piece from there on that closes it before a member opens
     closed = lambda text: F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*("|$)', "").rlike(r"^[^\[{]*\]")
@@ -65,11 +69,12 @@ def records(spark: SparkSession, *paths: str, field: str = "@graph") -> DataFram
     opens = rows.where(~F.col("inside") & (F.col("from") <= 1) & F.col("value").rlike(key) & (F.col("from") + _depth(outside) == 1)).groupBy("file").agg(F.min_by(F.struct(place.alias("first"), closed(rest).alias("closed")), place).alias("o")).where("NOT o.closed").select("file", "o.first")
     closes = rows.where(~F.col("inside") & (F.col("from") == 2) & closed(F.col("value"))).select("file", place.alias("at")).join(opens, "file").where(F.col("at") > F.col("first"))
     bounds = opens.join(closes.groupBy("file").agg(F.min("at").alias("last")), "file", "left")
-    own = rows.join(bounds, "file").where((place >= F.col("first")) & (F.col("last").isNull() | (place < F.col("last"))))
+    own = rows.join(F.broadcast(bounds), "file").where((place >= F.col("first")) & (F.col("last").isNull() | (place < F.col("last"))))
     ends = (~F.col("ends_inside") & (F.col("depth") == 2)).cast("long")
-    own = cut(own.select(*BLOCK, "k", F.when(place == F.col("first"), rest).otherwise(F.col("value")).alias("value"), ends.alias("ends")).withColumn("pos", F.coalesce(F.sum("ends").over(earlier), F.lit(0))))
+    own = own.select(*BLOCK, "k", F.when(place == F.col("first"), rest).otherwise(F.col("value")).alias("value"), ends.alias("ends"))
     counts = own.groupBy(*BLOCK).agg(F.sum("ends").alias("n"))
     counts = counts.select(*BLOCK, _before(counts, "n").alias("n"))
-    whole = own.join(counts, BLOCK).groupBy("file", (F.col("pos") + F.col("n")).alias("pos")).agg(F.sum("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("block", "k", "value"))).alias("parts"))
+    own = own.withColumn("pos", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    whole = own.join(F.broadcast(counts), BLOCK).groupBy("file", (F.col("pos") + F.col("n")).alias("pos")).agg(F.sum("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("block", "k", "value"))).alias("parts"))
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
     return whole.where("ends = 1").select("file", "pos", F.regexp_replace(text, r"(?s)^[^{]*", "").alias("record"))
