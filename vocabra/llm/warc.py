@@ -36,9 +36,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MIN_BYTES = 0
 
 
-def base32_sha1(data: Column) -> Column:
-    """The SHA-1 of binary data in base32: five hexadecimal digits are four digits of base 32."""
-    digits = F.sha1(data)
+def base32(digits: Column) -> Column:
+    """A SHA-1 of hexadecimal digits in base32: five are four digits of base 32. Make it of a column, not of the hash itself, which Spark
+    would take anew for each five."""
     parts = (F.lpad(F.conv(F.substring(digits, k, 5), 16, 32), 4, "0") for k in range(1, 41, 5))
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
@@ -77,14 +77,16 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     empty line; a part without one says nothing."""
     rows = spark.read.option("lineSep", BORDER).text(path).select(
         F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("value"))
-    head = F.substring_index(F.col("value").cast("string"), END, 1)
-    said = F.try_to_number(F.nullif(_field(head, "Content-Length"), F.lit("")), F.lit("999999999999999999")).cast("long")
-    return rows.withColumns({"head": head, "length": F.octet_length("value").cast("long")}).withColumn("needs", F.octet_length("head") + len(END) + said)
+    rows = rows.withColumns({"head": F.substring_index(F.col("value").cast("string"), END, 1), "length": F.octet_length("value").cast("long")})
+    # of the first such line, whatever it says: nothing but digits is a length
+    size = F.regexp_extract("head", r"\r\n(?i:Content-Length:) *(?:([0-9]{1,18}) *(?![^\r\n]))?", 1)
+    rows = rows.withColumn("said", F.nullif(size, F.lit("")).cast("long"))
+    return rows.withColumn("needs", F.octet_length("head") + len(END) + F.col("said"))
 
 
 def _field(head: Column, name: str) -> Column:
     """A header field; empty where it is not there."""
-    return F.trim(F.regexp_extract(head, rf"(?i)\r\n{name}:([^\r\n]*)", 1))
+    return F.trim(F.regexp_extract(head, rf"\r\n(?i:{name}:)([^\r\n]*)", 1))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,40 +102,76 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["file", "block", "n"]].assign(owner=owners)
 
 
-def _whole(pieces: DataFrame) -> DataFrame:
-    """``head`` and ``value`` of whole records: most are a piece, and pieces of one record are put together.
+def _walked(places: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Broken files, a row each, and for each of their pieces the first one of its record; None if no file is broken.
 
     The last piece of a file has the file's END behind it. A file is walked, over lengths alone, if one of its pieces is not
     as long as it says: a record goes on until it has its length, and what lies inside is no record, whatever it looks like."""
-    exact = (F.col("length") == F.col("needs")) | (F.col("length") == F.col("needs") + len(END))
-    broken = cut(pieces.where(~F.coalesce(exact, F.lit(False))).select("file").distinct())  # a row per file at most
+    places = places.select("file", "block", "n", "length", "needs")
+    exact = (F.col("length") - F.col("needs")).isin(0, len(END))
+    broken = cut(places.where(~F.coalesce(exact, F.lit(False))).select("file").distinct())
     if broken.isEmpty():
-        return pieces.select("head", "value")
-    slim = pieces.join(broken, "file", "left_semi").select("file", "block", "n", "length", "needs")
-    walked = cut(slim.repartition("file").sortWithinPartitions("file", "block", "n").mapInPandas(_walk, "file string, block long, n long, owner long"))
+        return None
+    slim = places.join(broken, "file", "left_semi").repartition("file").sortWithinPartitions("file", "block", "n")
+    return broken, cut(slim.mapInPandas(_walk, "file string, block long, n long, owner long"))
+
+
+def _joined(pieces: DataFrame, walked: DataFrame) -> DataFrame:
+    """Records of broken files: ``head``, ``said`` and ``value``, put together from their pieces."""
     parts = pieces.join(walked, ["file", "block", "n"])
-    joined = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("block", "n", "head", "value"))).alias("p")).select(
-        F.col("p")[0]["head"].alias("head"), F.array_join(F.transform("p", lambda p: p["value"].cast("string")), BORDER).cast("binary").alias("value"))
-    return pieces.join(broken, "file", "left_anti").select("head", "value").unionByName(joined)
+    return parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("block", "n", "head", "said", "value"))).alias("p")).select(
+        F.col("p")[0]["head"].alias("head"), F.col("p")[0]["said"].alias("said"), F.array_join(F.transform("p", lambda p: p["value"].cast("string")), BORDER).cast("binary").alias("value"))
+
+
+def _whole(pieces: DataFrame, found: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """``head``, ``said`` and ``value`` of whole records: most are a piece, and those of broken files are put together."""
+    own = pieces if found is None else pieces.join(found[0], "file", "left_anti")
+    own = own.select("head", "said", "value")
+    return own if found is None else own.unionByName(_joined(pieces, found[1]))
+
+
+#: No column value has more bytes.
+MOST = 2**31 - 1
+#: Columns of record rows that are read from an archive.
+HEADS = ("type", "key", "payload_bytes", "digest", "record_id", "refers_to")
+ROWS = ("type", "uri", "key", "payload", *HEADS[2:])
+
+
+def _rows(whole: DataFrame, *also: str) -> DataFrame:
+    """Record rows, with further columns of ``whole``; ``type`` is null in what is no record, or of another type."""
+    of = lambda name: F.nullif(_field(F.col("head"), name), F.lit(""))
+    size = F.when(F.col("said") > MOST, MOST).otherwise(F.col("said")).cast("int")
+    body = F.substring(F.col("value"), F.octet_length("head") + len(END) + 1, size)
+    rows = whole.select(
+        of("WARC-Type").alias("says"), of("WARC-Target-URI").alias("uri"), of("WARC-Source-Key").alias("key"), of("WARC-Record-ID").alias("record_id"),
+        of("WARC-Refers-To").alias("refers_to"), F.regexp_replace(of("WARC-Payload-Digest"), "^sha1:", "").alias("promised"), body.alias("body"), *also)
+    rows = rows.withColumn("type", F.when(F.col("says").isin("response", "revisit") & F.col("body").isNotNull(), F.col("says")))
+    http = F.substring_index(F.col("body").cast("string"), END, 1)
+    rows = rows.withColumn("payload", F.when(F.col("type") == "response", F.substring("body", F.octet_length(http) + len(END) + 1, F.octet_length("body"))))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
+    return rows.withColumn("digest", F.coalesce(base32(F.col("sha1")), F.when(F.col("type") == "revisit", F.col("promised")))).select(*ROWS, *also)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Record rows of an archive: type, uri, key (text), payload, payload_bytes (of the full payload), digest (as computed here, or as a
     revisit record says), record_id and refers_to. Records of other types and parts that are no records are left out."""
-    whole = _whole(_pieces(spark, path))
-    of = lambda name: F.nullif(_field(F.col("head"), name), F.lit(""))
-    size = of("Content-Length").cast("int")
-    block = F.substring(F.col("value"), F.octet_length("head") + len(END) + 1, size)
-    rows = whole.where(of("WARC-Type").isin("response", "revisit") & size.isNotNull()).select(
-        of("WARC-Type").alias("type"), of("WARC-Target-URI").alias("uri"), of("WARC-Source-Key").alias("key"), of("WARC-Record-ID").alias("record_id"),
-        of("WARC-Refers-To").alias("refers_to"), F.regexp_replace(of("WARC-Payload-Digest"), "^sha1:", "").alias("said"), block.alias("block"))
-    http = F.substring_index(F.col("block").cast("string"), END, 1)
-    payload = F.when(F.col("type") == "response", F.substring("block", F.octet_length(http) + len(END) + 1, F.octet_length("block")))
-    rows = rows.withColumn("payload", payload)
-    return rows.select(
-        "type", "uri", "key", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(F.col("type") == "response", base32_sha1(F.col("payload"))).otherwise(F.col("said")).alias("digest"), "record_id", "refers_to",
-    )
+    pieces = _pieces(spark, path)
+    return _rows(_whole(pieces, _walked(pieces))).where("type IS NOT NULL")
+
+
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Heads of an archive's records (HEADS), written, and the rows that ``read`` gives. One pass over the archive makes the heads and tells
+    which files are broken; of these alone records are made in a second pass."""
+    pieces, place = _pieces(spark, path), ("file", "block", "n", "length", "needs")
+    seen = cut(_rows(pieces, *place).select(*HEADS, *place))
+    found = _walked(seen)
+    every = _rows(_whole(pieces, found)).where("type IS NOT NULL")
+    heads = seen.where("type IS NOT NULL")
+    if found is not None:
+        broken, walked = found
+        mended = cut(_rows(_joined(pieces, walked)).where("type IS NOT NULL").select(*HEADS))
+        heads = heads.join(broken, "file", "left_anti").select(*HEADS).unionByName(mended)
+    return heads.select(*HEADS), every
 
 
 def archived(rows: DataFrame, path: str) -> None:
@@ -141,7 +179,8 @@ def archived(rows: DataFrame, path: str) -> None:
     payload = F.coalesce("payload", F.lit("").cast("binary"))
     size = F.octet_length("payload").cast("long")
     full = rows.select(F.lit("response").alias("type"), "uri", F.col("key").cast("string").alias("key"), payload.alias("payload"))
-    full = full.withColumns({"payload_bytes": size, "digest": base32_sha1(F.col("payload")), "refers_to": F.lit(None).cast("string")})
+    full = full.withColumns({"payload_bytes": size, "sha1": F.sha1("payload"), "refers_to": F.lit(None).cast("string")})
+    full = full.withColumn("digest", base32(F.col("sha1")))
     write(full.withColumn("record_id", _record_id(F.lit(path), "key", "digest")), path, path.rsplit("/", 1)[-1])
 
 
@@ -151,8 +190,8 @@ def dedup(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BY
     shuffles the records else."""
     name = target.rsplit("/", 1)[-1]
     fresh = lambda key: _record_id(F.lit(target), F.lit("response"), key, "digest")
-    every = read(spark, source)
-    heads = cut(every.select("type", F.col("key").cast(order).alias("k"), "key", "digest", "payload_bytes"))
+    heads, every = opened(spark, source)
+    heads = heads.select("type", F.col("key").cast(order).alias("k"), "key", "digest", "payload_bytes")
     whole = (F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes)
     shared = heads.where(whole | (F.col("type") == "revisit")).groupBy("digest").agg(F.max(F.when(whole, F.struct("k", "key")))["key"].alias("first"), F.max(whole).alias("_there"), F.count(F.lit(1)).alias("_n"))
     shared = cut(shared.where("_n > 1 AND _there"))
@@ -188,7 +227,7 @@ def query(spark, sf_dir):
     at = folder(spark)
     archived(pages, f"{at}/crawled")
     dedup(spark, f"{at}/crawled", f"{at}/deduplicated")
-    heads = cut(read(spark, f"{at}/deduplicated").drop("payload", "uri"))
+    heads, _ = opened(spark, f"{at}/deduplicated")
     kind = dict(table(spark, sf_dir, "pages").dtypes)["page_id"]
     return resolved(heads).select(
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("original").cast(kind).alias("refers_to"),
