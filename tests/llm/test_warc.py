@@ -121,3 +121,16 @@ def test_lengths_that_are_no_numbers(spark, tmp_path):
     for k, part in enumerate(parts):
         (tmp_path / f"{k}.warc").write_bytes((part + warc.END).encode())
     assert [r.uri for r in warc.read(spark, str(tmp_path)).collect()] == ["u0"]
+
+
+def test_records_without_payload_at_the_end_of_the_readers_buffer(spark, tmp_path):
+    """A border behind an empty payload was passed over where the buffer of 65,536 bytes ended in it, and the record behind it was lost."""
+    record = lambda k, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Source-Key: {k}\r\nContent-Length: {len(body)}\r\n\r\n{body}"
+    bare, http = record(1, "HTTP/1.1 200 OK\r\n\r\n"), "HTTP/1.1 200 OK\r\n\r\n"
+    for k in range(20):  # the second record's end, with its END, comes 0 to 19 bytes before the buffer's
+        fill = 65_536 + 4 - k - len(bare) - len(warc.END)
+        size = next(n for n in range(fill) if len(record(0, http + "x" * n)) == fill)
+        for name, payload in (("a", "x" * size), ("b", (warc.END + "WARC/1.1\r\nContent-Length: 0\r\n\r\n").ljust(size, "x"))):
+            (tmp_path / f"{name}{k}.warc").write_bytes((warc.END.join([record(0, http + payload), bare, record(2, http + "last")]) + warc.END).encode())
+    got = sorted((r.key, bytes(r.payload)[-4:]) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got == sorted([("0", b"xxxx"), ("1", b""), ("2", b"last")] * 40)

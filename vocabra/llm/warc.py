@@ -5,7 +5,7 @@ shuffled by payload digest, of the records with one payload that with the larges
 become revisit records with fresh headers and no payload. ``resolved`` joins revisit records to their original responses.
 
 An archive is a folder of gzip files that Spark's text writer makes, each a plain sequence of WARC/1.1 records, since the two
-line feeds that end a record are the writer's line separator. Reading splits at the end of a record with the start of the next.
+line feeds that end a record are the writer's line separator. Reading splits at a line feed with the start of a record.
 A payload that holds such a border is cut there as well; lengths tell, and the files concerned are walked from record to record
 over lengths alone, so that the pieces of each record come together again.
 
@@ -28,8 +28,9 @@ from .common import checked_dir, cut, table
 
 #: Ends a record; the writer puts it after each.
 END = "\r\n\r\n"
-#: Where archives are cut when they are read.
-BORDER = END + "WARC/1."
+#: Where archives are cut when they are read. No start of it comes again within it: Hadoop's reader, whose buffer may end inside a border, passes
+#: over one that begins in what looked like the start of another, as END + "WARC/1." does behind an empty payload.
+BORDER = "\nWARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads of fewer bytes are never deduplicated.
@@ -105,10 +106,10 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _walked(places: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Broken files, a row each, and for each of their pieces the first one of its record; None if no file is broken.
 
-    The last piece of a file has the file's END behind it. A file is walked, over lengths alone, if one of its pieces is not
+    Pieces have END behind them, without its last line feed where a border follows. A file is walked, over lengths alone, if one of its pieces is not
     as long as it says: a record goes on until it has its length, and what lies inside is no record, whatever it looks like."""
     places = places.select("file", "block", "n", "length", "needs")
-    exact = (F.col("length") - F.col("needs")).isin(0, len(END))
+    exact = (F.col("length") - F.col("needs")).isin(len(END) - 1, len(END))
     broken = cut(places.where(~F.coalesce(exact, F.lit(False))).select("file").distinct())
     if broken.isEmpty():
         return None
